@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,16 +32,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the session's shared checkpoint folder and drop its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share.
 
-    The folder is the one named by ``spark.checkpoint.dir``; only where neither it nor a
-    folder set on the context exists (local tests) is a temporary one used.
+    It is the one named by ``spark.checkpoint.dir``; only where neither it nor a folder set on
+    the context exists (local tests) is a temporary one used.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestone-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop shuffle and checkpoint files that nothing refers to any more.
+
+    Spark removes them when their driver objects are collected; a driver with little to do
+    may otherwise keep those of finished steps until the end of a job.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
