@@ -1,16 +1,17 @@
 """Near-duplicate texts with small edits: bottom-k sketches from one hash function.
 
-A text is the set of its runs of three consecutive words, each as a 64-bit hash. Texts with
+A text is the set of its runs of three consecutive words, each as a 63-bit hash. Texts with
 the same set are one class with its smallest id as representative. A class keeps the
 ``SKETCH`` smallest hashes of its set; inverted lists of these retained values generate the
 pairs that overlap, the estimate from the union of two sketches filters them, and exact
 Jaccard similarity over the whole sets verifies the rest.
 
-A pair of similarity 0.6 shares each of the 24 smallest values of its union with a chance of
-0.6; fewer than 4 of 24 happens twice in a million. A pair that must share 4 values shares
-one of the 21 rarest of either sketch, so each class enters the lists of its rarest values
-only: values held by a third of the corpus then make no pairs unless nothing rarer is left.
-Values of one class only make no lists at all.
+A pair of similarity 0.6 shares each of the 48 smallest values of its union with a chance of
+0.6; fewer than 13 of 48 happens once in a million. Of 13 values that a pair must share, three
+are among the 38 rarest of either sketch, so each class enters the lists of its rarest values
+only, and a pair counts that meets in three lists: values held by a third of the corpus then
+make no pairs unless nothing rarer is left. Values of one class only make no lists at all.
+Texts of under 29 runs have partners whose sketch is the whole set: they must share 0.6 of it.
 
 Null and short texts and texts of under three words have no pairs. Repeated rows count once.
 """
@@ -21,16 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import powers
-from lodestone.session import cut
+from lodestone.session import cut, release
 
 MIN_CHARS = 200
 RUN = 3
-SKETCH = 24
-NEEDED = 4
+SKETCH = 48
+NEEDED = 13
+MEETINGS = 3
 THRESHOLD = (3, 5)  # 0.60 as a fraction, so that the last comparison is exact
 PART_BYTES = 1 << 20
 
@@ -68,6 +70,7 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         many = _mix(many * np.uint64(0x9E3779B97F4A7C15) + one[i : len(one) - RUN + 1 + i])
     inside = text[: len(many)] == text[RUN - 1 :]
     many, text = many[inside], text[: len(inside)][inside]
+    many >>= np.uint64(1)  # 63 bits: signed and unsigned order are the same
     order = np.lexsort((many, text))
     many, text = many[order], text[order]
     fresh = np.append(True, (many[1:] != many[:-1]) | (text[1:] != text[:-1])) if len(many) else np.zeros(0, bool)
@@ -124,51 +127,71 @@ def full_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id bigint, hashes array<bigint>")
 
 
+def _needed(n: Column, kept: Column) -> Column:
+    """Values of its sketch that a class must share with any partner."""
+    p, q = THRESHOLD
+    return F.when(n * q <= F.lit(SKETCH * p), F.ceil(n * p / F.lit(q))).otherwise(F.floor(kept * NEEDED / F.lit(SKETCH))).cast("int")
+
+
 def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """(rep_a, rep_b) of classes (rep, n, sketch) that pass the estimate from the union of their sketches."""
-    values = classes.select("rep", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
+    """(rep_a, rep_b) of classes (rep, n, sketch) that meet in enough lists of rare values."""
+    values = classes.select("rep", F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     rare = Window.partitionBy("rep").orderBy("df", "value")
-    needed = F.greatest(F.lit(1), F.floor(F.col("kept") * F.lit(NEEDED) / F.lit(SKETCH)))
+    sizes = classes.select("rep", "n", F.size("sketch").alias("kept")).withColumn("needed", F.greatest(F.lit(1), _needed(F.col("n"), F.col("kept"))))
     listed = (
         values.join(shared, "value")
         .withColumns({"at": F.row_number().over(rare), "many": F.count("*").over(Window.partitionBy("rep"))})
-        .where((F.col("many") >= needed) & (F.col("kept") - F.col("many") + F.col("at") <= F.col("kept") - needed + 1))
-        .select("rep", "n", "value")
+        .join(sizes, "rep")
+        .withColumn("meetings", F.least(F.lit(MEETINGS), F.col("needed")))
+        .where((F.col("many") >= F.col("needed")) & (F.col("kept") - F.col("many") + F.col("at") <= F.col("kept") - F.col("needed") + F.col("meetings")))
+        .select("value", "rep", "n", "meetings")
     )
     listed = cut(listed)
-    a, b = listed.toDF("rep_a", "n_a", "value"), listed.toDF("rep_b", "n_b", "value")
+    release(classes.sparkSession)
+    a, b = listed.toDF("value", "rep_a", "n_a", "meetings_a"), listed.toDF("value", "rep_b", "n_b", "meetings_b")
     p, q = THRESHOLD
     near = (F.col("n_a") * q >= F.col("n_b") * p) & (F.col("n_b") * q >= F.col("n_a") * p)
-    pairs = a.join(b, "value").where((F.col("rep_a") < F.col("rep_b")) & near).select("rep_a", "rep_b").distinct()
-    small = classes.select("rep", "sketch")
+    met = a.join(b, "value").where((F.col("rep_a") < F.col("rep_b")) & near).select("rep_a", "rep_b", F.least("meetings_a", "meetings_b").alias("least"))
+    return cut(met.groupBy("rep_a", "rep_b").agg(F.count("*").alias("met"), F.min("least").alias("least")).where("met >= least").select("rep_a", "rep_b"))
+
+
+def estimated_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs whose union sketch shows enough common values. The upper halves of the hashes do, in the same order."""
+    small = classes.select("rep", F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int")).alias("sketch"))
     both = pairs.join(small.toDF("rep_a", "sketch_a"), "rep_a").join(small.toDF("rep_b", "sketch_b"), "rep_b")
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
     common = F.size(F.array_intersect(union, F.array_intersect("sketch_a", "sketch_b")))
-    return both.where(common >= F.greatest(F.lit(1), F.floor(F.size(union) * F.lit(NEEDED) / F.lit(SKETCH)))).select("rep_a", "rep_b")
+    return cut(both.where(common >= F.greatest(F.lit(1), F.floor(F.size(union) * F.lit(NEEDED) / F.lit(SKETCH)))).select("rep_a", "rep_b"))
 
 
 def class_members(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes (rep, n, sketch) and members (id, rep) of equal sets."""
-    firsts = sketched.where("n > 0").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.min(F.struct("id", "n", "sketch")).alias("r"))
-    classes = firsts.select("rep", "r.n", "r.sketch", "set_a", "set_b")
-    members = sketched.select("id", "set_a", "set_b").distinct().join(firsts.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).select("id", "rep")
-    return classes.drop("set_a", "set_b"), members
+    sets = sketched.where("n > 0")
+    firsts = sets.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
+    members = cut(sets.select("id", "set_a", "set_b").join(firsts, ["set_a", "set_b"]).select("id", "rep").distinct())
+    classes = cut(sets.join(members.where("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "n", "sketch"))
+    return classes, members
 
 
 def near_duplicate_classes(texts: DataFrame, key: str = "id", text: str = "body", min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """Links (rep_a, rep_b, common, either) between different classes and members (id, rep) of all classes."""
+    spark = texts.sparkSession
     long = texts.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("body")).where((F.length(text) >= min_chars) & F.col(key).isNotNull())
-    sketched = cut(sketches(long))
-    classes, members = class_members(sketched)
-    classes, members = cut(classes), cut(members)
-    pairs = cut(candidate_pairs(classes))
+    classes, members = class_members(cut(sketches(long)))
+    release(spark)
+    pairs = candidate_pairs(classes)
+    release(spark)
+    pairs = estimated_pairs(pairs, classes)
+    del classes
+    release(spark)
     wanted = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
     sets = cut(full_sets(long.join(wanted, "id", "left_semi")).dropDuplicates(["id"]))
     p, q = THRESHOLD
     exact = pairs.join(sets.toDF("rep_a", "set_a"), "rep_a").join(sets.toDF("rep_b", "set_b"), "rep_b").select("rep_a", "rep_b", F.size(F.array_intersect("set_a", "set_b")).alias("common"), F.size("set_a").alias("na"), F.size("set_b").alias("nb"))
     links = exact.withColumn("either", F.col("na") + F.col("nb") - F.col("common")).where(F.col("common") * q >= F.col("either") * p)
-    return links.select("rep_a", "rep_b", "common", "either"), members
+    links = cut(links.select("rep_a", "rep_b", "common", "either"))
+    return links, members
 
 
 def near_duplicate_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
