@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.text import ascii_lower
 
@@ -48,7 +49,7 @@ def jaro_winkler_text(a: str, b: str) -> float:
     return min(1.0, score + SCALE * prefix * (1 - score))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     known: dict[tuple[str, str], float] = {}
     for left, right in pairs:

@@ -4,44 +4,420 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from lodestone.operators import incremental
-from lodestone.session import table
+from lodestone.functions import names, text, vectors as vx
+from lodestone.operators import changes, federated, fusion, graph, incremental, lexical, stats, vectors
+from lodestone.plans.sql import SQL
+from lodestone.session import shared_folder, table
+from lodestone.sources import heuristics, parse, sinks
+from lodestone.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+QUERY = "ledger registry deadline"
+PHRASE = '"waiting lane" +profile -wallet'
+EPOCH = 1_764_547_200
+
+__all__ = ["QUERIES", "SQL", "flagship"]
+
+
+def units_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units table: repeated rows once."""
+    return table(spark, sf_dir, "code_units").dropDuplicates(["id"])
+
+
+def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "call_graph").select("caller_id", "callee_name", "line_number").distinct()
+
+
+def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One valid row per file of the index."""
+    index, runs = table(spark, sf_dir, "file_index"), table(spark, sf_dir, "index_runs")
+    return incremental.valid_index_rows(index, runs)
+
+
+def records_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest usable records of dimension 96."""
+    last = vectors.latest(table(spark, sf_dir, "vectors"))
+    return last.where((F.col("dim") == 96) & (F.size("data") == 96))
+
+
+def lexical_index(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return lexical.build_postings(units), lexical.field_stats(units)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 6))
+
+
+# --- functions --------------------------------------------------------------------------------------------------
+
+
+def tokenize_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = units_of(spark, sf_dir).select("language", text.tokens(F.col("body")).alias("t"))
+    return terms.groupBy("language").agg(F.sum(F.size("t")).cast("bigint").alias("n_tokens"), F.max(F.size("t")).cast("bigint").alias("longest"))
+
+
+def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("file_path")
+    rows = table(spark, sf_dir, "code_units").select("file_path").union(table(spark, sf_dir, "file_index").select("file_path")).distinct()
+    return rows.select("file_path", text.path_language(path).alias("language"), text.is_test_file(path).alias("is_test"), text.is_test_file_semantic(path).alias("is_test_semantic"), heuristics.has_blocked_suffix(path).alias("is_blocked"), heuristics.in_blocked_folder(path).alias("in_blocked_folder"))
+
+
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units_of(spark, sf_dir).select("id", text.snippet(F.col("full_signature"), F.col("docstring"), F.col("name")).alias("snippet"), text.list_to_json(F.col("calls")).alias("calls_json"), F.size(text.list_from_json(text.list_to_json(F.col("calls")))).cast("bigint").alias("n_calls"))
+
+
+def name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = units_of(spark, sf_dir).select("name").distinct()
+    wanted = ["validate_tenant_account", "sync lower registry", "split", "zz"]
+    scored = [rows.select("name", F.lit(q).alias("query"), F.round(names.name_match_score(F.lit(q), F.col("name")), 6).alias("score")) for q in wanted]
+    out = scored[0]
+    for s in scored[1:]:
+        out = out.unionByName(s)
+    return out
+
+
+def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names within three edits of a word, for typing errors."""
+    distance = F.levenshtein(F.lower("name"), F.lit("splitregistry"), 3)
+    return units_of(spark, sf_dir).select("name").distinct().withColumn("distance", distance.cast("bigint")).where(F.col("distance") >= 0)
+
+
+def format_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.coalesce("n_chars", F.lit(0)).cast("bigint")
+    return table(spark, sf_dir, "documents").select("doc_id", text.thousands(n).alias("thousands"), text.size_text(n * 1000).alias("size"), text.age_text(n * 20 - 60).alias("age"), text.duration_text(n).alias("duration"), text.percent_bar(n % 120, 10).alias("bar"))
+
+
+def sizes_of_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which bodies would pass the scan's rules on content."""
+    rows = units_of(spark, sf_dir).select("id", F.encode("body", "UTF-8").alias("content"), "body")
+    return rows.select("id", heuristics.head_is_source(F.col("content")).alias("head_ok"), heuristics.has_fit_size(F.length("content")).alias("size_ok"), heuristics.within_line_limit(F.col("body")).alias("lines_ok"))
+
+
+def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units_of(spark, sf_dir).select("id", text.content_hash(F.col("body")).alias("body_hash"))
+
+
+# --- search -----------------------------------------------------------------------------------------------------
+
+
+def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = units_of(spark, sf_dir)
+    return rounded(lexical.search(*lexical_index(units), QUERY, 20))
+
+
+def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = units_of(spark, sf_dir)
+    return rounded(lexical.scores(*lexical_index(units), lexical.parse_query(PHRASE)))
+
+
+def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = units_of(spark, sf_dir)
+    rows = lexical.filtered_search(units, *lexical_index(units), QUERY, 10, lexical.SearchFilter(language="python", path="/", exclude_tests=True))
+    return rounded(rows).select("rank", "id", "score", "name", "file_path", "snippet")
+
+
+def bm25_filter_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = units_of(spark, sf_dir)
+    rows = lexical.filtered_search(units, *lexical_index(units), QUERY, 10, lexical.SearchFilter(language="python", path="/", exclude_tests=True), pushdown=True)
+    return rounded(rows).select("rank", "id", "score", "name", "file_path", "snippet")
+
+
+def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = units_of(spark, sf_dir)
+    return lexical.filtered_search(units, *lexical_index(units), QUERY, 30).drop("rank")
+
+
+def rrf_two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fusion.ordered(fusion.fuse(_top(spark, sf_dir), QUERY))
+    return rounded(rows).select("rank", "id", "score", "lexical_rank", "name_rank")
+
+
+def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    """The vector of the smallest usable unit, as a stand-in for an embedded query."""
+    first = vectors.decoded(records_of(spark, sf_dir)).orderBy("unit_id").first()
+    return first["vector"] if first else [0.0] * 96
+
+
+def rrf_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = vectors.nearest_to(records_of(spark, sf_dir), _query_vector(spark, sf_dir), 2000)
+    rows = fusion.ordered(fusion.fuse_hybrid(_top(spark, sf_dir), QUERY, hits))
+    return rounded(rows).select("rank", "id", "score", "lexical_rank", "name_rank", "vector_rank")
+
+
+def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fusion.with_ranks(_top(spark, sf_dir), QUERY).join(units_of(spark, sf_dir).select("id", "repo", "complexity"), "id")
+    last = table(spark, sf_dir, "file_index").groupBy("repo", "file_path").agg(F.max("last_indexed").alias("last_indexed"))
+    rows = rows.join(last, ["repo", "file_path"], "left").withColumn("last_indexed", F.coalesce("last_indexed", F.lit(0))).withColumn("vector_rank", F.lit(None).cast("int"))
+    return rounded(fusion.weighted(rows, EPOCH)).select("id", "score")
+
+
+def semantic_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fusion.semantic_only(units_of(spark, sf_dir), records_of(spark, sf_dir), _query_vector(spark, sf_dir), 50, lexical.SearchFilter(language="python"))
+    return rounded(rows).select("rank", "id", "score", "name", "snippet")
+
+
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth embedding, against all."""
+    records = vectors.to_records(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("vector")))
+    queries = vectors.decoded(records.where(F.col("unit_id") % 100 == 0)).select(F.col("unit_id").alias("query_id"), "vector")
+    return vectors.nearest_to_many(records, queries, 10).select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def quantize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"), vx.quantize(F.col("embedding")).alias("q"))
+    back = vx.dequantize(F.col("q.data"), F.col("q.v_min"), F.col("q.v_max"))
+    worst = F.array_max(F.zip_with("v", back, lambda a, b: F.abs(a.cast("double") - b)))
+    return rows.select("vec_id", F.round("q.v_min", 6).alias("v_min"), F.round("q.v_max", 6).alias("v_max"), F.round(worst, 6).alias("worst"), F.round(vx.cosine(F.col("v"), back), 6).alias("cosine"), F.aggregate("q.data", F.lit(0).cast("bigint"), lambda s, x: s + x.cast("bigint")).alias("total"))
+
+
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors.decoded(records_of(spark, sf_dir))
+    return rows.select("unit_id", F.round(vx.norm(F.col("vector")), 6).alias("norm"), F.size(vx.sparse(F.col("vector"), 0.1)).cast("bigint").alias("n_large"))
+
+
+def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records after the latest ones of the last days were put over the older state."""
+    raw = table(spark, sf_dir, "vectors")
+    day = "timestamp'2025-12-25 00:00:00'"
+    merged = vectors.upsert(vectors.latest(raw.where(f"written_at < {day}")), vectors.latest(raw.where(f"written_at >= {day}")))
+    return merged.select("unit_id", "dim", "written_at")
+
+
+# --- call graph -------------------------------------------------------------------------------------------------
+
+
+def _popular_name(edges: DataFrame) -> str:
+    row = edges.groupBy("callee_name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "callee_name").first()
+    return row["callee_name"] if row else ""
+
+
+def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = edges_of(spark, sf_dir)
+    return graph.callers_of(units_of(spark, sf_dir), edges, _popular_name(edges))
+
+
+def callees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, units = edges_of(spark, sf_dir), units_of(spark, sf_dir)
+    first = graph.live_edges(units, edges).agg(F.min("caller_id").alias("id")).first()["id"]
+    return graph.callees_of(units, edges, first if first is not None else -1)
+
+
+def search_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = units_of(spark, sf_dir)
+    rows = graph.context(units, edges_of(spark, sf_dir), _top(spark, sf_dir))
+    return rows.select("id", F.array_join("callers", ",").alias("callers"), F.array_join("callees", ",").alias("callees"))
+
+
+def unused_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.unused_functions(units_of(spark, sf_dir), edges_of(spark, sf_dir))
+
+
+def unused_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.report_rows(unused_functions(spark, sf_dir))
+
+
+def orphan_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.orphan_edges(units_of(spark, sf_dir), edges_of(spark, sf_dir))
+
+
+def live_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.live_edges(units_of(spark, sf_dir), edges_of(spark, sf_dir))
+
+
+def edges_from_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges_of(units_of(spark, sf_dir))
+
+
+def unit_at_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest unit around each place that the call graph mentions."""
+    units = units_of(spark, sf_dir)
+    places = edges_of(spark, sf_dir).join(units.select(F.col("id").alias("caller_id"), "repo", "file_path"), "caller_id").select("repo", "file_path", F.col("line_number").alias("line")).distinct()
+    return graph.unit_at_lines(units, places)
+
+
+def popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.popularity(units_of(spark, sf_dir), edges_of(spark, sf_dir))
+
+
+# --- several repositories ---------------------------------------------------------------------------------------
+
+
+def _repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "repos").withColumn("ordinal", F.row_number().over(Window.orderBy("added_at", "name")))
+
+
+def federated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = units_of(spark, sf_dir)
+    rows = federated.search_repos(units, *lexical_index(units), _repos(spark, sf_dir), QUERY, 25)
+    return rounded(rows).select("rank", "repo", "id", "score", "name")
+
+
+def find_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units, records = units_of(spark, sf_dir), records_of(spark, sf_dir)
+    place = units.join(records.select(F.col("unit_id").alias("id")), "id", "left_semi").orderBy("id").select("repo", "file_path", "line_start").first()
+    return federated.find_similar(units, records, *(place or ("", "", 0)), 20)
+
+
+def dedup_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = units_of(spark, sf_dir).withColumn("place", F.col("id"))
+    return federated.first_of_copies(rows, body="body").select("id", "name")
+
+
+def repo_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return federated.repo_rollup(units_of(spark, sf_dir)).withColumn("languages", F.array_join("languages", ","))
+
+
+def cached_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = files_of(spark, sf_dir)
+    return federated.cached_vectors(units_of(spark, sf_dir), files, records_of(spark, sf_dir), files)
+
+
+# --- statistics and changes -------------------------------------------------------------------------------------
+
+
+def stats_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.by_type(units_of(spark, sf_dir))
+
+
+def stats_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.by_language(units_of(spark, sf_dir))
+
+
+def stats_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.summary(units_of(spark, sf_dir), edges_of(spark, sf_dir), table(spark, sf_dir, "file_index"))
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.latest_observations(table(spark, sf_dir, "file_scan"))
+
+
+def cdc_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.classify(_listing(spark, sf_dir), files_of(spark, sf_dir))
+
+
+def cdc_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.run_counters(cdc_classify(spark, sf_dir), units_of(spark, sf_dir).select("id"))
+
+
+def missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.missing_files(files_of(spark, sf_dir).select("repo", "file_path"), _listing(spark, sf_dir))
+
+
+def files_after_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files table after the next run has taken in what is new or changed."""
+    files, listing = files_of(spark, sf_dir).select("repo", "file_path", "file_hash"), _listing(spark, sf_dir)
+    fresh = incremental.select_changed(listing, files_of(spark, sf_dir), ["repo", "file_path"], force="needs_reindex").select("repo", "file_path", "file_hash")
+    return changes.upsert_files(files, fresh)
+
+
+def units_after_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = units_of(spark, sf_dir).select("repo", "file_path", "id")
+    return units.join(missing_files(spark, sf_dir), ["repo", "file_path"], "left_anti").select("repo", "file_path", "id")
+
+
+def unit_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units that change when line ends are made uniform."""
+    units = units_of(spark, sf_dir)
+    return changes.unit_diff(units, units.withColumn("body", F.replace("body", F.lit("\r\n"), F.lit("\n"))))
+
+
+def modified_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.modified_since(units_of(spark, sf_dir), table(spark, sf_dir, "file_index"), EPOCH).select("id", "file_path")
+
+
+def table_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.table_checksum(units_of(spark, sf_dir).select("repo", "id", "file_path", "name", "body"))
+
+
+def search_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rounded(lexical.ranked(_top(spark, sf_dir)))
+    return sinks.to_json_rows(rows)
+
+
+def search_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.to_csv_rows(lexical.ranked(_top(spark, sf_dir)))
+
+
+def search_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.to_plain_rows(lexical.ranked(_top(spark, sf_dir)))
+
+
+# --- scans and streams ------------------------------------------------------------------------------------------
+
+
+def parse_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units found again when each body is parsed as a file of its own."""
+    files = units_of(spark, sf_dir).select("repo", F.concat("file_path", F.lit("#"), F.col("id").cast("string")).alias("file_path"), "language", F.col("body").alias("text"))
+    return parse.parse_units(files).groupBy("language", "unit_type").agg(F.count("*").alias("n_units"), F.sum(F.size("calls")).alias("n_calls"))
+
+
+def debounce_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = watch.debounced(table(spark, sf_dir, "file_scan").distinct(), "repo", "observed_at", 600.0)
+    return rows.groupBy("repo", "batch").agg(F.count("*").alias("n"), F.min("observed_at").alias("first_at"), F.max("observed_at").alias("last_at"))
+
+
+def coalesce_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = watch.debounced(table(spark, sf_dir, "file_scan").distinct(), "repo", "observed_at", 600.0)
+    out = watch.coalesced(rows, ["repo", "batch"], "file_path", F.col("event_kind") == "gone")
+    return out.select("repo", "batch", "check_all", F.array_join("paths", ",").alias("paths"))
+
+
+def watched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extensions = [e for own in text.EXTENSIONS.values() for e in own]
+    plain = table(spark, sf_dir, "file_scan").withColumn("file_path", incremental.plain_path(F.col("file_path")))
+    return watch.watched_paths(plain, heuristics.BLOCKED_FOLDERS, extensions).select("scan_id", "file_path").distinct()
+
+
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observations as a stream of files into a keyed table, read at its end."""
+    source = table(spark, sf_dir, "file_scan")
+    at = f"{shared_folder(spark)}/stream-{spark._jvm.java.util.UUID.randomUUID()}"
+    whole, folder = f"{sf_dir.rstrip('/')}/file_scan.parquet", sf_dir.rstrip("/")
+    is_folder = spark._jvm.org.apache.hadoop.fs.Path(whole).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(whole)).isDirectory()
+    reader = spark.readStream.schema(source.schema)
+    stream = reader.parquet(whole) if is_folder else reader.option("pathGlobFilter", "file_scan.parquet").parquet(folder)
+    versions = {"now": 0}
+
+    def apply(rows: DataFrame, _: int) -> None:
+        old = versions["now"]
+        state = rows if not old else watch.last_per_key(spark.read.parquet(f"{at}/v={old}").unionByName(rows), ["repo", "file_path"], ["observed_at", "scan_id"])
+        state.write.mode("overwrite").parquet(f"{at}/v={old + 1}")
+        versions["now"] = old + 1
+
+    query = watch.start_upserts(stream, f"{at}/checkpoint", apply, ["repo", "file_path"], ["observed_at", "scan_id"])
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    state = spark.read.parquet(f"{at}/v={versions['now']}") if versions["now"] else source.limit(0)
+    return state.select("repo", "file_path", "observed_at", "scan_id", "event_kind")
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by kind in windows of an hour."""
+    return watch.event_counts(table(spark, sf_dir, "events"), "ts", "event_type", "10 minutes", "1 hour")
+
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that the next run has to process."""
     return incremental.files_to_process(*(table(spark, sf_dir, t) for t in ("file_scan", "file_index", "index_runs"))).select("repo", "file_path")
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found}
-
-SQL: dict[str, str] = {
-    "p3_found": r"""
-WITH scans AS (
-  SELECT repo, regexp_replace(regexp_replace(regexp_replace(file_path, '\\', '/', 'g'), '/{2,}', '/', 'g'), '^(\./)+', '') AS file_path,
-         event_kind, nullif(regexp_replace(lower(trim(file_hash)), '^[a-z0-9_-]+[:=]', ''), '') AS file_hash, observed_at, scan_id
-  FROM file_scan),
-latest AS (
-  SELECT * FROM scans WHERE event_kind = 'gone' OR (event_kind = 'seen' AND file_hash IS NOT NULL)
-  QUALIFY row_number() OVER (PARTITION BY repo, file_path ORDER BY observed_at DESC, scan_id DESC) = 1),
-rows AS (
-  SELECT repo, regexp_replace(regexp_replace(regexp_replace(file_path, '\\', '/', 'g'), '/{2,}', '/', 'g'), '^(\./)+', '') AS file_path,
-         nullif(regexp_replace(lower(trim(file_hash)), '^[a-z0-9_-]+[:=]', ''), '') AS file_hash, coalesce(needs_reindex, false) AS needs_reindex, last_indexed
-  FROM file_index i
-  WHERE EXISTS (SELECT 1 FROM index_runs r WHERE r.repo = i.repo AND r.run_status = 'ok' AND i.last_indexed BETWEEN r.started_at AND r.finished_at)
-),
-known AS (
-  SELECT * FROM rows
-  QUALIFY row_number() OVER (PARTITION BY repo, file_path ORDER BY last_indexed DESC, needs_reindex DESC, file_hash DESC) = 1)
-SELECT l.repo, l.file_path FROM latest l LEFT JOIN known k ON l.repo = k.repo AND l.file_path = k.file_path
-WHERE l.event_kind = 'seen' AND (k.repo IS NULL OR k.needs_reindex OR l.file_hash IS DISTINCT FROM k.file_hash)
-""",
-}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        p3_found, tokenize_stats, path_functions, snippets, name_match, fuzzy_names, format_helpers, sizes_of_heads, content_hashes,
+        bm25_search, bm25_phrase, bm25_filtered, bm25_filter_first, rrf_two_way, rrf_three_way, rrf_weighted, semantic_only, vector_topk, quantize_roundtrip, vector_norms, vector_upsert,
+        callers, callees, search_context, unused_functions, unused_report, orphan_edges, live_edges, edges_from_units, unit_at_line, popularity,
+        federated_search, find_similar, dedup_fingerprint, repo_rollup, cached_vectors, stats_by_type, stats_by_language, stats_summary,
+        cdc_classify, cdc_counters, missing_files, files_after_run, units_after_cleanup, unit_diff, modified_since, table_checksum, search_json, search_csv, search_plain,
+        parse_bodies, debounce_batches, coalesce_batches, watched_events, stream_upsert, event_windows,
+    )
+}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p3_found(spark, sf_dir)
+    return rrf_two_way(spark, sf_dir)

@@ -17,7 +17,7 @@ def debounced(events: DataFrame, key: str, at: str, gap_seconds: float, span_sec
     With ``span_seconds`` a batch is also cut into stretches of that length from its first event.
     """
     order = Window.partitionBy(key).orderBy(at, *[c for c in ("event_id", "scan_id") if c in events.columns])
-    seconds = lambda c: F.unix_micros(c) / 1e6
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
     paused = F.coalesce(seconds(F.col(at)) - seconds(F.lag(at).over(order)) > gap_seconds, F.lit(True))
     rows = events.withColumn("batch", F.sum(paused.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
     if span_seconds is not None:
