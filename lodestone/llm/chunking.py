@@ -88,7 +88,8 @@ def split_places(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[
     best = GRAIN - 1 - rows.argmin(axis=1)
     ends = np.arange(grains) * GRAIN + best
     ends = ends[np.isfinite(padded[ends])]
-    ends = np.append(ends, n)
+    # and the places that give the fewest pieces
+    ends = np.append(np.union1d(ends, np.arange(limit, n, limit - overlap)), n)
     own = np.append(cost[ends[:-1]], 0.0)
     step = limit - overlap
     pieces = -(-(n - overlap) // step)
