@@ -6,17 +6,17 @@ import os
 import time
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import config
-from lodestone.functions.text import parse_file_line
+from lodestone.functions.text import embed_text, parse_file_line
+from lodestone.model import TABLES
 from lodestone.operators import changes, federated, fusion, graph, lexical, stats, vectors
 from lodestone.sources import parse, sinks, tree
 from lodestone.streaming import watch
 
-TABLES = ("units", "edges", "files", "postings", "field_stats", "vectors")
-
 
 class CodeIndex:
     """Tables of an index in versioned folders below ``root``; a commit switches all of them at once.
@@ -52,13 +52,17 @@ class CodeIndex:
         version = self._live() if version is None else version
         if not version:
             raise FileNotFoundError(f"no index below {self.root}")
-        return self.spark.read.parquet(f"{self.root}/v={version}/{name}")
+        return self._read(version, name)
+
+    def _read(self, version: int, name: str) -> DataFrame:
+        # with their schemas, as a table without rows may have no files
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/v={version}/{name}")
 
     def _commit(self, units: DataFrame, files: DataFrame, records: DataFrame | None = None) -> None:
         version = self._live() + 1
         at = f"{self.root}/v={version}"
         units.write.mode("overwrite").partitionBy("repo").parquet(f"{at}/units")
-        units = self.spark.read.parquet(f"{at}/units")
+        units = self._read(version, "units")
         files.write.mode("overwrite").parquet(f"{at}/files")
         graph.edges_of(units).write.mode("overwrite").parquet(f"{at}/edges")
         lexical.write_postings(lexical.build_postings(units), f"{at}/postings")
@@ -68,7 +72,7 @@ class CodeIndex:
         elif version > 1 and os.path.exists(f"{self.root}/v={version - 1}/vectors"):
             live = self.table("vectors").join(units.select(F.col("id").alias("unit_id")), "unit_id", "left_semi")
             live.write.mode("overwrite").option("compression", "zstd").parquet(f"{at}/vectors")
-        totals = stats.metadata_totals(units, self.spark.read.parquet(f"{at}/files")).first()
+        totals = stats.metadata_totals(units, self._read(version, "files")).first()
         meta = self.metadata()
         meta.migrate()
         now = int(time.time())
@@ -105,7 +109,7 @@ class CodeIndex:
         listing = listing.cache()
         try:
             has = self.exists()
-            files = self.table("files") if has else self.spark.createDataFrame([], "repo string, file_path string, file_hash string, last_indexed bigint, needs_reindex boolean")
+            files = self.table("files") if has else self.spark.createDataFrame([], TABLES["files"])
             own = files.where(F.col("repo") == repo)
             classed = changes.classify(listing, own.where(~F.col("needs_reindex"))).cache()
             counts = {r["change"]: r["count"] for r in classed.groupBy("change").count().collect()}
@@ -148,10 +152,6 @@ class CodeIndex:
 
     def embed(self, model: Callable[[Sequence[str]], Sequence[Sequence[float]]], name: str) -> int:
         """Makes vectors for units without one by a user's function over batches of texts. Returns their number."""
-        import pandas as pd
-
-        from lodestone.functions.text import embed_text
-
         @F.pandas_udf("array<float>")
         def run(texts: pd.Series) -> pd.Series:
             return pd.Series([[float(x) for x in v] for v in model(list(texts))])
