@@ -119,9 +119,9 @@ def size_text(n: Column) -> Column:
     return (
         F.when(n == 0, "—")
         .when(n < kb, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < mb, F.format_string("%.1f KB", n / kb))
-        .when(n < gb, F.format_string("%.1f MB", n / mb))
-        .otherwise(F.format_string("%.2f GB", n / gb))
+        .when(n < mb, F.format_string("%.1f KB", F.bround(n / kb, 1)))
+        .when(n < gb, F.format_string("%.1f MB", F.bround(n / mb, 1)))
+        .otherwise(F.format_string("%.2f GB", F.bround(n / gb, 2)))
     )
 
 

@@ -10,6 +10,7 @@ ordered by id. Null fields have no terms. An empty query finds nothing.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -192,30 +193,46 @@ def write_postings(postings: DataFrame, path: str, partitions: int | None = None
 
 
 def scores(postings: DataFrame, stats: DataFrame, query: Query) -> DataFrame:
-    """(id, score) of every unit that matches. Only postings of the query's terms are read."""
+    """(id, score) of every unit that matches. Only postings of the query's terms are read.
+
+    Field statistics and the document frequencies of the query's terms, at most four rows a
+    term, come to the driver first; the scoring itself is then one filtered scan, a broadcast
+    of the query's terms and one aggregation by unit.
+    """
     spark = postings.sparkSession
     if not query.clauses:
-        return postings.select("id", F.lit(0.0).alias("score")).limit(0)
-    own = spark.createDataFrame([(i, n, t, len(c.terms), c.field) for i, c in enumerate(query.clauses) for n, t in enumerate(c.terms)], "clause int, at int, term string, n_terms int, only_field string")
-    boosts = F.create_map(*[x for name, (_, boost) in FIELDS.items() for x in (F.lit(name), F.lit(boost))])
+        return postings.select("id", F.lit(0.0).alias("score")).where("false")
     rows = postings.where(F.col("term").isin(query.terms))
-    frequency = rows.groupBy("field", "term").agg(F.count("*").alias("df"))
-    weights = frequency.join(F.broadcast(stats), "field").select("field", "term", F.log(1 + (F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    clause_idf = weights.join(F.broadcast(own), "term").where(F.col("only_field").isNull() | (F.col("only_field") == F.col("field"))).groupBy("clause", "field").agg(F.sum("idf").alias("idf"))
-    placed = rows.join(F.broadcast(own), "term").where(F.col("only_field").isNull() | (F.col("only_field") == F.col("field")))
-    single = placed.where("n_terms = 1").select("clause", "id", "field", "field_length", F.size("positions").alias("tf"))
-    phrases = (
-        placed.where("n_terms > 1")
-        .select("clause", "id", "field", "field_length", "n_terms", "at", F.explode("positions").alias("position"))
-        .groupBy("clause", "id", "field", "field_length", "n_terms", (F.col("position") - F.col("at")).alias("begin"))
-        .agg(F.countDistinct("at").alias("there"))
-        .where("there = n_terms")
-        .groupBy("clause", "id", "field", "field_length")
-        .agg(F.count("*").cast("int").alias("tf"))
-    )
-    hits = single.unionByName(phrases).join(F.broadcast(clause_idf), ["clause", "field"]).join(F.broadcast(stats), "field")
-    length = F.when(F.col("mean_length") > 0, F.col("field_length") / F.col("mean_length")).otherwise(0.0)
-    part = boosts[F.col("field")] * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length))
+    of_field = {r["field"]: (r["n_units"], r["mean_length"] or 0.0) for r in stats.collect()}
+    df = {(r["field"], r["term"]): r["df"] for r in rows.groupBy("field", "term").agg(F.count("*").alias("df")).collect()}
+    idf = {key: math.log(1 + (of_field[key[0]][0] - n + 0.5) / (n + 0.5)) for key, n in df.items()}
+    placed, weight = [], []
+    for i, c in enumerate(query.clauses):
+        for name in FIELDS if c.field is None else [c.field]:
+            if all((name, t) in idf for t in c.terms):
+                weight.append((f"{i}|{name}", FIELDS[name][1] * sum(idf[(name, t)] for t in c.terms)))
+                placed += [(i, n, t, len(c.terms), name) for n, t in enumerate(c.terms)]
+    if not placed:
+        return postings.select("id", F.lit(0.0).alias("score")).where("false")
+    own = spark.createDataFrame(placed, "clause int, at int, term string, n_terms int, field string")
+    found = rows.join(F.broadcast(own), ["term", "field"])
+    hits = found.where("n_terms = 1").select("clause", "id", "field", "field_length", F.size("positions").alias("tf"))
+    if any(len(c.terms) > 1 for c in query.clauses):
+        phrases = (
+            found.where("n_terms > 1")
+            .select("clause", "id", "field", "field_length", "n_terms", "at", F.explode("positions").alias("position"))
+            .groupBy("clause", "id", "field", "field_length", "n_terms", (F.col("position") - F.col("at")).alias("begin"))
+            .agg(F.countDistinct("at").alias("there"))
+            .where("there = n_terms")
+            .groupBy("clause", "id", "field", "field_length")
+            .agg(F.count("*").cast("int").alias("tf"))
+        )
+        hits = hits.unionByName(phrases)
+    weights = F.create_map(*[x for key, w in weight for x in (F.lit(key), F.lit(w))])
+    means = F.create_map(*[x for name, (_, mean) in of_field.items() for x in (F.lit(name), F.lit(float(mean)))])
+    mean = means[F.col("field")]
+    length = F.when(mean > 0, F.col("field_length") / mean).otherwise(0.0)
+    part = weights[F.concat_ws("|", F.col("clause").cast("string"), F.col("field"))] * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length))
     by_clause = hits.select("clause", "id", part.alias("part")).groupBy("id").agg(*[F.sum(F.when(F.col("clause") == i, F.col("part"))).alias(f"c{i}") for i in range(len(query.clauses))])
     hit = {i: F.col(f"c{i}").isNotNull() for i in range(len(query.clauses))}
     total = F.lit(0.0)

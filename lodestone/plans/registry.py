@@ -82,7 +82,7 @@ def name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names within three edits of a word, for typing errors."""
-    distance = F.levenshtein(F.lower("name"), F.lit("splitregistry"), 3)
+    distance = F.levenshtein(F.lower("name"), F.lit("splitrow"), 3)
     return units_of(spark, sf_dir).select("name").distinct().withColumn("distance", distance.cast("bigint")).where(F.col("distance") >= 0)
 
 
@@ -202,7 +202,8 @@ def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def callees(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, units = edges_of(spark, sf_dir), units_of(spark, sf_dir)
-    first = graph.live_edges(units, edges).agg(F.min("caller_id").alias("id")).first()["id"]
+    resolved = graph.live_edges(units, edges).join(units.select(F.col("name").alias("callee_name")).distinct(), "callee_name", "left_semi")
+    first = resolved.agg(F.min("caller_id").alias("id")).first()["id"]
     return graph.callees_of(units, edges, first if first is not None else -1)
 
 

@@ -107,7 +107,7 @@ SELECT file_path, {LANGUAGE_CASE} AS language, {IS_TEST.format('file_path')} AS
 FROM (SELECT file_path FROM code_units UNION SELECT file_path FROM file_index)""",
     "snippets": f"WITH {UNITS} SELECT id, {SNIPPET} AS snippet, CAST(to_json(calls) AS VARCHAR) AS calls_json, CAST(len(calls) AS BIGINT) AS n_calls FROM units",
     "name_match": "WITH names AS (SELECT DISTINCT name FROM code_units), q AS (SELECT unnest(['validate_tenant_account', 'sync lower registry', 'split', 'zz']) AS query) SELECT name, query, round(" + name_score("query", "name") + ", 6) AS score FROM names, q",
-    "fuzzy_names": "SELECT * FROM (SELECT DISTINCT name, levenshtein(lower(name), 'splitregistry') AS distance FROM code_units) WHERE distance <= 3",
+    "fuzzy_names": "SELECT * FROM (SELECT DISTINCT name, levenshtein(lower(name), 'splitrow') AS distance FROM code_units) WHERE distance <= 3",
     "format_helpers": """
 WITH d AS (SELECT doc_id, coalesce(n_chars, 0) AS n, coalesce(n_chars, 0) * 1000 AS b, coalesce(n_chars, 0) * 20 - 60 AS a, coalesce(n_chars, 0) % 120 AS p FROM documents)
 SELECT doc_id, format('{:,}', n) AS thousands,
@@ -118,8 +118,8 @@ SELECT doc_id, format('{:,}', n) AS thousands,
 FROM d""",
     "sizes_of_heads": f"""
 WITH {UNITS}, heads AS (SELECT id, body, octet_length(encode(body)) AS size, encode(body)[1:512] AS raw FROM units)
-SELECT id, CASE WHEN try(decode(raw)) IS NULL THEN false ELSE NOT contains(decode(raw), chr(0)) AND {' AND '.join("NOT contains(decode(raw), '" + m.replace("'", "''") + "')" for m in heuristics.GENERATED_MARKERS)}
-    AND len([l FOR l IN string_split(decode(raw), chr(10)) IF strlen(rtrim(l)) > 500]) = 0 END AS head_ok,
+SELECT id, CASE WHEN try(decode(raw)) IS NULL THEN false ELSE NOT contains(try(decode(raw)), chr(0)) AND {' AND '.join("NOT contains(try(decode(raw)), '" + m.replace("'", "''") + "')" for m in heuristics.GENERATED_MARKERS)}
+    AND len([l FOR l IN string_split(try(decode(raw)), chr(10)) IF strlen(rtrim(l)) > 500]) = 0 END AS head_ok,
   size BETWEEN 1 AND 1000000 AS size_ok, length(body) - length(replace(body, chr(10), '')) < 10000 AS lines_ok
 FROM heads""",
     "content_hashes": f"WITH {UNITS} SELECT id, sha256(body) AS body_hash FROM units",
@@ -183,7 +183,7 @@ SELECT unit_id, dim, written_at FROM last QUALIFY row_number() OVER (PARTITION B
 WITH {UNITS}, {EDGES}, popular AS (SELECT callee_name FROM edges GROUP BY callee_name ORDER BY count(*) DESC, callee_name LIMIT 1)
 SELECT id, name, file_path, line_start FROM units WHERE id IN (SELECT caller_id FROM edges WHERE callee_name = (SELECT callee_name FROM popular)) ORDER BY id LIMIT 10""",
     "callees": f"""
-WITH {UNITS}, {EDGES}, first AS (SELECT min(caller_id) AS id FROM edges WHERE caller_id IN (SELECT id FROM units))
+WITH {UNITS}, {EDGES}, first AS (SELECT min(caller_id) AS id FROM edges WHERE caller_id IN (SELECT id FROM units) AND callee_name IN (SELECT name FROM units))
 SELECT id, name, file_path, line_start FROM units WHERE name IN (SELECT callee_name FROM edges WHERE caller_id = (SELECT id FROM first)) ORDER BY id LIMIT 10""",
     "search_context": f"""
 WITH {bm25(QUERY_WORDS)}, {TOP}, {EDGES},
