@@ -14,6 +14,7 @@ from lodestone import config
 from lodestone.functions.text import embed_text, parse_file_line
 from lodestone.model import TABLES
 from lodestone.operators import changes, federated, fusion, graph, lexical, stats, vectors
+from lodestone.session import ship
 from lodestone.sources import parse, sinks, tree
 from lodestone.streaming import watch
 
@@ -28,6 +29,7 @@ class CodeIndex:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        ship(spark)
 
     # --- state --------------------------------------------------------------------------------------------------
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +29,32 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, name: s
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, unless they find it by PYTHONPATH."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    parent = os.path.dirname(package)
+    if parent in os.environ.get("PYTHONPATH", "").split(os.pathsep) or not os.path.isdir(package):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="lodestone-"), "lodestone_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(package):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.relpath(path, parent))
+    sc.addPyFile(archive)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table: a Parquet file or a folder of them."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -50,6 +76,7 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
     shared_folder(df.sparkSession)
+    ship(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
