@@ -31,8 +31,8 @@ from lodestone.session import cut
 
 DIM = 96
 K = 5
-TREES = 10
-REACH = 192
+TREES = 12
+REACH = 400
 BLOCK = 256
 RANGE_ROWS = 32_768
 SEED = 20_251
