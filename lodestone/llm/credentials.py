@@ -40,6 +40,8 @@ PLACEHOLDER = re.compile(
 )
 LOOKUP = re.compile(r"(?i)(?:getenv|environ|env::var|process\.env|getproperty|env\.get|os\.get|config\.get|get_?secret|read_?secret|vault|keyring|ssm|prompt|getpass|input|ask|unwrap_or|lookup_?env)")
 
+OWNER = re.compile(r"([\w.\-$]+)[\"'`\]]*\s*(?::=|=>|=|:)[^\"'`=]*[\"'`]?$")
+
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PEM_BODY = re.compile(r"(?:[A-Za-z0-9+/=\s\"'`,+\\#*/]|\\n|\\r)*")
 URL_USER = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.\-]*://[^\s/:@\"'`<>]*:([^\s@\"'`]+)@[\w.\-]")
@@ -59,7 +61,7 @@ COMMAND = re.compile(r"(?i)\b(?:mysql\w*|mariadb\w*|sshpass|mongo\w*|redis-cli|p
 EXPORT = re.compile(r"(?:\bexport\s+|\bset\s+|\bENV\s+|^\s*|-e\s+)([A-Z][A-Z0-9_]*(?:TOKEN|SECRET|PASSWORD|PASSWD|PWD|PW|KEY|CREDENTIALS?))=[\"']?([^\s\"'`;&]{8,})")
 SETTING = re.compile(r"(?i)(?<=[;\"'` ])(?:pwd|password|accountkey|sharedaccesskey|sharedsecret)=([^;\"'`\s&()]{6,})(?=[;\"'`\n]|$)")
 SAID = re.compile(r"(?i)\b(?:password|passwd|passphrase|pass|pw|pwd|token|secret|api key|key|kennwort|passwort|contraseña|mot de passe|login)\s+(?:was|is|are|=|:|ist|war|es|est|set to|changed to)\s*:?\s*[\"'`]?([^\s\"'`,;]{8,})")
-DEFAULT = re.compile(r"(?i)(?:getenv|environ(?:\.get)?|env::var|process\.env\.?\w*|getproperty|env\.get|lookup_?env|os\.get\w*|config\.get\w*|getordefault)")
+DEFAULT = re.compile(r"(?i)(?:getenv|env_?or\w*|environ(?:\.get)?|env::var|process\.env\.?\w*|getproperty|env\.get|lookup_?env|os\.get\w*|config\.get\w*|getordefault)")
 COMMENT = re.compile(r"^\s*(?://|#|\*|/\*|--|>>>|\.\.\.)")
 HEX = re.compile(r"[0-9a-fA-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
@@ -98,7 +100,8 @@ class Finder:
             return False
         if HEX.fullmatch(value) or UUID.fullmatch(value) or DIGEST.match(value) or PLACEHOLDER.match(value):
             return False
-        if PUBLIC.search(before[-60:]) or before.rstrip(" \"'`").endswith(("base64,", "BEGIN")):
+        owner = OWNER.search(before)
+        if owner and PUBLIC.search(owner.group(1)) or before.rstrip(" \"'`").endswith(("base64,", "BEGIN")):
             return False
         return self.per_subword(value) <= RANDOM_CPS and math.log2(len(set(value))) >= 3.2
 
@@ -141,7 +144,7 @@ class Finder:
         return merged
 
     # Parts of words that credentials stand by, in lower case.
-    KEYS = ("pass", "pw", "secret", "token", "key", "credential", "kennwort", "contrase", "mot_de", "motde", "bearer", "authoriz", "login", "logon", "sign_in", "signin", "connect(", "authenticate", "curl ", "mysql", "getenv", "environ", "env::var", "process.env", "getproperty", "--user", "lookupenv")
+    KEYS = ("pass", "pw", "secret", "token", "key", "credential", "kennwort", "contrase", "mot_de", "motde", "bearer", "authoriz", "login", "logon", "sign_in", "signin", "connect(", "authenticate", "curl ", "mysql", "getenv", "environ", "env::var", "process.env", "getproperty", "--user", "lookupenv", "env_or", "envor")
 
     def _lines(self, text: str, low: str) -> list[tuple[int, int]]:
         """Lines with a word that credentials stand by."""
