@@ -211,6 +211,7 @@ NOTICE = re.compile(r"(?i)copyright|\(c\)\s*\d{4}|spdx-license|licen[sc]ed? (und
 DIRECTIVE = re.compile(r"(?i)^\W*(noqa\b|nolint|nosonar|nosec|eslint-|tslint:|jshint |jslint |prettier-|stylelint-|type:\s*ignore|pylint:|flake8:|mypy:|ruff:|isort:|yapf:|fmt:\s*(on|off|skip)|pragma\b|@ts-|clang-format|clang-tidy|rustfmt|coverage:|istanbul |c8 |v8 |lint:|go:\w+|\+build|checkstyle:|@?suppress|region\b|endregion\b|cspell:|spell-?checker:|vim:|-\*-|!/)")
 INHERIT = re.compile(r"(?i)\{?@(inherit-?doc|override|overload|see|link|internal|private|public|deprecated|ignore|hidden)\b[^}]*\}?")
 TAG = re.compile(r"(?i)^\W*[@:\\](param|arg|argument|tparam|parameter|keyword|type|rtype|return|returns|raises?|throws?|exception|yields?|brief|details|short|note|remarks?|summary|desc|description)\b(?:\[[^\]]*\])?:?\s*")
+BRIEF = re.compile(r"(?i)^\W*[@\\](?:brief|short|details|note|summary|remarks?)\b\s*")
 PARAM = re.compile(r"(?i)^\W*[@:\\](param|arg|argument|tparam|parameter|keyword|type|raises?|throws?|exception)\b")
 CODE_LINE = re.compile(
     r"[;{}]\s*$|^\s*[})\]]|^\s*[\w.\[\]\"'$>-]+(?:\s*,\s*[\w.\[\]\"']+)*\s*(?:=|\+=|-=|:=|\?\?=|<-)\s*\S|^\s*[\w.:>-]+\([^ ]*(?:, ?[^ ]+)*\)\??;?\s*$|^\s*(?:const|let|var|auto|final)\s+[\w{\[]|^\s*(?:if|for|while|with|elif|switch|match|try|except|else|case|default|catch|finally|do|go|defer|await|async|raise|throw|assert|return|break|continue|yield|del|import|from|use|print)\b(?=.*[(.=<>\[:_{]|\s*$).*[:({)\]_\w;]\s*$"
@@ -240,16 +241,16 @@ def name_stems(name: str | None) -> set[str]:
 
 
 def _new_words(line: str, known: set[str]) -> int:
-    """Number of words that are neither empty nor part of the name; counting stops at two."""
-    count = 0
+    """Number of different words that are neither empty nor part of the name; counting stops at two."""
+    first = None
     for word in WORDS.findall(line):
         for part in (word,) if word.islower() or word.istitle() else CASED.findall(word):
             low = part.lower()
-            if low not in EMPTY_WORDS and _stem(low) not in known:
-                count += 1
-                if count == 2:
+            if low != first and low not in EMPTY_WORDS and _stem(low) not in known:
+                if first is not None:
                     return 2
-    return count
+                first = low
+    return 0 if first is None else 1
 
 
 def says_something(text: str | None, name: str | None) -> bool:
@@ -277,6 +278,7 @@ def says_something(text: str | None, name: str | None) -> bool:
         if NOTICE.search(line) or DIRECTIVE.match(line) or STUB.search(line) or MARKERS.search(line) or REFERENCE.match(line):
             continue
         known = own
+        line = BRIEF.sub("", line)
         is_param = PARAM.match(line)
         line = TAG.sub("", INHERIT.sub("", line)).strip()
         if is_param:

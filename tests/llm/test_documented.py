@@ -4,12 +4,12 @@ from lodestone.llm import documented as dc
 
 SAYS = [
     ("Removes entries older than 14 days and reports how many remain.", "prune"), ("Never touches the disk.", "load_item"), ("TODO: speed this up later.\nKeeps at most 602 entries.", "store"), ("Deprecated.\nSplits the row into parts.", "split"),
-    ("/**\n * @param a the first matrix to start from\n */", "run"), ("Liefert den Wert zurück, dessen Größe stimmt.", "get"), ("返回缓存中最旧的记录。", "oldest"), ("NOTE\nCosts one lookup per archive.", "x"), ("// Copyright 2020 me\n// Panics on an empty journal.", "f"),
+    ("/**\n * @param a the first matrix to start from\n */", "run"), ("Liefert den Wert zurück, dessen Größe stimmt.", "get"), ("返回缓存中最旧的记录。", "oldest"), ("NOTE\nCosts one lookup per archive.", "x"), ("\\brief Keeps at most 602 entries.", "store"), ("// Copyright 2020 me\n// Panics on an empty journal.", "f"),
 ]
 SAYS_NOTHING = [
     (None, "f"), ("", "f"), (" \n ", "f"), ("----------", "f"), ("Backup layer.", "backup_layer"), ("This is the restore ratio function, which is called restore ratio.", "restoreRatio"), ("Dispatches the slot.", "dispatchSlot"), ("Wrapper.", "f"),
     ("TODO: somebody should describe what this does\n(left open since the last release)", "f"), ("@param target the target\n@param address\n@return", "f"), ("See base class.", "f"), ("Auto-generated method stub, fill in the description later on.", "f"),
-    ("Author: planner team\nDate: 2023-06-10\nVersion: 1.0", "f"), ("// SPDX-License-Identifier: MPL-2.0", "f"), ("# noqa", "f"), ("// const a = call(b);", "f"), ("# x = compute(y)", "f"), ("merge_packet()", "merge_packet"), ("{@inheritDoc}", "f"), ("Siehe oben.", "f"),
+    ("Author: planner team\nDate: 2023-06-10\nVersion: 1.0", "f"), ("// SPDX-License-Identifier: MPL-2.0", "f"), ("# noqa", "f"), ("// const a = call(b);", "f"), ("# x = compute(y)", "f"), ("merge_packet()", "merge_packet"), ("{@inheritDoc}", "f"), ("\\brief @param target the target", "f"), ("Siehe oben.", "f"),
     ("Vendored from lib 2.4.4; upstream changes are not applied here.", "f"),
 ]
 
