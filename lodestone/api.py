@@ -9,6 +9,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from lodestone import config
 from lodestone.functions.text import embed_text, parse_file_line
@@ -16,7 +17,7 @@ from lodestone.model import TABLES
 from lodestone.operators import changes, federated, fusion, graph, lexical, stats, vectors
 from lodestone.session import ship
 from lodestone.sources import parse, sinks, tree
-from lodestone.streaming import watch
+from lodestone.streaming import events, watch
 
 
 class CodeIndex:
@@ -106,13 +107,20 @@ class CodeIndex:
             self.validate()
             return self._update(tree.read_tree(self.spark, path, repo), repo, now)
 
-    def _update(self, listing: DataFrame, repo: str, now: int | None) -> dict[str, int]:
+    def update_paths(self, path: str, repo: str, paths: Sequence[str], now: int | None = None) -> dict[str, int]:
+        """Takes in given files only: new and changed ones are parsed, those that are gone leave."""
+        with config.Lock(f"{self.root}/lock"):
+            return self._update(tree.read_paths(self.spark, path, repo, list(paths)), repo, now, list(paths))
+
+    def _update(self, listing: DataFrame, repo: str, now: int | None, paths: list[str] | None = None) -> dict[str, int]:
         now = int(time.time()) if now is None else now
         listing = listing.cache()
         try:
             has = self.exists()
             files = self.table("files") if has else self.spark.createDataFrame([], TABLES["files"])
             own = files.where(F.col("repo") == repo)
+            if paths is not None:
+                own = own.where(F.col("file_path").isin(paths))
             classed = changes.classify(listing, own.where(~F.col("needs_reindex"))).cache()
             counts = {r["change"]: r["count"] for r in classed.groupBy("change").count().collect()}
             fresh = classed.where(F.col("change").isin("new", "changed")).select("repo", "file_path")
@@ -212,14 +220,27 @@ class CodeIndex:
         lines = [r[1] for r in rows.orderBy("rank").collect()]
         return [sinks.csv_header(results), *lines] if kind == "csv" else lines
 
-    def watch(self, path: str, repo: str, checkpoint: str, seconds: int | None = watch.POLL_SECONDS) -> object:
-        """A streaming query that looks at the tree at every trigger and takes in what changed."""
+    def watch(self, path: str, repo: str, checkpoint: str, seconds: int | None = watch.POLL_SECONDS) -> StreamingQuery:
+        """A streaming query that follows the tree's changes.
+
+        A batch that asks for a full scan, as the first one and any after a change of git's
+        index, takes in the tree; others take in their paths. A batch that meets a lock is
+        not lost: the next change or full scan sees the same hashes.
+        """
+        self.spark.dataSource.register(events.TreeEvents)
+        changes_ = self.spark.readStream.format("tree_events").load(path)
 
-        def apply(_: DataFrame, __: int) -> None:
+        def apply(batch: DataFrame, _: int) -> None:
+            found = watch.coalesced(batch.withColumn("all", F.lit(1)), ["all"], "file_path", F.col("check_all")).first()
+            if found is None:
+                return
             try:
-                self.index(path, repo)
+                if found["check_all"]:
+                    self.index(path, repo)
+                else:
+                    self.update_paths(path, repo, found["paths"])
             except RuntimeError:
-                return  # another process holds the lock: the next trigger sees the same changes
+                return
 
-        ticks = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load().select(F.lit(repo).alias("repo"), F.col("timestamp").alias("at"))
-        return watch.start_upserts(ticks, checkpoint, apply, ["repo"], ["at"], seconds)
+        writer = changes_.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()

@@ -8,14 +8,17 @@ are no help here: they drop names that begin with ``_`` or ``.``, as ``__init__.
 
 from __future__ import annotations
 
+import datetime
 import os
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lodestone.functions.text import content_hash, path_language
 from lodestone.sources import heuristics
 
 SCHEMA = "file_path string, length bigint, modified timestamp, content binary"
@@ -155,8 +158,6 @@ class TreeReader(DataSourceReader):
         return out + [Part(f, True) for f in level]
 
     def read(self, partition: Part) -> Iterator[tuple]:
-        import datetime
-
         stack = [(partition.folder, chain(partition.folder, self.root))]
         while stack:
             folder, above = stack.pop()
@@ -187,11 +188,38 @@ class SourceTree(DataSource):
         return TreeReader(self.options["path"], self.options.get("content", "true").lower() == "true")
 
 
+def _as_sources(files: DataFrame, repo: str) -> DataFrame:
+    valid = heuristics.source_files(files).withColumn("text", F.try_validate_utf8(F.col("content").cast("string"))).where("text IS NOT NULL")
+    return valid.select(F.lit(repo).alias("repo"), "file_path", "text", content_hash(F.col("text")).alias("file_hash"), path_language(F.col("file_path")).alias("language"))
+
+
 def read_tree(spark: SparkSession, root: str, repo: str) -> DataFrame:
     """(repo, file_path, text, file_hash, language) of the files of a working tree that are source."""
-    from lodestone.functions.text import content_hash, path_language
-
     spark.dataSource.register(SourceTree)
-    files = heuristics.source_files(spark.read.format("source_tree").load(root))
-    valid = files.withColumn("text", F.try_validate_utf8(F.col("content").cast("string"))).where("text IS NOT NULL")
-    return valid.select(F.lit(repo).alias("repo"), "file_path", "text", content_hash(F.col("text")).alias("file_hash"), path_language(F.col("file_path")).alias("language"))
+    return _as_sources(spark.read.format("source_tree").load(root), repo)
+
+
+def read_paths(spark: SparkSession, root: str, repo: str, paths: list[str]) -> DataFrame:
+    """The same for given paths below the root; those that are gone, hidden, ignored or no source are left out."""
+    base = os.path.abspath(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for below in batch.column(0).to_pylist():
+                path = os.path.join(base, below)
+                folder, rules, hidden = base, [], False
+                for part in below.split("/")[:-1]:
+                    rules += rules_of(folder, base)
+                    folder = os.path.join(folder, part)
+                    hidden = hidden or part.startswith(".") or os.path.islink(folder) or is_ignored(folder, True, rules)
+                rules += rules_of(folder, base)
+                if hidden or os.path.basename(below).startswith(".") or os.path.islink(path) or not os.path.isfile(path) or is_ignored(path, False, rules):
+                    continue
+                size = os.path.getsize(path)
+                with open(path, "rb") as f:
+                    out.append((below, size, f.read(heuristics.MAX_BYTES + 1)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["file_path", "length", "content"])
+
+    names = spark.createDataFrame([(p,) for p in sorted(set(paths))], "file_path string")
+    return _as_sources(names.mapInArrow(run, "file_path string, length bigint, content binary"), repo)

@@ -153,14 +153,35 @@ def test_watching_takes_in_changes(spark, tmp_path):
     plant(tmp_path / "repo", {"a.py": "def a():\n    return 1\n"})
     index = CodeIndex(spark, str(tmp_path / "index"))
     query = index.watch(str(tmp_path / "repo"), "repo", str(tmp_path / "ckpt"), 1)
-    try:
-        for _ in range(60):
-            if index.exists():
-                break
+
+    def wait_for(names):
+        for _ in range(90):
+            if query.exception():
+                raise query.exception()
+            if index.exists() and {r["name"] for r in index.table("units").collect()} == names:
+                return
             query.awaitTermination(1)
+        raise AssertionError(names)
+
+    try:
+        wait_for({"a"})
+        plant(tmp_path / "repo", {"b.py": "def b():\n    return 1\n"})
+        wait_for({"a", "b"})
+        os.remove(tmp_path / "repo" / "a.py")
+        wait_for({"b"})
     finally:
         query.stop()
-    assert [r["name"] for r in index.table("units").collect()] == ["a"]
+
+
+def test_given_paths_only(spark, tmp_path):
+    plant(tmp_path / "repo", {"a.py": "def a():\n    return 1\n", "x/b.py": "def b():\n    return 1\n", ".gitignore": "no/\n", "no/c.py": "def c(): pass\n"})
+    index = CodeIndex(spark, str(tmp_path / "index"))
+    index.index(str(tmp_path / "repo"), "repo")
+    plant(tmp_path / "repo", {"a.py": "def a2():\n    return 1\n", "x/b.py": "def b2():\n    return 1\n"})
+    assert index.update_paths(str(tmp_path / "repo"), "repo", ["a.py", "no/c.py", "gone.py", "a.py"])["indexed"] == 1
+    assert {r["name"] for r in index.table("units").collect()} == {"a2", "b"}
+    os.remove(tmp_path / "repo" / "x/b.py")
+    assert index.update_paths(str(tmp_path / "repo"), "repo", ["x/b.py"])["removed"] == 1
 
 
 def test_tree_rules(spark, tmp_path):
