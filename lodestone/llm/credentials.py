@@ -9,7 +9,8 @@ keys and embedded data are no credentials. Redaction puts an asterisk in the pla
 character of a credential, so that all offsets and lines stay.
 
 Null and empty texts have none and stay as they are. Lines end in ``\\n`` and count from 1.
-Rows repeated as a whole give one result.
+Rows repeated as a whole give one result. Places of rows without an id cannot be named and are
+left out; such rows are redacted like any other. Other columns are never read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ name, labels, bare tags, notes of work to be done, references, notices on origin
 author, tool directives, decoration and commented-out code.
 
 Null bodies give no tokens; their units are judged by docstring alone. Rows repeated as a
-whole give one result. Comments among statements never count.
+whole give one result, rows without an id none. Comments among statements never count.
 """
 
 from __future__ import annotations

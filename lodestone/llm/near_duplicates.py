@@ -13,7 +13,8 @@ only, and a pair counts that meets in three lists: values held by a third of the
 make no pairs unless nothing rarer is left. Values of one class only make no lists at all.
 Texts of under 29 runs have partners whose sketch is the whole set: they must share 0.6 of it.
 
-Null and short texts and texts of under three words have no pairs. Repeated rows count once.
+Null and short texts and texts of under three words have no pairs. Repeated rows count once,
+rows without an id not at all.
 """
 
 from __future__ import annotations

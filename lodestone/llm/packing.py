@@ -8,6 +8,7 @@ Only documents above the capacity are split: into full containers and one rest,
 packed like any other item. Documents of size 0 (null or empty texts) take no space and get
 a place in the first container of their group. Ties are broken by key, so a rerun gives the
 same packing. Repeated keys are items of their own, told apart by ``copy``.
+Rows without a key cannot be placed and are left out.
 """
 
 from __future__ import annotations

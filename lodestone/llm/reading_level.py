@@ -11,9 +11,10 @@
    labelled documents by least squares: SQL sums the normal equations, the driver solves
    the 4 x 4 system.
 
-Null, blank and code-only documents have a null grade, as has every document when there are
-no labels. Raters' grades are averaged; null grades do not count. Repeated rows of a
-document count once each in the corpus and give one result row (the larger grade).
+Only English documents with a text that is neither null nor blank and no code file are taken;
+those whose prose is empty have a null grade, as has every document when there are fewer
+than eight ratings. Raters' grades are averaged; null grades do not count. Repeated rows of
+a document count once each in the corpus; their words are counted together.
 """
 
 from __future__ import annotations
