@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import names, text, vectors as vx
-from lodestone.operators import changes, federated, fusion, graph, incremental, lexical, stats, vectors
+from lodestone.operators import changes, federated, fusion, graph, incremental, ivf, lexical, stats, vectors
 from lodestone.plans.sql import SQL
 from lodestone.session import shared_folder, table
 from lodestone.sources import heuristics, parse, sinks
@@ -167,6 +167,14 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest_to_many(records, queries, 10).select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth embedding, looked for in the nearest cells of an inverted file."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    centres = ivf.fit_centroids(rows)
+    queries = rows.where(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), "vector")
+    return ivf.search(ivf.with_cells(rows, centres), queries, centres, 10).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 def quantize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"), vx.quantize(F.col("embedding")).alias("q"))
     back = vx.dequantize(F.col("q.data"), F.col("q.v_min"), F.col("q.v_max"))
@@ -411,7 +419,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p3_found, tokenize_stats, path_functions, snippets, name_match, fuzzy_names, format_helpers, sizes_of_heads, content_hashes,
-        bm25_search, bm25_phrase, bm25_filtered, bm25_filter_first, rrf_two_way, rrf_three_way, rrf_weighted, semantic_only, vector_topk, quantize_roundtrip, vector_norms, vector_upsert,
+        bm25_search, bm25_phrase, bm25_filtered, bm25_filter_first, rrf_two_way, rrf_three_way, rrf_weighted, semantic_only, vector_topk, ivf_topk, quantize_roundtrip, vector_norms, vector_upsert,
         callers, callees, search_context, unused_functions, unused_report, orphan_edges, live_edges, edges_from_units, unit_at_line, popularity,
         federated_search, find_similar, dedup_fingerprint, repo_rollup, cached_vectors, stats_by_type, stats_by_language, stats_summary,
         cdc_classify, cdc_counters, missing_files, files_after_run, units_after_cleanup, unit_diff, modified_since, table_checksum, search_json, search_csv, search_plain,

@@ -1,8 +1,9 @@
 import math
 
+import numpy as np
 import pytest
 
-from lodestone.operators import federated, fusion, graph, lexical, vectors
+from lodestone.operators import federated, fusion, graph, ivf, lexical, vectors
 
 UNITS = "repo string, id long, file_path string, language string, unit_type string, name string, full_signature string, docstring string, line_start int, line_end int, body string, calls array<string>, complexity int, has_embedding boolean, embedding_model string"
 
@@ -108,6 +109,22 @@ def test_vectors(spark):
         vectors.to_records(rows, dim=5).collect()
 
 
+def test_inverted_file_against_brute_force(spark):
+    pick = np.random.default_rng(5)
+    centres = pick.standard_normal((20, 16))
+    data = centres[pick.integers(0, 20, 1500)] + 0.3 * pick.standard_normal((1500, 16))
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id long, vector array<double>")
+    fitted = ivf.fit_centroids(rows)
+    queries = rows.where("id % 100 = 0").selectExpr("id AS query_id", "vector")
+    found = {}
+    for r in ivf.search(ivf.with_cells(rows, fitted), queries, fitted, 10, probes=8).collect():
+        found.setdefault(r["query_id"], set()).add(r["id"])
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    hit = sum(len(found[q] & set(np.lexsort((np.arange(1500), -np.round(unit @ unit[q], 9)))[:10].tolist())) for q in range(0, 1500, 100))
+    assert hit / 150 >= 0.9
+    assert ivf.fit_centroids(rows.where("false")).size == 0
+
+
 def test_several_repositories(spark):
     rows = [unit(i, "same" if i % 3 == 0 else f"n{i}", "payment " * (i % 5 + 1), repo=f"r{i % 2}", path=f"src/{i}.py") for i in range(1, 13)]
     units = spark.createDataFrame(rows, UNITS)
