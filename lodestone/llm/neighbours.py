@@ -7,6 +7,12 @@ outwards on both sides. All trees ascend alike until each has given ``REACH`` pl
 either side, and cosines of these candidates are taken exactly. The candidates of all trees
 are merged by vector.
 
+Each tree also tells the shortest prefix of which it has given all places. A neighbour at a
+cosine shares a prefix of that length with a known chance, so that the chance of having
+missed one as near as the k-th is known too. Vectors at more than ``MISS``, as those of dense
+groups, of places with no near neighbours and at many edges of ranges, are compared with all
+others, in blocks. That part grows with their number times that of all vectors.
+
 Equal vectors are one class with its smallest id as representative; only classes enter the
 trees and each brings its k + 1 smallest ids, so that any number of copies stays cheap and
 ties go to the smaller ids. Ranges are cut by (tree, hash, id): near-copies with one hash
@@ -24,7 +30,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.session import cut
@@ -33,10 +40,16 @@ DIM = 96
 K = 5
 TREES = 12
 REACH = 400
+MISS = 0.02
 BLOCK = 256
+SIDE = 8_192
 RANGE_ROWS = 32_768
 SEED = 20_251
 BITS = 64
+#: More than single precision and rounding to six decimals take from a cosine.
+MARGIN = 4e-6
+
+NEAR = "near array<struct<minus:double,other:bigint>>"
 
 
 def planes(dim: int, trees: int) -> np.ndarray:
@@ -95,31 +108,68 @@ def hash_strings(classes: DataFrame, trees: int = TREES) -> DataFrame:
     return classes.mapInArrow(run, "unit_id bigint, v_min float, v_max float, data binary, hashes array<bigint>")
 
 
-def nearest_in_range(vectors: np.ndarray, ids: np.ndarray, take: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each place of a sorted array the ``take`` most similar of the places up to ``reach`` away: row, id, cosine."""
+def closest(sims: np.ndarray, queries: np.ndarray, others: np.ndarray, ids: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, id and cosine of the ``take`` most similar others of each query, by rounded cosine, then id. Places of ``sims`` under -1 don't count."""
+    want = min(take, sims.shape[1])
+    bar = np.partition(sims, -want, axis=1)[:, -want] - MARGIN
+    row, col = np.nonzero(sims >= np.maximum(bar, -1.5)[:, None])
+    # one pair alone always gives the same sum, unlike a product of matrices
+    cosines = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", queries[row[i : i + 65_536]], others[col[i : i + 65_536]]) for i in range(0, len(row), 65_536))])
+    cosines = np.round(cosines, 6)
+    order = np.lexsort((ids[col], -cosines, row))
+    row, other, cosines = row[order], ids[col[order]], cosines[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < take
+    return row[first], other[first], cosines[first]
+
+
+def _lists(n: int, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Array:
+    """One list (minus cosine, other) for each of ``n`` rows."""
+    rows, other, cosines = (np.concatenate(x) for x in zip(*found))
+    items = pa.StructArray.from_arrays([pa.array(-cosines), pa.array(other.astype(np.int64))], names=["minus", "other"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)), items)
+
+
+def nearest_in_range(vectors: np.ndarray, ids: np.ndarray, take: int, reach: int) -> pa.Array:
+    """For each place of a sorted array the ``take`` most similar of the places up to ``reach`` away."""
     n = len(ids)
     single = vectors.astype(np.float32)
-    rows, other, cosines = [], [], []
+    found = []
     for a in range(0, n, BLOCK):
         b = min(n, a + BLOCK)
         lo, hi = max(0, a - reach), min(n, b + reach)
         sims = single[a:b] @ single[lo:hi].T
         sims[np.arange(b - a), np.arange(a, b) - lo] = -2
-        want = min(take, hi - lo - 1)
-        if want < 1:
-            continue
-        best = np.argpartition(-sims, want - 1, axis=1)[:, :want] + lo
-        rows.append(np.repeat(np.arange(a, b), want))
-        other.append(best.ravel())
-        cosines.append(np.einsum("ij,ikj->ik", vectors[a:b], vectors[best]).ravel())
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(rows), ids[np.concatenate(other)], np.concatenate(cosines)
+        row, other, cosines = closest(sims, vectors[a:b], vectors[lo:hi], ids[lo:hi], take)
+        found.append((row + a, other, cosines))
+    return _lists(n, found)
+
+
+def shared_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of leading bits that hash strings have in common."""
+    differing = (a ^ b).view(np.uint64)
+    length = np.zeros(len(differing), np.int64)
+    for step in (32, 16, 8, 4, 2, 1):
+        same = differing >> np.uint64(BITS - step) == 0
+        length[same] += step
+        differing = np.where(same, differing << np.uint64(step), differing)
+    return np.where(a == b, BITS, length)
+
+
+def given_prefix(hashes: np.ndarray, reach: int, open_start: bool, open_end: bool) -> np.ndarray:
+    """Shortest prefix of each place all of whose places lie within ``reach``; BITS + 1 if not even equal strings do.
+
+    ``open_start`` and ``open_end`` say that the tree may go on in another range.
+    """
+    n, step = len(hashes), reach + 1
+    up, down = np.full(n, (BITS + 1) * open_start), np.full(n, (BITS + 1) * open_end)
+    if n > step:
+        beyond = shared_prefix(hashes[:-step], hashes[step:]) + 1
+        up[step:], down[:-step] = beyond, beyond
+    return np.maximum(up, down)
 
 
 def class_candidates(hashed: DataFrame, n: int, k: int = K, trees: int = TREES, reach: int = REACH) -> DataFrame:
-    """(unit_id, other, cosine): each class with its most similar classes in each tree."""
-    take = k + 3
+    """(unit_id, near, given): each class with its most similar classes in each tree and the prefix given there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -131,13 +181,57 @@ def class_candidates(hashed: DataFrame, n: int, k: int = K, trees: int = TREES,
         for a, b in zip(edges, edges[1:]):
             part = table.slice(a, b - a)
             ids = part.column("unit_id").to_numpy()
-            rows, other, cosines = nearest_in_range(_vectors(part), ids, take, reach)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(other), pa.array(cosines)], names=["unit_id", "other", "cosine"])
+            near = nearest_in_range(_vectors(part), ids, k + 1, reach)
+            given = given_prefix(part.column("hash").to_numpy(), reach, a == 0, b == len(tree))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), near, pa.array(given.astype(np.int32))], names=["unit_id", "near", "given"])
 
     forest = hashed.select(F.posexplode("hashes").alias("tree", "hash"), "unit_id", "v_min", "v_max", "data")
     ranges = max(1, math.ceil(n * trees / RANGE_ROWS))
     ordered = forest.repartitionByRange(ranges, "tree", "hash", "unit_id").sortWithinPartitions("tree", "hash", "unit_id")
-    return ordered.mapInArrow(run, "unit_id bigint, other bigint, cosine double")
+    return ordered.mapInArrow(run, f"unit_id bigint, {NEAR}, given int")
+
+
+def merged(k: int) -> Column:
+    """The k + 1 best of the lists of a vector."""
+    return F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k + 1).alias("near")
+
+
+def chance_of_loss(n: int, k: int) -> Column:
+    """Chance that no tree has given a neighbour as near as the k-th of ``near``."""
+    alike = 1 - F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.col("near")[k - 1]["minus"]))) / math.pi
+    lost = F.aggregate("given", F.lit(1.0), lambda chance, bits: F.when(bits > BITS, chance).otherwise(chance * (1 - F.pow(alike, bits))))
+    return F.when(F.size("near") >= k, lost).otherwise(F.when(F.size("near") < n - 1, 1.0).otherwise(0.0))
+
+
+def among_all(queries: DataFrame, classes: DataFrame, n: int, k: int) -> DataFrame:
+    """(unit_id, near): the most similar of all classes for each query, exactly; one list for each block of classes."""
+    chunks, blocks = max(1, math.ceil(queries.count() / SIDE)), max(1, math.ceil(n / SIDE))
+
+    def run(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by("unit_id")
+        asked, all_ = cell.filter(cell.column("asked")), cell.filter(pc.invert(cell.column("asked")))
+        own, ids = asked.column("unit_id").to_numpy(), all_.column("unit_id").to_numpy()
+        if not len(own) or not len(ids):
+            return pa.table({"unit_id": pa.array([], pa.int64()), "near": _lists(0, [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))])})
+        queries, others = _vectors(asked), _vectors(all_)
+        single = others.astype(np.float32)
+        place = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+        found = []
+        for a in range(0, len(own), BLOCK):
+            b = min(len(own), a + BLOCK)
+            sims = queries[a:b].astype(np.float32) @ single.T
+            self_ = np.flatnonzero(ids[place[a:b]] == own[a:b])
+            sims[self_, place[a:b][self_]] = -2
+            row, other, cosines = closest(sims, queries[a:b], others, ids, k + 1)
+            found.append((row + a, other, cosines))
+        return pa.table({"unit_id": pa.array(own), "near": _lists(len(own), found)})
+
+    columns = ["unit_id", "v_min", "v_max", "data"]
+    chunk, block = F.pmod(F.xxhash64("unit_id"), F.lit(chunks)), F.pmod(F.xxhash64("unit_id"), F.lit(blocks))
+    left = queries.select(*columns, F.lit(True).alias("asked"), chunk.alias("c"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    right = classes.select(*columns, F.lit(False).alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("c"), block.alias("b"))
+    cells = left.unionByName(right).select(*columns, "asked", (F.col("c") * blocks + F.col("b")).alias("cell"))
+    return cells.groupBy("cell").applyInArrow(run, f"unit_id bigint, {NEAR}")
 
 
 def nearest(records: DataFrame, keys: DataFrame, k: int = K, dim: int = DIM, trees: int = TREES, reach: int = REACH) -> DataFrame:
@@ -148,10 +242,13 @@ def nearest(records: DataFrame, keys: DataFrame, k: int = K, dim: int = DIM, tre
     members = cut(rows.join(firsts, "content").select("unit_id", "rep"))
     classes = rows.join(members.where("unit_id = rep").select("unit_id"), "unit_id", "left_semi").select("unit_id", "v_min", "v_max", "data")
     hashed = cut(hash_strings(classes, trees))
-    near = class_candidates(hashed, hashed.count(), k, trees, reach)
+    n = hashed.count()
     # the best classes of each class, over all trees
-    merged = near.groupBy("unit_id", "other").agg(F.round(F.max("cosine"), 6).alias("cosine"))
-    best_classes = merged.withColumn("rn", F.row_number().over(Window.partitionBy("unit_id").orderBy(F.desc("cosine"), "other"))).where(F.col("rn") <= k + 1).select("unit_id", "other", "cosine")
+    forest = class_candidates(hashed, n, k, trees, reach).groupBy("unit_id").agg(merged(k), F.collect_list("given").alias("given"))
+    found = cut(forest.select("unit_id", "near", (chance_of_loss(n, k) > MISS).alias("open")))
+    rest = among_all(hashed.join(found.where("open").select("unit_id"), "unit_id", "left_semi"), hashed, n, k).groupBy("unit_id").agg(merged(k))
+    best = found.where("NOT open").select("unit_id", "near").unionByName(rest)
+    best_classes = best.select("unit_id", F.explode("near").alias("x")).select("unit_id", F.col("x.other").alias("other"), (-F.col("x.minus")).alias("cosine"))
     own = hashed.select("unit_id", F.col("unit_id").alias("other"), F.lit(1.0).alias("cosine"))
     # k + 1 smallest ids of each class stand for it; the limit runs before the shuffle
     few = members.withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy("unit_id"))).where(F.col("rn") <= k + 1).select(F.col("rep").alias("other"), F.col("unit_id").alias("id"))

@@ -43,6 +43,20 @@ def test_recall_against_brute_force(spark):
     assert hit / (5 * len(ids)) >= 0.97
 
 
+def test_a_third_of_near_copies_and_loose_vectors(spark):
+    pick = np.random.default_rng(5)
+    data = pick.integers(0, 256, (3000, 96))
+    data[:1000] = np.clip(data[0] + pick.integers(-1, 2, (1000, 96)), 0, 255)
+    ids = [int(i) for i in pick.permutation(9000)[: len(data)]]
+    found = {}
+    for r in nb.nearest(table(spark, [record(i, d) for i, d in zip(ids, data)]), spark.createDataFrame([(i,) for i in ids], "id long"), reach=64).collect():
+        found.setdefault(r["unit_id"], set()).add(r["other"])
+    true = brute(ids, -1 + data / 255 * 2)
+    assert all(len(found[i]) == 5 for i in ids)
+    for part in (ids[:1000], ids[1000:]):
+        assert sum(len(set(true[i]) & found[i]) for i in part) / (5 * len(part)) >= 0.99
+
+
 def test_a_third_of_equal_vectors_and_ties(spark):
     data = clusters(300, 3)
     data[:100] = data[0]
