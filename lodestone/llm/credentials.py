@@ -144,12 +144,15 @@ class Finder:
                 merged.append((a, b))
         return merged
 
-    # Parts of words that credentials stand by, in lower case.
-    KEYS = ("pass", "pw", "secret", "token", "key", "credential", "kennwort", "contrase", "mot_de", "motde", "bearer", "authoriz", "login", "logon", "sign_in", "signin", "connect(", "authenticate", "curl ", "mysql", "getenv", "environ", "env::var", "process.env", "getproperty", "--user", "lookupenv", "env_or", "envor")
+    # Fixed values, in lower case: whatever ASSIGNED, CALL, HEADER, COMMAND, EXPORT, SETTING, SAID and DEFAULT match has one of these.
+    KEYS = ("pass", "pw", "secret", "token", "key", "cred", "kennwort", "contrase", "bearer", "login", "logon", "log_in", "log_on", "signin", "sign_in", "auth", "connect", "bind", "opensession", "open_session", "mysql", "mariadb", "mongo", "redis-cli", "pg_", "psql", "-u")
 
     def _lines(self, text: str, low: str) -> list[tuple[int, int]]:
         """Lines with a word that credentials stand by."""
         found = set()
+        if len(low) != len(text):  # places differ; every line is looked at
+            ends = [m.start() for m in re.finditer(r"\n|\Z", text)]
+            return [(a, b) for a, b in zip([0, *(end + 1 for end in ends)], ends)]
         for key in self.KEYS:
             at = low.find(key)
             while at >= 0:
