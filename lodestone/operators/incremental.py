@@ -18,6 +18,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import cut
+
 RUN_BUCKET_SECONDS = 3600
 
 
@@ -166,10 +168,13 @@ class StateStore:
 def run_incremental(current: DataFrame, store: StateStore, process: Callable[[DataFrame], None]) -> int:
     """Process new and changed rows of ``current`` once, then commit its keys and hashes as the new state.
 
+    ``current`` is read once and kept in the checkpoint folder: what changes or arrives in its source
+    during a run is left to the next one.
     ``process`` gets the selected rows and must be idempotent for a rerun of the same version,
     for instance by overwriting an output named after it.
     """
     base = store.version()
+    current = cut(current)
     process(select_changed(current, store.read(current), store.keys, store.value))
     store.commit(current.groupBy(*store.keys).agg(F.max(store.value).alias(store.value)), base)
     return base + 1

@@ -89,6 +89,32 @@ def test_state_survives_a_run_that_breaks_off(spark, tmp_path):
         store.commit(now, 1)  # a run that began from an older version
 
 
+def test_rows_that_change_or_arrive_during_a_run_are_left_to_the_next(spark, tmp_path):
+    source = tmp_path / "source.txt"
+    source.write_text("a 1\nb 1")
+    path = str(source)
+
+    def read(batches):  # again at each evaluation
+        import pyarrow as pa
+
+        for _ in batches:
+            with open(path) as f:
+                rows = [x.split() for x in f]
+            yield pa.RecordBatch.from_pydict({"key": [r[0] for r in rows], "file_hash": [r[1] for r in rows]})
+
+    now = spark.range(1, numPartitions=1).mapInArrow(read, "key string, file_hash string")
+    store = inc.StateStore(spark, str(tmp_path / "state"), ["key"])
+    seen = []
+
+    def process(df):
+        seen.append(sorted((r["key"], r["file_hash"]) for r in df.collect()))
+        source.write_text("a 1\nb 2\nc 1")
+
+    for _ in range(3):
+        inc.run_incremental(now, store, process)
+    assert seen == [[("a", "1"), ("b", "1")], [("b", "2"), ("c", "1")], []]
+
+
 def test_removed_keys(spark):
     now = spark.createDataFrame([("a",)], "key string")
     was = spark.createDataFrame([("a",), ("b",), (None,)], "key string")
