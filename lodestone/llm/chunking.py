@@ -2,8 +2,9 @@
 
 A text of n characters becomes pieces [s_i, e_i) of at most ``limit`` characters with
 s_0 = 0, s_{i+1} = e_i - overlap and a last e of n: the pieces after their overlap, joined,
-give the text back exactly. Among all chains of boundary positions the one with the least
-sum of cut penalties and size imbalance is taken. The penalty of a cut counts both places it
+give the text back exactly. Among all chains of boundary positions (ends of lines, statements
+and words) the one with the least sum of cut penalties and size imbalance is taken; of other
+places, for texts without natural ones, the cheapest of each ``GRAIN`` characters. The penalty of a cut counts both places it
 makes, the end of one piece and the begin of the next, which lies ``overlap`` before it.
 
 Sizes are in Unicode code points. Null texts and texts within the limit are not split. A line
@@ -80,6 +81,7 @@ def split_places(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[
     back[overlap:] = place[: n + 1 - overlap]
     cost = place + BEGIN_WEIGHT * back
     cost[: overlap + 1] = np.inf  # a cut there would not move on
+    natural = np.flatnonzero((place[:n] < ANY) & np.isfinite(cost[:n]))
     # the best place of each grain, the later one of equals
     grains = -(-n // GRAIN)
     padded = np.full(grains * GRAIN, np.inf)
@@ -89,7 +91,7 @@ def split_places(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[
     ends = np.arange(grains) * GRAIN + best
     ends = ends[np.isfinite(padded[ends])]
     # and the places that give the fewest pieces
-    ends = np.append(np.union1d(ends, np.arange(limit, n, limit - overlap)), n)
+    ends = np.append(np.union1d(np.union1d(ends, natural), np.arange(limit, n, limit - overlap)), n)
     own = np.append(cost[ends[:-1]], 0.0)
     step = limit - overlap
     pieces = -(-(n - overlap) // step)

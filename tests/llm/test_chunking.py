@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,3 +49,30 @@ def test_table(spark):
     assert chunking.split_oversized(units.where("false")).count() == 0
     with pytest.raises(ValueError):
         chunking.split_places("x" * 500, 100, 99)
+
+
+def chain_cost(text, ends, limit, overlap):
+    place, n = chunking.place_penalties(text), len(text)
+    even = (n - overlap) / -(-(n - overlap) // (limit - overlap))
+    moves = [b - a for a, b in zip([overlap, *ends], ends)]
+    return sum(place[e] + chunking.BEGIN_WEIGHT * place[e - overlap] for e in ends[:-1]) + sum(((m - even) / even) ** 2 for m in moves)
+
+
+def test_no_chain_of_natural_places_is_better():
+    pick = random.Random(4)
+    limit, overlap = 300, 20
+    for _ in range(40):
+        text = "".join("    " * pick.randint(0, 2) + "ab" * pick.randint(1, 5) + pick.choice([";", "()", "{", ""]) + "\n" * pick.choice([1, 1, 1, 2]) for _ in range(90))
+        n = len(text)
+        place = chunking.place_penalties(text)
+        places = [e for e in range(overlap + 1, n) if place[e] < chunking.ANY] + [n]
+        even = (n - overlap) / -(-(n - overlap) // (limit - overlap))
+        least = {}
+        for e in places:
+            own = 0 if e == n else place[e] + chunking.BEGIN_WEIGHT * place[e - overlap]
+            ways = [((e - overlap - even) / even) ** 2] if e <= limit else []
+            ways += [least[s] + ((e - s - even) / even) ** 2 for s in places if e - (limit - overlap) <= s < e and s in least]
+            if ways:
+                least[e] = own + min(ways)
+        ends = [e for _, e in chunking.split_places(text, limit, overlap)]
+        assert chain_cost(text, ends, limit, overlap) <= least[n] + 1e-9
