@@ -70,6 +70,6 @@ def orphan_edges(units: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def popularity(units: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, name, n_callers, popularity_rank): in-degree by name as a further rank for fusion. Counted map-side before the join."""
+    """(id, name, n_callers): in-degree by name; no fusion uses it. Counted map-side before the join."""
     degree = edges.where("callee_name IS NOT NULL").select("caller_id", "callee_name").distinct().groupBy(F.col("callee_name").alias("name")).agg(F.count("*").alias("n_callers"))
     return units.select("id", "name").join(degree, "name", "left").select("id", "name", F.coalesce("n_callers", F.lit(0)).alias("n_callers"))
