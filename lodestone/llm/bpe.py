@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 TOKENIZER_DIR = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k"
 CACHE_WORDS = 400_000
-CACHE_IDS = 4_000_000
+CACHE_IDS = 12_000_000
 PART_CHARS = 1 << 20
 SLOT_BITS = 20
 
@@ -36,7 +36,7 @@ SLOT_BITS = 20
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
-BASE = 0x9E3779B97F4A7C15 | 1
+ODD = 0x9E3779B97F4A7C15
 
 
 @functools.cache
@@ -48,12 +48,29 @@ def classes() -> np.ndarray:
     return table
 
 
-@functools.cache
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of BASE and of its inverse, modulo 2^64."""
-    up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of SplitMix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_keys(points: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit keys of the words [begin, end), which come in order and don't overlap.
+
+    Every code point is hashed together with its place in the word before the sum is taken, so
+    that no regular pattern of letters (as in Thue-Morse words under a polynomial) makes two
+    words collide.
+    """
+    sizes = ends - begins
+    starts = np.cumsum(sizes) - sizes
+    total = int(sizes.sum())
+    shift = np.repeat(begins - starts, sizes)
+    at = np.arange(total) + shift
+    place = (at - np.repeat(begins, sizes)).astype(np.uint64)
+    sums = np.zeros(total + 1, np.uint64)
+    np.cumsum(mixed((place << np.uint64(32) | points[at]) * np.uint64(ODD) + np.uint64(ODD)), out=sums[1:])
+    return mixed(sums[starts + sizes] - sums[starts] + sizes.astype(np.uint64))
 
 
 def word_bounds(points: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -128,6 +145,8 @@ class Encoder:
         self.slot_key, self.slot_place = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1, np.int64)
         self.rest_key, self.rest_place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.chars, self.char_starts, self.char_lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.clashing: dict[bytes, int] = {}
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of ids of each word."""
@@ -181,12 +200,21 @@ class Encoder:
             places[left] = np.where(self.rest_key[at] == keys[left], self.rest_place[at], -1)
         return places
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+    def _store(self, words: list[str]) -> np.ndarray:
+        """Encodes words and keeps them with their code points. Returns their places."""
         ids, lengths = self.merge([w.encode("utf-8", "replace") for w in words])
         places = len(self.starts) + np.arange(len(words))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, ids])
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.char_starts = np.concatenate([self.char_starts, len(self.chars) + np.cumsum(sizes) - sizes])
+        self.char_lengths = np.concatenate([self.char_lengths, sizes])
+        self.chars = np.concatenate([self.chars, np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)])
+        return places
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        places = self._store(words)
         slot = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         free = self.slot_place[slot] < 0
         _, once = np.unique(slot, return_index=True)
@@ -198,12 +226,27 @@ class Encoder:
         order = np.argsort(rest_key)
         self.rest_key, self.rest_place = rest_key[order], rest_place[order]
 
+    def _verify(self, places: np.ndarray, points: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+        """Compares every word with the one it was found as; words that only share a key get places of their own."""
+        sizes = ends - begins
+        wrong = self.char_lengths[places] != sizes
+        starts = np.where(wrong, 0, self.char_starts[places])
+        seen = np.repeat(starts - begins, sizes) + np.arange(len(points))
+        seen[np.repeat(wrong, sizes)] = 0
+        differing = np.flatnonzero(self.chars[seen] != points)
+        wrong[np.searchsorted(begins, differing, side="right") - 1] = True
+        for i in np.flatnonzero(wrong).tolist():
+            word = points[begins[i] : ends[i]].tobytes()
+            if word not in self.clashing:
+                self.clashing[word] = int(self._store([word.decode("utf-32-le", "surrogatepass")])[0])
+            places[i] = self.clashing[word]
+
     def word_places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Places in the cache of all words of ``texts``, and the number of words of each text.
 
-        A word is known by a 64-bit polynomial of its code points.
+        A word is looked up by a 64-bit key and then compared with the one that is kept there.
         """
-        if len(self.starts) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
+        if len(self.starts) > CACHE_WORDS or len(self.flat) + len(self.chars) > CACHE_IDS:
             self._reset()
         whole = "".join(texts)
         points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -212,15 +255,8 @@ class Encoder:
             return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
         first = (np.cumsum(sizes) - sizes)[sizes > 0]
         begins = word_bounds(points, first)
-        up, down = powers(1 << (len(points) - 1).bit_length())
-        sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=sums[1:])
         ends = np.append(begins[1:], len(points))
-        keys = (sums[ends] - sums[begins]) * down[begins]
-        keys ^= keys >> np.uint64(32)
-        keys *= np.uint64(0xD6E8FEB86659FD93)
-        keys ^= keys >> np.uint64(32)
-        keys |= np.uint64(1)
+        keys = word_keys(points, begins, ends)
         places = self._find(keys)
         unknown = np.flatnonzero(places < 0)
         if len(unknown):
@@ -228,6 +264,7 @@ class Encoder:
             at = unknown[at]
             self._learn(new, [whole[a:b] for a, b in zip(begins[at].tolist(), ends[at].tolist())])
             places[unknown] = self._find(keys[unknown])
+        self._verify(places, points, begins, ends)
         counts = np.zeros(len(texts), np.int64)
         counts[sizes > 0] = np.diff(np.append(np.searchsorted(begins, first), len(begins)))
         return places, counts

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import powers
+from lodestone.llm.bpe import word_keys
 
 PART_BYTES = 1 << 20
 
@@ -82,8 +82,9 @@ def path_kind(path: Column) -> Column:
 
 def _spelled(words: list[str]) -> np.ndarray:
     """Keys of words, as ``layout`` makes them of the first word of a line."""
-    base = int(powers(2)[0][1])
-    return np.array(sorted(sum((b + 1) * pow(base, i, 1 << 64) for i, b in enumerate(w.encode())) % (1 << 64) for w in words), np.uint64)
+    ends = np.cumsum([len(w.encode()) for w in words])
+    begins = np.append(0, ends[:-1])
+    return np.sort(word_keys(np.frombuffer("".join(words).encode(), np.uint8), begins, ends))
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -124,23 +125,18 @@ def layout(bodies: list[bytes]) -> dict[str, np.ndarray]:
     at = np.flatnonzero(starts)
     words, numbers = _sums(starts, bounds), _sums(starts & digit, bounds)
     # shape of a line: words as one sign, white space left out; first word of a line
-    up, down = powers(1 << max(1, n.bit_length()))
     kept = starts | (~word & ~space)
     order = np.cumsum(kept) - 1
-    signs = np.where(starts, np.uint64(1), raw.astype(np.uint64) + np.uint64(2))
-    total = np.zeros(int(order[-1]) + 2 if n else 1, np.uint64)
-    np.cumsum((signs * np.uint64(0x9E3779B97F4A7C15))[kept] * up[order[kept]], out=total[1:])
+    signs = np.where(starts, 1, raw.astype(np.uint32) + 2)
     before = np.concatenate([[0], order + 1])
     lo, hi = before[begins], before[ends]
-    shape = (total[hi] - total[lo]) * down[np.minimum(lo, len(down) - 1)]
+    shape = word_keys(signs[kept].astype(np.uint64), lo, hi)
     signs_in = hi - lo
-    spell = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=spell[1:])
     word_end = np.flatnonzero(word & ~np.concatenate([word[1:], [False]])) + 1
     k = np.minimum(np.searchsorted(at, begins), max(0, len(at) - 1))
     if len(at):
         has = (at[k] >= begins) & (at[k] < ends)
-        first = np.where(has, (spell[word_end[k]] - spell[at[k]]) * down[at[k]], 0)
+        first = np.where(has, word_keys(raw, at[k] * has, word_end[k] * has), np.uint64(0))
     else:
         first = np.zeros(len(begins), np.uint64)
     full = np.flatnonzero(signs_in >= 4)  # lines of less than four signs, as lone braces, end no run and make none

@@ -26,12 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import LETTER, SPACE, classes, powers
+from lodestone.llm.bpe import LETTER, SPACE, classes, word_keys
 from lodestone.session import cut
 
 SHARE = 0.5
 PART_CHARS = 1 << 20
-HASH_BITS = 44
 BROADCAST_WORDS = 300_000
 RIDGE = 1e-6
 
@@ -97,15 +96,9 @@ def text_features(texts: list[str]) -> tuple[np.ndarray, ...]:
     letter[mark[letter[mark - 1] & letter[mark + 1]]] = True
     edge = np.diff(np.concatenate([[0], letter.astype(np.int8), [0]]))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    lower = points[:n].astype(np.uint64)
-    lower[(lower >= 65) & (lower <= 90)] += np.uint64(32)
-    up, down = powers(1 << max(1, (n - 1).bit_length()))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((lower + np.uint64(1)) * up[:n], out=sums[1:])
-    key = (sums[end] - sums[begin]) * down[begin]
-    key ^= key >> np.uint64(32)
-    key *= np.uint64(0xD6E8FEB86659FD93)
-    key >>= np.uint64(64 - HASH_BITS)
+    lower = points[:n].copy()
+    lower[(lower >= 65) & (lower <= 90)] += 32
+    key = word_keys(lower, begin, end)
     doc = np.searchsorted(doc_begin, begin, side="right") - 1
     # sentences end at a mark before white space, at blank lines, at lines left out and with the document
     stop = np.zeros(n, bool)
@@ -133,13 +126,12 @@ def text_features(texts: list[str]) -> tuple[np.ndarray, ...]:
     counts = np.empty(0, np.int32)
     bounds = np.zeros(len(texts) + 1, np.int64)
     if len(begin):
-        # sorted by (document, word) as one number: documents of a part fit the bits above the hash
-        both = np.sort((doc.astype(np.uint64) << np.uint64(HASH_BITS)) | key)
-        first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
-        counts = np.diff(np.append(first, len(both))).astype(np.int32)
-        both = both[first]
-        flat = (both & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)
-        bounds = np.searchsorted(both >> np.uint64(HASH_BITS), np.arange(len(texts) + 1, dtype=np.uint64))
+        order = np.lexsort((key, doc))
+        word, of = key[order], doc[order]
+        first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (of[1:] != of[:-1])))
+        counts = np.diff(np.append(first, len(word))).astype(np.int32)
+        flat = word[first].view(np.int64)
+        bounds = np.searchsorted(of[first], np.arange(len(texts) + 1))
     return np.bincount(doc, minlength=len(texts)), n_sentences, log_sentence, word_length, flat, counts, bounds
 
 
@@ -152,7 +144,7 @@ def features(docs: DataFrame) -> DataFrame:
             begin = size = 0
             for i, text in enumerate(texts):
                 size += len(text)
-                if size >= PART_CHARS or i == len(texts) - 1 or i - begin >= (1 << (62 - HASH_BITS)):
+                if size >= PART_CHARS or i == len(texts) - 1:
                     words, sentences, logs, lengths, flat, counts, bounds = text_features(texts[begin : i + 1])
                     offsets = pa.array(bounds.astype(np.int32))
                     nan = np.isnan(logs)

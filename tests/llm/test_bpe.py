@@ -55,3 +55,29 @@ def test_table(spark, public):
     assert {(r["doc_id"], r["n_tokens"]) for r in bpe.token_counts(docs).collect()} == {(1, 2), (2, 0), (3, 0), (None, 1)}
     assert bpe.corpus_token_stats(bpe.encode_column(docs)).first().asDict() == {"n_docs": 5, "n_empty": 3, "n_tokens": 3, "longest": 2}
     assert bpe.encode_column(docs.where("false")).count() == 0
+
+
+def thue_morse(n, a="a", b="b"):
+    word = a
+    while len(word) < n:
+        word += "".join(b if c == a else a for c in word)
+    return word
+
+
+def test_words_that_collide_under_every_polynomial(public):
+    first = thue_morse(2048)
+    second = first.translate(str.maketrans("ab", "ba"))
+    own = bpe.Encoder(f"{bpe.TOKENIZER_DIR}/{bpe.TOKENIZER}.json")
+    for text in (first, second, f"{first} {second}", f"{second} {first}"):
+        assert own.encode([text])[0].tolist() == public(text)
+
+
+def test_words_with_one_key_are_told_apart(public, monkeypatch):
+    """Whatever the keys are worth: with keys of two bits every word still gets its own ids."""
+    keys = bpe.word_keys
+    monkeypatch.setattr(bpe, "word_keys", lambda *a: keys(*a) & bpe.np.uint64(3))
+    own = bpe.Encoder(f"{bpe.TOKENIZER_DIR}/{bpe.TOKENIZER}.json")
+    pick = random.Random(8)
+    for _ in range(20):
+        text = " ".join("".join(pick.choice("ab") for _ in range(pick.choice((1, 2, 3, 70, 300)))) for _ in range(30))
+        assert own.encode([text])[0].tolist() == public(text)
