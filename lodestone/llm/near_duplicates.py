@@ -1,17 +1,28 @@
 """Near-duplicate texts with small edits: bottom-k sketches from one hash function.
 
 A text is the set of its runs of three consecutive words, each as a 63-bit hash. Texts with
-the same set are one class with its smallest id as representative. A class keeps the
-``SKETCH`` smallest hashes of its set; inverted lists of these retained values generate the
-pairs that overlap, the estimate from the union of two sketches filters them, and exact
-Jaccard similarity over the whole sets verifies the rest.
-
-A pair of similarity 0.6 shares each of the 48 smallest values of its union with a chance of
-0.6; fewer than 13 of 48 happens once in a million. Of 13 values that a pair must share, three
-are among the 38 rarest of either sketch, so each class enters the lists of its rarest values
-only, and a pair counts that meets in three lists: values held by a third of the corpus then
-make no pairs unless nothing rarer is left. Values of one class only make no lists at all.
-Texts of under 29 runs have partners whose sketch is the whole set: they must share 0.6 of it.
+the same set are one class with its smallest id as representative. A class retains the
+smallest hashes of its set: all of a set of up to ``SKETCH``, of a larger one those below
+2^63 / 2^level, between SKETCH / 2 and SKETCH of them. Sketches of one level end at the same
+hash, so two of them together are a sketch of the union of both sets; pairs are compared at
+the level of the larger set.
+
+Inverted lists of retained values generate the pairs. Each sketch is ordered from rare to hot
+values, as a table of at most ``HOT_VALUES`` hot ones tells, and only its beginning is listed:
+a set of n values has at most 0.25 n values that a larger partner at 0.60 lacks and at most
+0.40 n that a smaller one lacks, so one more value must meet. A text enters the lists of its
+first 0.25 n + 1 values to be found by larger texts and those of its first 0.40 n + 1 values
+to look for smaller ones. Headers that make less than 0.6 of a text therefore make no pairs,
+whatever the number of texts that share them. Where a sketch is a sample, both shares are
+widened by 4.9 standard deviations. Lists of hot values are laid out as a grid of cells of
+about ``CELL`` x ``CELL`` texts before any shuffle.
+
+The union of two sketches filters the pairs: values that met, and the places of the last one
+in both orders, bound what both sketches can share; a pair stays only if that reaches 0.375 of
+the sum of both sizes (0.60 of the union), less 4.9 standard deviations for samples. Sets of
+up to SKETCH values lose nothing by either step; of larger ones a pair at exactly 0.60 gets
+lost with a chance of about one in a million. Exact Jaccard over the whole sets verifies the
+rest.
 
 Null and short texts and texts of under three words have no pairs. Repeated rows count once,
 rows without an id not at all.
@@ -26,28 +37,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import powers
-from lodestone.session import cut, release
+from lodestone.llm.bpe import mixed, word_keys
+from lodestone.session import cut, drop, ship
 
 MIN_CHARS = 200
 RUN = 3
-SKETCH = 48
-NEEDED = 13
-MEETINGS = 3
+SKETCH = 256
+HOT_VALUES = 1 << 16
+HOT_IN_PART = 3
+CELL = 1000
+DEVIATIONS = 4.9
 THRESHOLD = (3, 5)  # 0.60 as a fraction, so that the last comparison is exact
 PART_BYTES = 1 << 20
 
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(48, 58), *range(65, 91), 95, *range(97, 123)]] = True
-LOWER = np.arange(256, dtype=np.uint64)
-LOWER[65:91] += np.uint64(32)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of SplitMix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += np.uint8(32)
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,16 +65,13 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     word = WORD_BYTE[raw]
     edge = np.diff(np.concatenate([[0], word.astype(np.int8), [0]]))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = powers(1 << max(1, len(raw).bit_length()))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((LOWER[raw] + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    one = _mix((sums[end] - sums[begin]) * down[begin])
+    one = word_keys(LOWER[raw], begin, end)
     if len(one) < RUN:
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     text = np.searchsorted(text_begin, begin, side="right") - 1
     many = one[: len(one) - RUN + 1].copy()
     for i in range(1, RUN):
-        many = _mix(many * np.uint64(0x9E3779B97F4A7C15) + one[i : len(one) - RUN + 1 + i])
+        many = mixed(many * np.uint64(0x9E3779B97F4A7C15) + one[i : len(one) - RUN + 1 + i])
     inside = text[: len(many)] == text[RUN - 1 :]
     many, text = many[inside], text[: len(inside)][inside]
     many >>= np.uint64(1)  # 63 bits: signed and unsigned order are the same
@@ -92,31 +95,129 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def sketches(texts: DataFrame) -> DataFrame:
-    """(id, n, set_a, set_b, sketch): set size, two sums that identify the set, and the smallest hashes. No shuffle."""
+def hot_values(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Up to HOT_VALUES values with the most texts, sorted, and about how many texts have them.
+
+    Counted are values that HOT_IN_PART texts of one part (about PART_BYTES) share; the order of
+    values need not be exact, only the same for all texts.
+    """
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = batch.column(0).cast(pa.binary()).to_pylist()
+            for a, b in _parts([len(x) for x in bodies]):
+                value, count = np.unique(shingle_sets(bodies[a:b])[0], return_counts=True)
+                hot = count >= HOT_IN_PART
+                yield pa.RecordBatch.from_arrays([pa.array(value[hot].view(np.int64)), pa.array(count[hot].astype(np.int64))], names=["value", "n"])
+
+    counted = texts.select("body").mapInArrow(run, "value bigint, n bigint").groupBy("value").agg(F.sum("n").alias("n"))
+    table = counted.orderBy(F.desc("n"), "value").limit(HOT_VALUES).toArrow().sort_by("value")
+    return table.column("value").to_numpy().astype(np.int64).view(np.uint64), table.column("n").to_numpy().astype(np.int64)
+
+
+def level_of(n: np.ndarray) -> np.ndarray:
+    """Smallest level at which a set of n values keeps about SKETCH values or less."""
+    return np.ceil(np.log2(np.maximum(n, 1) / SKETCH)).clip(0).astype(np.int64)
+
+
+def listed(values: np.ndarray, bounds: np.ndarray, hot: np.ndarray, hot_count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sketches of texts as one row each text and level: text, sample size, number of values listed to be found, whether it looks for
+    others; then keys and numbers of cells of the listed values in order, as flat arrays with offsets."""
+    p, q = THRESHOLD
+    n = np.diff(bounds)
+    own, above = level_of(n), level_of(n * q // p)
+    two = np.flatnonzero((above > own) & (n > 0))
+    text = np.concatenate([np.flatnonzero(n > 0), two])
+    level = np.concatenate([own[n > 0], above[two]])
+    looks = np.arange(len(text)) < len(text) - len(two)
+    order = np.lexsort((level, text))
+    text, level, looks = text[order], level[order], looks[order]
+    # a text's values ascend, so a sample is its beginning
+    row_of = np.repeat(np.arange(len(text)), n[text])
+    at = np.arange(len(row_of)) - np.repeat(np.cumsum(n[text]) - n[text], n[text]) + bounds[text][row_of]
+    inside = values[at] < (np.uint64(1 << 63) >> level[row_of].astype(np.uint64))
+    row_of, value = row_of[inside], values[at[inside]]
+    size = np.bincount(row_of, minlength=len(text))
+    weight = np.zeros(len(value), np.int64)
+    if len(hot):
+        place = np.minimum(np.searchsorted(hot, value), len(hot) - 1)
+        weight = np.where(hot[place] == value, hot_count[place], 0)
+    order = np.lexsort((value, weight, row_of))
+    value, weight = value[order], weight[order]
+    start = np.cumsum(size) - size
+    rank = np.arange(len(value)) - np.repeat(start, size)
+    # most values of a sketch that a larger (0.25) or a smaller partner (0.40) lacks
+    spread = np.where(level > 0, DEVIATIONS * np.sqrt(size), 0.0)
+    extra = (level > 0).astype(np.int64)
+    # 2 t / (1 + t) of a set is in a partner as large, t of it in any partner, for t = p / q
+    found = np.minimum(size, size * (q - p) // (q + p) + np.floor(spread * (2 * p * (q - p)) ** 0.5 / (q + p)).astype(np.int64) + extra + 1)
+    looking = np.minimum(size, size * (q - p) // q + np.floor(spread * (p * (q - p)) ** 0.5 / q).astype(np.int64) + extra + 1)
+    kept = rank < np.repeat(np.where(looks, looking, found), size)
+    key = mixed(value + np.repeat(level, size).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    cells = np.maximum(1, -(-weight // CELL)).astype(np.int32)
+    counts = np.add.reduceat(kept, start) if len(start) and len(kept) else np.zeros(len(text), np.int64)
+    return text, size, found, looks, key[kept], cells[kept], np.concatenate([[0], np.cumsum(counts)])
+
+
+def set_keys(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums that identify each set."""
+    n = np.diff(bounds)
+    filled = n > 0
+    out = np.zeros((2, len(n)), np.uint64)
+    if len(values):
+        out[0, filled] = np.add.reduceat(mixed(values), bounds[:-1][filled])
+        out[1, filled] = np.add.reduceat(mixed(values ^ np.uint64(0xA0761D6478BD642F)), bounds[:-1][filled])
+    return out[0].view(np.int64), out[1].view(np.int64)
+
+
+ROWS = "id bigint, set_a bigint, set_b bigint, n bigint, s int, n_found int, looks boolean, keys array<bigint>, cells array<int>"
+
+
+def sketches(texts: DataFrame, hot: np.ndarray, hot_count: np.ndarray) -> DataFrame:
+    """Listed parts of the sketches of all texts, see ROWS: one row for each text and level. No shuffle.
+
+    The table of hot values has at most HOT_VALUES rows of 16 bytes.
+    """
+    ship(texts.sparkSession)
+    sent = texts.sparkSession.sparkContext.broadcast((hot, hot_count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies = batch.column(1).cast(pa.binary()).to_pylist()
+            ids = batch.column(0)
             for a, b in _parts([len(x) for x in bodies]):
                 values, bounds = shingle_sets(bodies[a:b])
-                n = np.diff(bounds)
-                filled = n > 0
-                starts = bounds[:-1][filled]
-                set_a, set_b = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)
-                if len(values):
-                    set_a[filled] = np.add.reduceat(_mix(values), starts)
-                    set_b[filled] = np.add.reduceat(_mix(values ^ np.uint64(0xA0761D6478BD642F)), starts)
-                kept = np.minimum(n, SKETCH)
-                ends = np.cumsum(kept)
-                at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(bounds[:-1] - (ends - kept), kept)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int32)), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), _lists(values[at], np.append(0, ends))], names=["id", "n", "set_a", "set_b", "sketch"])
+                text, size, found, looks, key, cells, ends = listed(values, bounds, *sent.value)
+                set_a, set_b = set_keys(values, bounds)
+                offsets = pa.array(ends.astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(text + a)), pa.array(set_a[text]), pa.array(set_b[text]), pa.array(np.diff(bounds)[text]), pa.array(size.astype(np.int32)), pa.array(found.astype(np.int32)), pa.array(looks), _lists(key, ends), pa.ListArray.from_arrays(offsets, pa.array(cells))],
+                    names=["id", "set_a", "set_b", "n", "s", "n_found", "looks", "keys", "cells"],
+                )
+
+    return texts.mapInArrow(run, ROWS)
 
-    return texts.mapInArrow(run, "id bigint, n int, set_a bigint, set_b bigint, sketch array<bigint>")
+
+def identities(texts: DataFrame) -> DataFrame:
+    """(id, set_a, set_b) of every text that has values. No shuffle."""
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = batch.column(1).cast(pa.binary()).to_pylist()
+            for a, b in _parts([len(x) for x in bodies]):
+                values, bounds = shingle_sets(bodies[a:b])
+                filled = pa.array(np.flatnonzero(np.diff(bounds) > 0))
+                set_a, set_b = (pa.array(x).take(filled) for x in set_keys(values, bounds))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(filled), set_a, set_b], names=["id", "set_a", "set_b"])
+
+    return texts.mapInArrow(run, "id bigint, set_a bigint, set_b bigint")
 
 
 def full_sets(texts: DataFrame) -> DataFrame:
     """(id, hashes array<bigint>): the whole set of each text. No shuffle."""
+    ship(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,70 +229,63 @@ def full_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id bigint, hashes array<bigint>")
 
 
-def _needed(n: Column, kept: Column) -> Column:
-    """Values of its sketch that a class must share with any partner."""
-    p, q = THRESHOLD
-    return F.when(n * q <= F.lit(SKETCH * p), F.ceil(n * p / F.lit(q))).otherwise(F.floor(kept * NEEDED / F.lit(SKETCH))).cast("int")
-
-
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """(rep_a, rep_b) of classes (rep, n, sketch) that meet in enough lists of rare values."""
-    values = classes.select("rep", F.explode("sketch").alias("value"))
-    shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    rare = Window.partitionBy("rep").orderBy("df", "value")
-    sizes = classes.select("rep", "n", F.size("sketch").alias("kept")).withColumn("needed", F.greatest(F.lit(1), _needed(F.col("n"), F.col("kept"))))
-    listed = (
-        values.join(shared, "value")
-        .withColumns({"at": F.row_number().over(rare), "many": F.count("*").over(Window.partitionBy("rep"))})
-        .join(sizes, "rep")
-        .withColumn("meetings", F.least(F.lit(MEETINGS), F.col("needed")))
-        .where((F.col("many") >= F.col("needed")) & (F.col("kept") - F.col("many") + F.col("at") <= F.col("kept") - F.col("needed") + F.col("meetings")))
-        .select("value", "rep", "n", "meetings")
-    )
-    listed = cut(listed)
-    release(classes.sparkSession)
-    a, b = listed.toDF("value", "rep_a", "n_a", "meetings_a"), listed.toDF("value", "rep_b", "n_b", "meetings_b")
-    p, q = THRESHOLD
-    near = (F.col("n_a") * q >= F.col("n_b") * p) & (F.col("n_b") * q >= F.col("n_a") * p)
-    met = a.join(b, "value").where((F.col("rep_a") < F.col("rep_b")) & near).select("rep_a", "rep_b", F.least("meetings_a", "meetings_b").alias("least"))
-    return cut(met.groupBy("rep_a", "rep_b").agg(F.count("*").alias("met"), F.min("least").alias("least")).where("met >= least").select("rep_a", "rep_b"))
-
-
-def estimated_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose union sketch shows enough common values. The upper halves of the hashes do, in the same order."""
-    small = classes.select("rep", F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int")).alias("sketch"))
-    both = pairs.join(small.toDF("rep_a", "sketch_a"), "rep_a").join(small.toDF("rep_b", "sketch_b"), "rep_b")
-    union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
-    common = F.size(F.array_intersect(union, F.array_intersect("sketch_a", "sketch_b")))
-    return cut(both.where(common >= F.greatest(F.lit(1), F.floor(F.size(union) * F.lit(NEEDED) / F.lit(SKETCH)))).select("rep_a", "rep_b"))
+def value_lists(rows: DataFrame) -> DataFrame:
+    """(key, rep, n, s, at, role) of values of at least two classes; role 1 is to be found, 2 looks for others, 3 both.
 
-
-def class_members(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes (rep, n, sketch) and members (id, rep) of equal sets."""
-    sets = sketched.where("n > 0")
+    Copies are reduced to one class before and while they are shuffled. Of a hot value with c cells a side, a class stands in c cells to be
+    found and in c cells to look: the one they have in common joins every two classes once.
+    """
+    classes = rows.groupBy("set_a", "set_b", "looks").agg(F.min_by(F.struct("id", "n", "s", "n_found", "keys", "cells"), "id").alias("r")).select(F.col("r.id").alias("rep"), F.col("r.n").alias("n"), F.col("r.s").alias("s"), F.col("r.n_found").alias("n_found"), "looks", F.posexplode(F.arrays_zip("r.keys", "r.cells")).alias("at", "v"))
+    place = F.col("at") + 1
+    flat = classes.select(F.col("v.keys").alias("key"), F.col("v.cells").alias("cells"), "rep", "n", F.col("s").cast("short").alias("s"), place.cast("short").alias("at"), ((place <= F.col("n_found")).cast("int") + F.col("looks").cast("int") * 2).cast("byte").alias("role"))
+    cells, own = F.col("cells"), F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int")
+    one = lambda key, role: F.struct(key.alias("key"), role.cast("byte").alias("role"))
+    row = F.sequence(F.lit(0), cells - 1)
+    found = F.transform(row, lambda other: one(F.xxhash64("key", own, other), F.lit(1)))
+    looks = F.transform(row, lambda other: one(F.xxhash64("key", other, own), F.lit(2)))
+    places = F.when(cells == 1, F.array(one(F.col("key"), F.col("role")))).otherwise(F.concat(F.when(F.col("role") % 2 == 1, found).otherwise(F.array()), F.when(F.col("role") >= 2, looks).otherwise(F.array())))
+    spread = flat.select(F.explode(places).alias("p"), "rep", "n", "s", "at").select("p.key", "rep", "n", "s", "at", "p.role")
+    here = Window.partitionBy("key")
+    many = spread.withColumns({"all": F.count("*").over(here), "there": F.count_if(F.col("role") % 2 == 1).over(here)})
+    return many.where("all > 1 AND there > 0").select(*spread.columns)
+
+
+def candidate_pairs(lists: DataFrame) -> DataFrame:
+    """(rep_a, rep_b) of classes that meet in a list and whose union of sketches can have enough common values."""
+    p, q = THRESHOLD
+    a = lists.where(F.col("role") % 2 == 1).select("key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "s", "at")])
+    b = lists.where(F.col("role") >= 2).select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "s", "at")])
+    both = (F.col("s_a") + F.col("s_b")).cast("int")
+    share = both * F.lit(p / (p + q))
+    sample = F.sqrt(both) * (DEVIATIONS * (p * (q - p) * q / (p + q)) ** 0.5 / (p + q)) + 2
+    needed = F.when(F.col("n_b") > SKETCH, F.floor(share - sample)).otherwise(F.ceil(both * F.lit(p) / F.lit(p + q)))
+    larger = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("rep_a") < F.col("rep_b")))
+    left = F.least(F.col("s_a") - F.col("at_a"), F.col("s_b") - F.col("at_b"))
+    met = a.hint("merge").join(b, "key").where(larger & (F.col("n_a") * q >= F.col("n_b") * p) & (F.least("at_a", "at_b") + left >= needed))
+    return met.groupBy("rep_a", "rep_b").agg(F.count("*").alias("met"), F.min(left).alias("left"), F.first(needed).alias("needed")).where(F.col("met") + F.col("left") >= F.col("needed")).select("rep_a", "rep_b")
+
+
+def class_members(sets: DataFrame) -> DataFrame:
+    """(id, rep) of equal sets."""
     firsts = sets.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
-    members = cut(sets.select("id", "set_a", "set_b").join(firsts, ["set_a", "set_b"]).select("id", "rep").distinct())
-    classes = cut(sets.join(members.where("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "n", "sketch"))
-    return classes, members
+    return sets.hint("merge").join(firsts, ["set_a", "set_b"]).select("id", "rep").distinct()
 
 
 def near_duplicate_classes(texts: DataFrame, key: str = "id", text: str = "body", min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """Links (rep_a, rep_b, common, either) between different classes and members (id, rep) of all classes."""
-    spark = texts.sparkSession
     long = texts.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("body")).where((F.length(text) >= min_chars) & F.col(key).isNotNull())
-    classes, members = class_members(cut(sketches(long)))
-    release(spark)
-    pairs = candidate_pairs(classes)
-    release(spark)
-    pairs = estimated_pairs(pairs, classes)
-    del classes
-    release(spark)
+    members = cut(class_members(identities(long)))
+    lists = cut(value_lists(sketches(long, *hot_values(long))))
+    pairs = cut(candidate_pairs(lists))
+    drop(lists)
     wanted = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
-    sets = cut(full_sets(long.join(wanted, "id", "left_semi")).dropDuplicates(["id"]))
+    sets = cut(full_sets(long.hint("merge").join(wanted, "id", "left_semi")).dropDuplicates(["id"]))
     p, q = THRESHOLD
-    exact = pairs.join(sets.toDF("rep_a", "set_a"), "rep_a").join(sets.toDF("rep_b", "set_b"), "rep_b").select("rep_a", "rep_b", F.size(F.array_intersect("set_a", "set_b")).alias("common"), F.size("set_a").alias("na"), F.size("set_b").alias("nb"))
+    one = pairs.hint("merge").join(sets.toDF("rep_a", "set_a"), "rep_a")
+    exact = one.hint("merge").join(sets.toDF("rep_b", "set_b"), "rep_b").select("rep_a", "rep_b", F.size(F.array_intersect("set_a", "set_b")).alias("common"), F.size("set_a").alias("na"), F.size("set_b").alias("nb"))
     links = exact.withColumn("either", F.col("na") + F.col("nb") - F.col("common")).where(F.col("common") * q >= F.col("either") * p)
     links = cut(links.select("rep_a", "rep_b", "common", "either"))
+    drop(sets, pairs)
     return links, members
 
 

@@ -71,3 +71,44 @@ def test_groups_join_chains(spark):
 
 def test_no_rows(spark):
     assert found(spark, [])[0] == set()
+
+
+def headed(n, share, length=200, seed=4):
+    """Texts that share a header and nothing else."""
+    pick = random.Random(seed)
+    header = " ".join(f"h{i}" for i in range(int(length * share)))
+    return [(i, header + " " + " ".join(f"u{pick.randrange(10**9)}" for _ in range(length - int(length * share)))) for i in range(1, n + 1)]
+
+
+def test_header_makes_no_pairs(spark):
+    """Half of a text shared by all texts (similarity about 0.33), and two thirds (0.5)."""
+    for share, length in ((0.5, 200), (0.66, 200), (0.4, 900)):
+        rows = headed(1000, share, length)
+        copy = rows[7][1].split(" ")
+        copy[-3:] = ["x1", "x2", "x3"]
+        units = spark.createDataFrame([*rows, (5000, " ".join(copy))], "id long, body string")
+        lists = nd.value_lists(nd.sketches(units, *nd.hot_values(units)))
+        pairs = {tuple(r) for r in nd.candidate_pairs(lists).collect()}
+        assert (8, 5000) in pairs or (5000, 8) in pairs
+        assert len(pairs) < 10 * len(rows)
+
+
+def test_long_texts(spark):
+    pick = random.Random(9)
+    rows, k = [], 0
+    for n in (300, 500, 900, 2500):
+        for _ in range(6):
+            base = [f"w{pick.randrange(5000)}" for _ in range(n)]
+            for edits in (0, n // 40, n // 12):
+                own = list(base[: n - pick.choice((0, n // 10))])
+                for _ in range(edits):
+                    own[pick.randrange(len(own))] = f"e{pick.randrange(10**6)}"
+                k += 1
+                rows.append((k, " ".join(own)))
+    assert found(spark, rows)[0] == brute(rows)
+
+
+def test_hot_lists_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(nd, "CELL", 7)
+    rows = headed(60, 0.85, 120)
+    assert found(spark, rows)[0] == brute(rows)
