@@ -45,10 +45,11 @@ RUN = 3
 SKETCH = 256
 HOT_VALUES = 1 << 16
 HOT_IN_PART = 3
+PART_VALUES = 1 << 20
 CELL = 1000
 DEVIATIONS = 4.9
 THRESHOLD = (3, 5)  # 0.60 as a fraction, so that the last comparison is exact
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 18
 
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(48, 58), *range(65, 91), 95, *range(97, 123)]] = True
@@ -98,18 +99,27 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
 def hot_values(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Up to HOT_VALUES values with the most texts, sorted, and about how many texts have them.
 
-    Counted are values that HOT_IN_PART texts of one part (about PART_BYTES) share; the order of
-    values need not be exact, only the same for all texts.
+    Counted are values that HOT_IN_PART texts of one part (about PART_VALUES values) share; the
+    order of values need not be exact, only the same for all texts.
     """
     ship(texts.sparkSession)
 
+    def counted_in(parts: list[np.ndarray]) -> pa.RecordBatch:
+        value, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
+        hot = count >= HOT_IN_PART
+        return pa.RecordBatch.from_arrays([pa.array(value[hot].view(np.int64)), pa.array(count[hot].astype(np.int64))], names=["value", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in batches:
             bodies = batch.column(0).cast(pa.binary()).to_pylist()
             for a, b in _parts([len(x) for x in bodies]):
-                value, count = np.unique(shingle_sets(bodies[a:b])[0], return_counts=True)
-                hot = count >= HOT_IN_PART
-                yield pa.RecordBatch.from_arrays([pa.array(value[hot].view(np.int64)), pa.array(count[hot].astype(np.int64))], names=["value", "n"])
+                parts.append(shingle_sets(bodies[a:b])[0])
+                size += len(parts[-1])
+                if size >= PART_VALUES:
+                    yield counted_in(parts)
+                    parts, size = [], 0
+        yield counted_in(parts)
 
     counted = texts.select("body").mapInArrow(run, "value bigint, n bigint").groupBy("value").agg(F.sum("n").alias("n"))
     table = counted.orderBy(F.desc("n"), "value").limit(HOT_VALUES).toArrow().sort_by("value")
@@ -199,22 +209,6 @@ def sketches(texts: DataFrame, hot: np.ndarray, hot_count: np.ndarray) -> DataFr
     return texts.mapInArrow(run, ROWS)
 
 
-def identities(texts: DataFrame) -> DataFrame:
-    """(id, set_a, set_b) of every text that has values. No shuffle."""
-    ship(texts.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = batch.column(1).cast(pa.binary()).to_pylist()
-            for a, b in _parts([len(x) for x in bodies]):
-                values, bounds = shingle_sets(bodies[a:b])
-                filled = pa.array(np.flatnonzero(np.diff(bounds) > 0))
-                set_a, set_b = (pa.array(x).take(filled) for x in set_keys(values, bounds))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(filled), set_a, set_b], names=["id", "set_a", "set_b"])
-
-    return texts.mapInArrow(run, "id bigint, set_a bigint, set_b bigint")
-
-
 def full_sets(texts: DataFrame) -> DataFrame:
     """(id, hashes array<bigint>): the whole set of each text. No shuffle."""
     ship(texts.sparkSession)
@@ -265,8 +259,9 @@ def candidate_pairs(lists: DataFrame) -> DataFrame:
     return met.groupBy("rep_a", "rep_b").agg(F.count("*").alias("met"), F.min(left).alias("left"), F.first(needed).alias("needed")).where(F.col("met") + F.col("left") >= F.col("needed")).select("rep_a", "rep_b")
 
 
-def class_members(sets: DataFrame) -> DataFrame:
+def class_members(rows: DataFrame) -> DataFrame:
     """(id, rep) of equal sets."""
+    sets = rows.where("looks").select("id", "set_a", "set_b")
     firsts = sets.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
     return sets.hint("merge").join(firsts, ["set_a", "set_b"]).select("id", "rep").distinct()
 
@@ -274,8 +269,10 @@ def class_members(sets: DataFrame) -> DataFrame:
 def near_duplicate_classes(texts: DataFrame, key: str = "id", text: str = "body", min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """Links (rep_a, rep_b, common, either) between different classes and members (id, rep) of all classes."""
     long = texts.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("body")).where((F.length(text) >= min_chars) & F.col(key).isNotNull())
-    members = cut(class_members(identities(long)))
-    lists = cut(value_lists(sketches(long, *hot_values(long))))
+    rows = cut(sketches(long, *hot_values(long)))
+    members = cut(class_members(rows))
+    lists = cut(value_lists(rows))
+    drop(rows)
     pairs = cut(candidate_pairs(lists))
     drop(lists)
     wanted = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
