@@ -19,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERY = "ledger registry deadline"
 PHRASE = '"waiting lane" +profile -wallet'
 EPOCH = 1_764_547_200
+ROUND_END = "2026-01-01 00:00:00"
 
 __all__ = ["QUERIES", "SQL", "flagship"]
 
@@ -415,10 +416,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.files_to_process(*(table(spark, sf_dir, t) for t in ("file_scan", "file_index", "index_runs"))).select("repo", "file_path")
 
 
+def p3_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two runs over the observations process, with state kept between them: those received up to a day, then all."""
+    at = f"{shared_folder(spark)}/rounds-{spark._jvm.java.util.UUID.randomUUID()}"
+    store = incremental.StateStore(spark, f"{at}/state", ["repo", "file_path"])
+    scans = table(spark, sf_dir, "file_scan")
+    for number, seen in enumerate((scans.where(F.col("received_at") < F.lit(ROUND_END).cast("timestamp")), scans), 1):
+        incremental.run_incremental(incremental.latest_observations(seen), store, lambda df, n=number: df.write.mode("overwrite").parquet(f"{at}/out/round={n}"))
+    rows = spark.read.schema("repo string, file_path string, file_hash string, change string, round int").parquet(f"{at}/out")
+    return rows.select("round", "repo", "file_path", "file_hash", "change")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p3_found, tokenize_stats, path_functions, snippets, name_match, fuzzy_names, format_helpers, sizes_of_heads, content_hashes,
+        p3_found, p3_rounds, tokenize_stats, path_functions, snippets, name_match, fuzzy_names, format_helpers, sizes_of_heads, content_hashes,
         bm25_search, bm25_phrase, bm25_filtered, bm25_filter_first, rrf_two_way, rrf_three_way, rrf_weighted, semantic_only, vector_topk, ivf_topk, quantize_roundtrip, vector_norms, vector_upsert,
         callers, callees, search_context, unused_functions, unused_report, orphan_edges, live_edges, edges_from_units, unit_at_line, popularity,
         federated_search, find_similar, dedup_fingerprint, repo_rollup, cached_vectors, stats_by_type, stats_by_language, stats_summary,

@@ -99,6 +99,12 @@ CSV_FIELD = """CASE WHEN regexp_matches({0}, '[,"\n]') THEN '"' || replace({0},
 
 SQL: dict[str, str] = {
     "p3_found": f"WITH {LISTING}, {FILES} SELECT l.repo, l.file_path FROM listing l LEFT JOIN files k ON l.repo = k.repo AND l.file_path = k.file_path WHERE {CHANGED}",
+    "p3_rounds": f"""
+WITH {LISTING}, before AS (WITH {LISTING.replace("FROM file_scan", "FROM (SELECT * FROM file_scan WHERE received_at < TIMESTAMP '2026-01-01 00:00:00')")} SELECT * FROM listing)
+SELECT 1 AS round, repo, file_path, file_hash, 'new' AS change FROM before
+UNION ALL
+SELECT 2, l.repo, l.file_path, l.file_hash, CASE WHEN b.repo IS NULL THEN 'new' ELSE 'changed' END
+FROM listing l LEFT JOIN before b ON l.repo = b.repo AND l.file_path = b.file_path WHERE b.file_hash IS DISTINCT FROM l.file_hash""",
     "tokenize_stats": f"WITH {UNITS} SELECT language, CAST(sum(len({terms('body')})) AS BIGINT) AS n_tokens, CAST(max(len({terms('body')})) AS BIGINT) AS longest FROM units GROUP BY language",
     "path_functions": rf"""
 SELECT file_path, {LANGUAGE_CASE} AS language, {IS_TEST.format('file_path')} AS is_test,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import zipfile
@@ -73,21 +72,21 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
-    shared_folder(df.sparkSession)
-    ship(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+# Shuffle files of an execution go at its end instead of at some later collection of driver objects.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver drop shuffle and checkpoint files that nothing refers to any more.
 
-    Spark removes them when their driver objects are collected; a driver with little to do
-    may otherwise keep those of finished steps until the end of a job.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and drop its lineage, with the shuffle files that made it."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    ship(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def drop(*frames: DataFrame) -> None:

@@ -119,3 +119,35 @@ def test_removed_keys(spark):
     now = spark.createDataFrame([("a",)], "key string")
     was = spark.createDataFrame([("a",), ("b",), (None,)], "key string")
     assert {r["key"] for r in inc.removed(now, was, ["key"]).collect()} == {"b", None}
+
+
+def test_of_two_runs_from_one_version_one_wins(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(list(x), "key string, file_hash string")
+    first, second = (inc.StateStore(spark, str(tmp_path / "state"), ["key"]) for _ in range(2))
+    inc.run_incremental(rows(("a", "1")), first, lambda df: df.count())
+
+    def meanwhile(df):
+        inc.run_incremental(rows(("a", "1"), ("b", "1")), second, lambda d: d.count())
+
+    with pytest.raises(RuntimeError):
+        inc.run_incremental(rows(("a", "1"), ("c", "1")), first, meanwhile)
+    assert {r["key"] for r in first.read(rows(("a", "1"))).collect()} == {"a", "b"}
+    # both past the test of the version: the pointer decides
+    assert second._publish(3, "v=3-x") and not first._publish(3, "v=3-y")
+    assert first.folder(3).endswith("v=3-x")
+
+
+def test_prune_and_hashes_of_content(spark, tmp_path):
+    store = inc.StateStore(spark, str(tmp_path / "state"), ["key"], "h")
+    seen = []
+    for text in ("x", "y", "y"):
+        inc.run_incremental(spark.createDataFrame([("a", text), ("b", None)], "key string, text string"), store, lambda df: seen.append(sorted(r["key"] for r in df.collect())), ["text"])
+    assert seen == [["a", "b"], ["a"], []]
+    assert store.prune(1) == 2 and store.version() == 3
+    assert store.read(spark.createDataFrame([], "key string, h string")).count() == 2
+
+
+def test_runs_of_any_length(spark):
+    runs = spark.createDataFrame([("r", 0, 2_000_000_000, "ok"), ("r", 2_000_000_100, 2_000_000_100, "ok"), ("s", 50, 20_000, "ok"), ("s", 30_000, 29_000, "ok")], "repo string, started_at long, finished_at long, run_status string")
+    index = spark.createDataFrame([("r", "a", "h", 1_999_999_999, False), ("r", "b", "h", 2_000_000_100, False), ("r", "c", "h", 2_000_000_050, False), ("s", "d", "h", 20_000, False), ("s", "e", "h", 20_001, False), ("s", "f", "h", 49, None), ("s", "g", "h", 50, None)], "repo string, file_path string, file_hash string, last_indexed long, needs_reindex boolean")
+    assert {r["file_path"] for r in inc.valid_index_rows(index, runs).collect()} == {"a", "b", "d", "g"}
