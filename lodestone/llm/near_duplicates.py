@@ -48,6 +48,7 @@ HOT_IN_PART = 3
 PART_VALUES = 1 << 20
 CELL = 1000
 DEVIATIONS = 4.9
+SENT_IDS = 1_000_000
 THRESHOLD = (3, 5)  # 0.60 as a fraction, so that the last comparison is exact
 PART_BYTES = 1 << 18
 
@@ -224,31 +225,42 @@ def full_sets(texts: DataFrame) -> DataFrame:
 
 
 def value_lists(rows: DataFrame) -> DataFrame:
-    """(key, rep, n, s, at, role) of values of at least two classes; role 1 is to be found, 2 looks for others, 3 both.
+    """(key, rep, info) of values of at least two classes: set size, sample size, place and role; 1 is to be found, 2 looks for others, 3 both.
 
     Copies are reduced to one class before and while they are shuffled. Of a hot value with c cells a side, a class stands in c cells to be
     found and in c cells to look: the one they have in common joins every two classes once.
     """
     classes = rows.groupBy("set_a", "set_b", "looks").agg(F.min_by(F.struct("id", "n", "s", "n_found", "keys", "cells"), "id").alias("r")).select(F.col("r.id").alias("rep"), F.col("r.n").alias("n"), F.col("r.s").alias("s"), F.col("r.n_found").alias("n_found"), "looks", F.posexplode(F.arrays_zip("r.keys", "r.cells")).alias("at", "v"))
     place = F.col("at") + 1
-    flat = classes.select(F.col("v.keys").alias("key"), F.col("v.cells").alias("cells"), "rep", "n", F.col("s").cast("short").alias("s"), place.cast("short").alias("at"), ((place <= F.col("n_found")).cast("int") + F.col("looks").cast("int") * 2).cast("byte").alias("role"))
+    flat = classes.select(F.col("v.keys").alias("key"), F.col("v.cells").alias("cells"), "rep", _packed(F.col("n"), F.col("s"), place).alias("info"), ((place <= F.col("n_found")).cast("int") + F.col("looks").cast("int") * 2).alias("role"))
     cells, own = F.col("cells"), F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int")
-    one = lambda key, role: F.struct(key.alias("key"), role.cast("byte").alias("role"))
+    one = lambda key, role: F.struct(key.alias("key"), role.cast("bigint").alias("role"))
     row = F.sequence(F.lit(0), cells - 1)
     found = F.transform(row, lambda other: one(F.xxhash64("key", own, other), F.lit(1)))
     looks = F.transform(row, lambda other: one(F.xxhash64("key", other, own), F.lit(2)))
     places = F.when(cells == 1, F.array(one(F.col("key"), F.col("role")))).otherwise(F.concat(F.when(F.col("role") % 2 == 1, found).otherwise(F.array()), F.when(F.col("role") >= 2, looks).otherwise(F.array())))
-    spread = flat.select(F.explode(places).alias("p"), "rep", "n", "s", "at").select("p.key", "rep", "n", "s", "at", "p.role")
+    spread = flat.select(F.explode(places).alias("p"), "rep", "info").select("p.key", "rep", (F.shiftleft("info", 2) + F.col("p.role")).alias("info"))
     here = Window.partitionBy("key")
-    many = spread.withColumns({"all": F.count("*").over(here), "there": F.count_if(F.col("role") % 2 == 1).over(here)})
+    many = spread.withColumns({"all": F.count("*").over(here), "there": F.count_if(F.col("info") % 2 == 1).over(here)})
     return many.where("all > 1 AND there > 0").select(*spread.columns)
 
 
+def _packed(n: Column, s: Column, at: Column) -> Column:
+    """Set size, sample size and place as one number; the latter two are below 2^12 (SKETCH and what a sample can vary)."""
+    return F.shiftleft(n.cast("bigint"), 24) + F.shiftleft(s.cast("bigint"), 12) + at
+
+
+def _side(lists: DataFrame, role: int, end: str) -> DataFrame:
+    """Rows of one role with their numbers unpacked; names end in ``end``."""
+    info = F.col("info")
+    part = lambda bits: (F.shiftright(info, bits).bitwiseAND(F.lit((1 << 12) - 1))).cast("int")
+    return lists.where(info.bitwiseAND(F.lit(role)) != 0).select("key", F.col("rep").alias(f"rep_{end}"), F.shiftright(info, 26).alias(f"n_{end}"), part(14).alias(f"s_{end}"), part(2).alias(f"at_{end}"))
+
+
 def candidate_pairs(lists: DataFrame) -> DataFrame:
     """(rep_a, rep_b) of classes that meet in a list and whose union of sketches can have enough common values."""
     p, q = THRESHOLD
-    a = lists.where(F.col("role") % 2 == 1).select("key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "s", "at")])
-    b = lists.where(F.col("role") >= 2).select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "s", "at")])
+    a, b = _side(lists, 1, "a"), _side(lists, 2, "b")
     both = (F.col("s_a") + F.col("s_b")).cast("int")
     share = both * F.lit(p / (p + q))
     sample = F.sqrt(both) * (DEVIATIONS * (p * (q - p) * q / (p + q)) ** 0.5 / (p + q)) + 2
@@ -275,8 +287,10 @@ def near_duplicate_classes(texts: DataFrame, key: str = "id", text: str = "body"
     drop(rows)
     pairs = cut(candidate_pairs(lists))
     drop(lists)
-    wanted = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
-    sets = cut(full_sets(long.hint("merge").join(wanted, "id", "left_semi")).dropDuplicates(["id"]))
+    wanted = cut(pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct())
+    # texts are shuffled only where the ids, 8 bytes each, are too many to be sent
+    wanted = wanted.hint("broadcast" if wanted.count() <= SENT_IDS else "merge")
+    sets = cut(full_sets(long.join(wanted, "id", "left_semi")).dropDuplicates(["id"]))
     p, q = THRESHOLD
     one = pairs.hint("merge").join(sets.toDF("rep_a", "set_a"), "rep_a")
     exact = one.hint("merge").join(sets.toDF("rep_b", "set_b"), "rep_b").select("rep_a", "rep_b", F.size(F.array_intersect("set_a", "set_b")).alias("common"), F.size("set_a").alias("na"), F.size("set_b").alias("nb"))
