@@ -84,3 +84,37 @@ def test_table(spark):
     assert row["body"] == "a\r\n" + "\n".join([f'password = "{"*" * 17}" password = "{"*" * 17}"', f'password = "{"*" * 17}"']) and row["n_credentials"] == 4
     assert next(r for r in out if r["id"] == 2)["body"] is None
     assert cr.credential_places(units.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,value",
+    [
+        ("password: S3cr3tPassw0rd99", "S3cr3tPassw0rd99"), ("db.password=S3cr3tPassw0rd99", "S3cr3tPassw0rd99"), ('api_key = """q9Xv3kLw8ZtR2mN5"""', "q9Xv3kLw8ZtR2mN5"), ('token = f"q9Xv3kLw8ZtR2mN5"', "q9Xv3kLw8ZtR2mN5"),
+        ("<password>q9Xv3kLw8ZtR2mN5</password>", "q9Xv3kLw8ZtR2mN5"), ('passphrase = "correct horse battery staple"', "correct horse battery staple"), ("    The staging access code for this is G9yyDZwvn8wPMUV6Qh0IE7LndBIJcVKFkSJR (rotate).", "G9yyDZwvn8wPMUV6Qh0IE7LndBIJcVKFkSJR"),
+        ('secret_key = "' + "aB3xK9pLm2Qz" * 14 + '"', "aB3xK9pLm2Qz" * 14), ("x" * 90 + '_password = "q9Xv3kLw8ZtR2mN5"', "q9Xv3kLw8ZtR2mN5"), ('password = "Winter2024!"', "Winter2024!"),
+    ],
+)
+def test_settings_literals_markup_and_phrases(find, text, value):
+    assert [text[a:b] for a, b in find(text)] == [value]
+
+
+@pytest.mark.parametrize("text", ['secret_word = "stage2build"', "password: str", "token = self.next_token", "secret_name: prod/db2024", 'passphrase = "must have four words here"', 'x = "' + "aB3xK9pLm2Qz" * 20 + '"', "<password>$PASSWORD</password>"])
+def test_words_names_and_data(find, text):
+    assert find(text) == []
+
+
+def test_the_measure_decides(find, monkeypatch):
+    """Without unnatural strings only pass phrases, private keys and passwords in URLs would be found."""
+    own = cr.Finder(cr.encoder(cr.TOKENIZER_DIR, cr.TOKENIZER))
+    monkeypatch.setattr(own, "per_subword", lambda value: 9.0)
+    left = [text for text, _ in LIVE if own.find(text)]
+    assert len(left) <= 3
+
+
+def test_long_lines_take_no_time(find):
+    import time
+
+    begin = time.time()
+    find('x = "' + "aB3xK9pLm2Qz/" * 20_000 + '"; password = "q9Xv3kLw8ZtR2mN5"')
+    find(" ".join(f'"{i}aB3xK9pLm2QzaB3xK9pLm2Qz"' for i in range(5_000)))
+    assert time.time() - begin < 30
