@@ -1,22 +1,27 @@
 """The k most similar other vectors of every vector: a forest of sorted hash strings.
 
-Each tree gives every vector a string of 64 random-hyperplane bits. A tree is one sorted
-array, cut into ranges over the cluster. In it the longest-prefix matches of a vector are
-its nearest places: walking up from the longest match to shorter prefixes means walking
-outwards on both sides. All trees ascend alike until each has given ``REACH`` places on
-either side, and cosines of these candidates are taken exactly. The candidates of all trees
-are merged by vector.
-
-Each tree also tells the shortest prefix of which it has given all places. A neighbour at a
-cosine shares a prefix of that length with a known chance, so that the chance of having
-missed one as near as the k-th is known too. Vectors at more than ``MISS``, as those of dense
-groups, of places with no near neighbours and at many edges of ranges, are compared with all
-others, in blocks. That part grows with their number times that of all vectors.
+Each tree gives every vector a string of 128 bits: 64 signs of random projections, then 16
+bits each of the parity of projections cut into steps of four widths, ever finer, which tell
+near-copies apart whose signs are all the same. A tree is the sorted array of its strings, cut
+into ranges over the cluster; each range also holds ``HALO`` places of both ranges beside it.
+
+1. Descent: in each tree the longest prefix that a vector shares with others is that with its
+   neighbours in the array; the number of places that share each shorter prefix follows from
+   the prefixes that places next to each other share.
+2. Ascent: all trees go up from the longest prefix together, bit by bit, until the places that
+   share a prefix of that length with the vector number ``BUDGET`` x log2 n over all trees.
+3. Cosines of these candidates are taken exactly and the best of all trees merged by vector.
+
+The length reached tells the chance of having missed a neighbour as near as the k-th found: one
+at a cosine shares a prefix of a length with a known chance in each tree. Vectors at more than
+``MISS``, as those without near neighbours, are compared with all others, in blocks. That part
+grows with their number times that of all vectors. So are those of which a tree could not give
+all places of the prefix, as more than ``HALO`` lie on one side.
 
 Equal vectors are one class with its smallest id as representative; only classes enter the
 trees and each brings its k + 1 smallest ids, so that any number of copies stays cheap and
-ties go to the smaller ids. Ranges are cut by (tree, hash, id): near-copies with one hash
-string can't make a range large.
+ties go to the smaller ids. Ranges are cut by (tree, string, salted id): near-copies with one
+string can't make a range large, and each tree has another order among them.
 
 Records without data, of another length than their dim or than the wanted one, without a
 range, or all zero are unusable. Only the latest record of a key counts; of several at the
@@ -31,29 +36,39 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.session import cut
+from lodestone.session import cut, drop, ship
 
 DIM = 96
 K = 5
 TREES = 12
-REACH = 400
+BUDGET = 600
+HALO = 1024
 MISS = 0.02
 BLOCK = 256
 SIDE = 8_192
+SIDES = 16
+MOST_SIDE = 65_536
 RANGE_ROWS = 32_768
 SEED = 20_251
 BITS = 64
+WIDTHS = (0.5, 0.125, 0.03, 0.008)
+FINE = BITS // len(WIDTHS)
 #: More than single precision and rounding to six decimals take from a cosine.
 MARGIN = 4e-6
 
 NEAR = "near array<struct<minus:double,other:bigint>>"
 
 
-def planes(dim: int, trees: int) -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((dim, trees * BITS)).astype(np.float32)
+def planes(dim: int, trees: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Projections of the signs, those of the fine bits divided by their widths, and shifts of the latter."""
+    pick = np.random.default_rng(SEED)
+    signs, fine = (pick.standard_normal((dim, trees * BITS)).astype(np.float32) for _ in range(2))
+    width = np.tile(np.repeat(np.array(WIDTHS, np.float32), FINE), trees)
+    return signs, fine / width, pick.random(trees * BITS).astype(np.float32)
 
 
 def usable_vectors(records: DataFrame, keys: DataFrame, dim: int = DIM) -> DataFrame:
@@ -67,7 +82,8 @@ def usable_vectors(records: DataFrame, keys: DataFrame, dim: int = DIM) -> DataF
 
 
 def _pack(records: DataFrame) -> DataFrame:
-    """Elements as one byte each, and a key of the content."""
+    """Elements as one byte each."""
+    ship(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +106,8 @@ def _vectors(table: pa.Table | pa.RecordBatch) -> np.ndarray:
 
 
 def hash_strings(classes: DataFrame, trees: int = TREES) -> DataFrame:
-    """(unit_id, v_min, v_max, data, hashes array<bigint>), one 64-bit string per tree."""
+    """(unit_id, v_min, v_max, data, hashes array<bigint>, fines array<bigint>), two halves of a string per tree."""
+    ship(classes.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
@@ -100,12 +117,15 @@ def hash_strings(classes: DataFrame, trees: int = TREES) -> DataFrame:
             vectors = _vectors(batch).astype(np.float32)
             if own is None:
                 own = planes(vectors.shape[1], trees)
-            bits = np.packbits((vectors @ own > 0).reshape(-1, trees, BITS), axis=2)
-            hashes = bits.reshape(-1).view(">i8").astype(np.int64)
+            signs, fine, shift = own
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * trees)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(hashes))], names=["unit_id", "v_min", "v_max", "data", "hashes"])
+            halves = []
+            for bits in (vectors @ signs > 0, np.floor(vectors @ fine + shift).astype(np.int32) & 1 == 1):
+                packed = np.packbits(bits.reshape(-1, trees, BITS), axis=2).reshape(-1).view(">i8").astype(np.int64)
+                halves.append(pa.ListArray.from_arrays(offsets, pa.array(packed)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *halves], names=["unit_id", "v_min", "v_max", "data", "hashes", "fines"])
 
-    return classes.mapInArrow(run, "unit_id bigint, v_min float, v_max float, data binary, hashes array<bigint>")
+    return classes.mapInArrow(run, "unit_id bigint, v_min float, v_max float, data binary, hashes array<bigint>, fines array<bigint>")
 
 
 def closest(sims: np.ndarray, queries: np.ndarray, others: np.ndarray, ids: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,21 +149,6 @@ def _lists(n: int, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)), items)
 
 
-def nearest_in_range(vectors: np.ndarray, ids: np.ndarray, take: int, reach: int) -> pa.Array:
-    """For each place of a sorted array the ``take`` most similar of the places up to ``reach`` away."""
-    n = len(ids)
-    single = vectors.astype(np.float32)
-    found = []
-    for a in range(0, n, BLOCK):
-        b = min(n, a + BLOCK)
-        lo, hi = max(0, a - reach), min(n, b + reach)
-        sims = single[a:b] @ single[lo:hi].T
-        sims[np.arange(b - a), np.arange(a, b) - lo] = -2
-        row, other, cosines = closest(sims, vectors[a:b], vectors[lo:hi], ids[lo:hi], take)
-        found.append((row + a, other, cosines))
-    return _lists(n, found)
-
-
 def shared_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Number of leading bits that hash strings have in common."""
     differing = (a ^ b).view(np.uint64)
@@ -155,40 +160,135 @@ def shared_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(a == b, BITS, length)
 
 
-def given_prefix(hashes: np.ndarray, reach: int, open_start: bool, open_end: bool) -> np.ndarray:
-    """Shortest prefix of each place all of whose places lie within ``reach``; BITS + 1 if not even equal strings do.
-
-    ``open_start`` and ``open_end`` say that the tree may go on in another range.
+def beside(hashes: np.ndarray, fines: np.ndarray) -> np.ndarray:
+    """Bits that each place of a sorted array shares with the next one."""
+    shared = shared_prefix(hashes[:-1], hashes[1:])
+    return np.where(shared == BITS, BITS + shared_prefix(fines[:-1], fines[1:]), shared)
+
+
+def descend(lcp: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of a sorted array the lengths of prefixes at which more others share it, from the longest match on, and
+    how many more: flat, as length * 2^20 + number, with offsets. Numbers add up to no more than ``budget``."""
+    n = len(lcp) + 1
+    known = np.zeros(n, np.int64)
+    rows, steps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for length in np.unique(lcp)[::-1].tolist():
+        run = np.concatenate([[0], np.cumsum(lcp < length)])
+        others = np.minimum(np.bincount(run)[run] - 1, budget)
+        more = np.flatnonzero(others > known)
+        rows.append(more)
+        steps.append((length << 20) + others[more] - known[more])
+        known = others
+        if known.min() >= budget:
+            break
+    row, step = np.concatenate(rows), np.concatenate(steps)
+    order = np.argsort(row, kind="stable")
+    return step[order], np.searchsorted(row[order], np.arange(n + 1))
+
+
+def ascend(steps: np.ndarray, bounds: np.ndarray, budget: int) -> np.ndarray:
+    """Length of prefix at which all trees together give ``budget`` others to each vector; 0 where they never do."""
+    n = len(bounds) - 1
+    owner = np.repeat(np.arange(n), np.diff(bounds))
+    length, more = steps >> 20, steps & ((1 << 20) - 1)
+    order = np.lexsort((-length, owner))
+    total = np.concatenate([[0], np.cumsum(more[order])])
+    enough = np.flatnonzero(total[1:] - total[bounds[owner]] >= budget)
+    out = np.zeros(n, np.int64)
+    first = np.append(True, owner[enough][1:] != owner[enough][:-1]) if len(enough) else np.zeros(0, bool)
+    out[owner[enough[first]]] = length[order][enough[first]]
+    return out
+
+
+def block_of(lcp: np.ndarray, lengths: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[begin, end) of the places that share a prefix of the given length with each of ``places``."""
+    begin, end = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+    for length in np.unique(lengths).tolist():
+        own = np.flatnonzero(lengths == length)
+        edges = np.concatenate([[0], np.flatnonzero(lcp < length) + 1, [len(lcp) + 1]])
+        at = np.searchsorted(edges, places[own], side="right")
+        begin[own], end[own] = edges[at - 1], edges[at]
+    return begin, end
+
+
+def _segments(tree: np.ndarray) -> Iterator[tuple[int, int]]:
+    edges = [0, *(np.flatnonzero(np.diff(tree)) + 1).tolist(), len(tree)]
+    return zip(edges, edges[1:])
+
+
+def depths(hashed: DataFrame, n: int, trees: int, budget: int) -> DataFrame:
+    """(unit_id, depth, places array<struct<tree, range, side>>): length of prefix at which the ascent ends, and where a vector stands in each tree.
+
+    ``side`` is -1 or 1 for places that the range before or behind has in its halo too. Only strings and ids are shuffled.
     """
-    n, step = len(hashes), reach + 1
-    up, down = np.full(n, (BITS + 1) * open_start), np.full(n, (BITS + 1) * open_end)
-    if n > step:
-        beyond = shared_prefix(hashes[:-step], hashes[step:]) + 1
-        up[step:], down[:-step] = beyond, beyond
-    return np.maximum(up, down)
-
+    most = max(1, math.ceil(n * trees / RANGE_ROWS))
 
-def class_candidates(hashed: DataFrame, n: int, k: int = K, trees: int = TREES, reach: int = REACH) -> DataFrame:
-    """(unit_id, near, given): each class with its most similar classes in each tree and the prefix given there."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         table = pa.Table.from_batches(parts)
-        tree = table.column("tree").to_numpy()
-        edges = [0, *(np.flatnonzero(np.diff(tree)) + 1).tolist(), len(tree)]
-        for a, b in zip(edges, edges[1:]):
-            part = table.slice(a, b - a)
-            ids = part.column("unit_id").to_numpy()
-            near = nearest_in_range(_vectors(part), ids, k + 1, reach)
-            given = given_prefix(part.column("hash").to_numpy(), reach, a == 0, b == len(tree))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), near, pa.array(given.astype(np.int32))], names=["unit_id", "near", "given"])
-
-    forest = hashed.select(F.posexplode("hashes").alias("tree", "hash"), "unit_id", "v_min", "v_max", "data")
-    ranges = max(1, math.ceil(n * trees / RANGE_ROWS))
-    ordered = forest.repartitionByRange(ranges, "tree", "hash", "unit_id").sortWithinPartitions("tree", "hash", "unit_id")
-    return ordered.mapInArrow(run, f"unit_id bigint, {NEAR}, given int")
+        number, rows = TaskContext.get().partitionId(), table.num_rows
+        tree, hashes, fines = (table.column(c).to_numpy() for c in ("tree", "hash", "fine"))
+        for a, b in _segments(tree):
+            steps, bounds = descend(beside(hashes[a:b], fines[a:b]), budget)
+            side = np.where(np.arange(a, b) < HALO, -1, 0) + np.where(np.arange(a, b) >= rows - HALO, 1, 0)
+            if rows < 2 * HALO:  # a small range is in both
+                side = np.where((np.arange(a, b) < HALO) & (np.arange(a, b) >= rows - HALO), 2, side)
+            columns = [table.column("unit_id").slice(a, b - a).combine_chunks(), pa.array(tree[a:b]), pa.array(np.full(b - a, number, np.int32)), pa.array(side.astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(steps.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["unit_id", "tree", "range", "side", "steps"])
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            steps = batch.column(1)
+            depth = ascend(steps.flatten().to_numpy().astype(np.int64), steps.offsets.to_numpy().astype(np.int64) - steps.offsets[0].as_py(), budget)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(depth.astype(np.int32)), batch.column(2)], names=["unit_id", "depth", "places"])
+
+    forest = hashed.select("unit_id", F.posexplode(F.arrays_zip("hashes", "fines")).alias("tree", "h")).select("tree", F.col("h.hashes").alias("hash"), F.col("h.fines").alias("fine"), F.xxhash64("unit_id", "tree").alias("salt"), "unit_id")
+    ordered = forest.repartitionByRange(most, "tree", "hash", "fine", "salt").sortWithinPartitions("tree", "hash", "fine", "salt")
+    found = ordered.mapInArrow(down, "unit_id bigint, tree int, range int, side int, steps array<int>")
+    by_unit = found.groupBy("unit_id").agg(F.flatten(F.collect_list("steps")).alias("steps"), F.collect_list(F.struct("tree", "range", "side")).alias("places"))
+    return by_unit.mapInArrow(up, "unit_id bigint, depth int, places array<struct<tree:int,range:int,side:int>>")
+
+
+def class_candidates(hashed: DataFrame, n: int, k: int = K, trees: int = TREES, budget: int = BUDGET) -> DataFrame:
+    """(unit_id, near, depth, whole): each class with its most similar classes in each tree, the prefix reached, and whether all places that share it were there."""
+    reached = depths(hashed, n, trees, max(k + 1, math.ceil(budget * math.log2(max(2, n)))))
+    side = F.col("p.side")
+    ranges = F.array_compact(F.array(F.struct(F.col("p.range").alias("range"), F.lit(True).alias("asks")), F.when((side == -1) | (side == 2), F.struct((F.col("p.range") - 1).alias("range"), F.lit(False).alias("asks"))), F.when(side >= 1, F.struct((F.col("p.range") + 1).alias("range"), F.lit(False).alias("asks")))))
+    placed = (
+        reached.join(hashed, "unit_id")
+        .select("unit_id", "depth", "v_min", "v_max", "data", "hashes", "fines", F.explode("places").alias("p"))
+        .select("unit_id", "depth", "v_min", "v_max", "data", F.col("p.tree").alias("tree"), F.get("hashes", "p.tree").alias("hash"), F.get("fines", "p.tree").alias("fine"), F.explode(ranges).alias("r"))
+        .select("unit_id", "depth", "v_min", "v_max", "data", "tree", "hash", "fine", F.xxhash64("unit_id", "tree").alias("salt"), "r.range", "r.asks")
+    )
+
+    def run(table: pa.Table) -> pa.Table:
+        tree, hashes, fines, salt = (table.column(c).to_numpy() for c in ("tree", "hash", "fine", "salt"))
+        table = table.take(pa.array(np.lexsort((salt, fines, hashes, tree))))
+        tree, hashes, fines, ids, depth = (table.column(c).to_numpy() for c in ("tree", "hash", "fine", "unit_id", "depth"))
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        out: list[pa.Table] = []
+        for a, b in _segments(tree):
+            vectors, own = _vectors(table.slice(a, b - a)), ids[a:b]
+            single = vectors.astype(np.float32)
+            query = np.flatnonzero(asks[a:b])
+            begin, end = block_of(beside(hashes[a:b], fines[a:b]), depth[a:b][query], query)
+            whole = (begin + a > 0) & (end + a < len(tree)) & (query - begin <= HALO) & (end - query <= HALO + 1)
+            begin, end = np.maximum(begin, query - HALO), np.minimum(end, query + HALO + 1)
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            for c in range(0, len(query), BLOCK):
+                part = slice(c, min(len(query), c + BLOCK))
+                lo, hi = int(begin[part].min()), int(end[part].max())
+                sims = single[query[part]] @ single[lo:hi].T
+                column = np.arange(lo, hi)
+                sims[(column < begin[part, None]) | (column >= end[part, None]) | (column == query[part, None])] = -2
+                row, other, cosines = closest(sims, vectors[query[part]], vectors[lo:hi], own[lo:hi], k + 1)
+                found.append((row + c, other, cosines))
+            out.append(pa.table({"unit_id": own[query], "near": _lists(len(query), found), "depth": depth[a:b][query], "whole": whole}))
+        return pa.concat_tables(out)
+
+    return placed.groupBy("range").applyInArrow(run, f"unit_id bigint, {NEAR}, depth int, whole boolean")
 
 
 def merged(k: int) -> Column:
@@ -197,15 +297,21 @@ def merged(k: int) -> Column:
 
 
 def chance_of_loss(n: int, k: int) -> Column:
-    """Chance that no tree has given a neighbour as near as the k-th of ``near``."""
-    alike = 1 - F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.col("near")[k - 1]["minus"]))) / math.pi
-    lost = F.aggregate("given", F.lit(1.0), lambda chance, bits: F.when(bits > BITS, chance).otherwise(chance * (1 - F.pow(alike, bits))))
-    return F.when(F.size("near") >= k, lost).otherwise(F.when(F.size("near") < n - 1, 1.0).otherwise(0.0))
+    """Chance that no tree with all places of the prefix had a neighbour as near as the k-th of ``near``."""
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.col("near")[k - 1]["minus"]))
+    signs = F.pow(1 - F.acos(cosine) / math.pi, F.least("depth", F.lit(BITS)))
+    distance, fine = F.sqrt(2 - 2 * cosine), F.lit(1.0)
+    for i, width in enumerate(WIDTHS):
+        # a projection of the difference is 0.8 of it on average
+        bits = F.greatest(F.lit(0), F.least(F.lit(FINE), F.col("depth") - BITS - i * FINE))
+        fine = fine * F.pow(F.greatest(F.lit(0.5), 1 - 0.8 * distance / width), bits)
+    return F.when(F.size("near") >= k, F.pow(1 - signs * fine, "whole")).otherwise(F.when(F.size("near") < n - 1, 1.0).otherwise(0.0))
 
 
 def among_all(queries: DataFrame, classes: DataFrame, n: int, k: int) -> DataFrame:
     """(unit_id, near): the most similar of all classes for each query, exactly; one list for each block of classes."""
-    chunks, blocks = max(1, math.ceil(queries.count() / SIDE)), max(1, math.ceil(n / SIDE))
+    side = min(MOST_SIDE, max(SIDE, math.ceil(n / SIDES)))
+    chunks, blocks = max(1, math.ceil(queries.count() / side)), max(1, math.ceil(n / side))
 
     def run(cell: pa.Table) -> pa.Table:
         cell = cell.sort_by("unit_id")
@@ -234,7 +340,7 @@ def among_all(queries: DataFrame, classes: DataFrame, n: int, k: int) -> DataFra
     return cells.groupBy("cell").applyInArrow(run, f"unit_id bigint, {NEAR}")
 
 
-def nearest(records: DataFrame, keys: DataFrame, k: int = K, dim: int = DIM, trees: int = TREES, reach: int = REACH) -> DataFrame:
+def nearest(records: DataFrame, keys: DataFrame, k: int = K, dim: int = DIM, trees: int = TREES, budget: int = BUDGET) -> DataFrame:
     """(unit_id, other, cosine, rank): the k most similar other vectors of every vector, cosine rounded to six decimals."""
     packed = _pack(usable_vectors(records, keys, dim)).withColumn("content", F.sha2(F.concat("data", F.encode(F.concat_ws("|", F.col("v_min").cast("string"), F.col("v_max").cast("string")), "UTF-8")), 256))
     rows = cut(packed)
@@ -244,7 +350,7 @@ def nearest(records: DataFrame, keys: DataFrame, k: int = K, dim: int = DIM, tre
     hashed = cut(hash_strings(classes, trees))
     n = hashed.count()
     # the best classes of each class, over all trees
-    forest = class_candidates(hashed, n, k, trees, reach).groupBy("unit_id").agg(merged(k), F.collect_list("given").alias("given"))
+    forest = class_candidates(hashed, n, k, trees, budget).groupBy("unit_id").agg(merged(k), F.first("depth").alias("depth"), F.count_if("whole").alias("whole"))
     found = cut(forest.select("unit_id", "near", (chance_of_loss(n, k) > MISS).alias("open")))
     rest = among_all(hashed.join(found.where("open").select("unit_id"), "unit_id", "left_semi"), hashed, n, k).groupBy("unit_id").agg(merged(k))
     best = found.where("NOT open").select("unit_id", "near").unionByName(rest)

@@ -36,7 +36,7 @@ def test_recall_against_brute_force(spark):
     ids = [int(i) for i in np.random.default_rng(1).permutation(9000)[: len(data)]]
     found = {}
     keys = spark.createDataFrame([(i,) for i in ids], "id long")
-    for r in nb.nearest(table(spark, [record(i, d) for i, d in zip(ids, data)]), keys, reach=64).collect():
+    for r in nb.nearest(table(spark, [record(i, d) for i, d in zip(ids, data)]), keys, budget=100).collect():
         found.setdefault(r["unit_id"], {})[r["rank"]] = r["other"]
     true = brute(ids, -1 + data / 255 * 2)
     hit = sum(len(set(true[i]) & set(found[i].values())) for i in ids)
@@ -49,7 +49,7 @@ def test_a_third_of_near_copies_and_loose_vectors(spark):
     data[:1000] = np.clip(data[0] + pick.integers(-1, 2, (1000, 96)), 0, 255)
     ids = [int(i) for i in pick.permutation(9000)[: len(data)]]
     found = {}
-    for r in nb.nearest(table(spark, [record(i, d) for i, d in zip(ids, data)]), spark.createDataFrame([(i,) for i in ids], "id long"), reach=64).collect():
+    for r in nb.nearest(table(spark, [record(i, d) for i, d in zip(ids, data)]), spark.createDataFrame([(i,) for i in ids], "id long"), budget=100).collect():
         found.setdefault(r["unit_id"], set()).add(r["other"])
     true = brute(ids, -1 + data / 255 * 2)
     assert all(len(found[i]) == 5 for i in ids)
@@ -84,3 +84,39 @@ def test_none_and_one(spark):
     keys = spark.createDataFrame([(1,)], "id long")
     assert nb.nearest(table(spark, []), keys).count() == 0
     assert nb.nearest(table(spark, [record(1, [1] * 96)]), keys).count() == 0
+
+
+def strings(words):
+    return np.array(words, np.uint64).view(np.int64)
+
+
+def test_descent_and_ascent_on_small_trees():
+    """Four places share 2 bits, two of them 5; a fifth shares none."""
+    top = np.uint64(1) << np.uint64(59)
+    words = np.sort(strings([0b00000 * top, 0b00001 * top, 0b01000 * top, 0b01001 * top, 0b10000 * top]).view(np.uint64)).view(np.int64)
+    fines = np.zeros(5, np.int64)
+    lcp = nb.beside(words, fines)
+    assert lcp.tolist() == [4, 1, 4, 0]
+    steps, bounds = nb.descend(lcp, 10)
+    assert [[(int(s) >> 20, int(s) & 0xFFFFF) for s in steps[a:b]] for a, b in zip(bounds, bounds[1:])] == [[(4, 1), (1, 2), (0, 1)]] * 4 + [[(0, 4)]]
+    # two trees alike: two others at 4 bits, six at 1 bit
+    both, ends = np.concatenate([steps[:3], steps[:3], steps[-1:]]), np.array([0, 6, 7])
+    assert nb.ascend(both, ends, 2).tolist() == [4, 0] and nb.ascend(both, ends, 3).tolist() == [1, 0] and nb.ascend(both, ends, 100).tolist() == [0, 0]
+    begin, end = nb.block_of(lcp, np.array([4, 1, 0, 128]), np.array([0, 0, 4, 2]))
+    assert list(zip(begin.tolist(), end.tolist())) == [(0, 2), (0, 4), (0, 5), (2, 3)]
+
+
+def test_halos_give_all_places_of_a_prefix(spark, monkeypatch):
+    """Where ranges are small, the halos give what one range gives."""
+    data = clusters(1500, 4)
+    ids = list(range(1, 1501))
+    vectors = table(spark, [record(i, d) for i, d in zip(ids, data)])
+    keys = spark.createDataFrame([(i,) for i in ids], "id long")
+    near = []
+    for rows in (1 << 20, 3000):
+        monkeypatch.setattr(nb, "RANGE_ROWS", rows)
+        hashed = nb.hash_strings(nb._pack(nb.usable_vectors(vectors, keys)), 4).checkpoint()
+        found = nb.class_candidates(hashed, 1500, 5, 4, 20).groupBy("unit_id").agg(nb.merged(5), nb.F.first("depth").alias("depth"))
+        near.append({r["unit_id"]: [x["other"] for x in r["near"]] for r in found.collect()})
+    same = sum(near[0][i] == near[1][i] for i in ids)
+    assert same >= 0.99 * len(ids)
