@@ -5,7 +5,9 @@
 2. Word counts over all documents give each word a rank: the number of words at least as
    frequent, so that equally frequent words share a rank and no order among them is needed.
 3. The coverage rank of a document is the smallest rank whose vocabulary covers a fixed
-   share of its words.
+   share of its words. The words of the first ``HEAD_WORDS`` ranks are sent to the documents,
+   which settles nearly all of them; the others look up their rarer words by a shuffle, in
+   which no word is hot, as all frequent ones are among those sent.
 4. The grade is a linear function of the log of the coverage rank, the mean log sentence
    length and the mean word length over sentences. Its four coefficients are fitted to the
    labelled documents by least squares: SQL sums the normal equations, the driver solves
@@ -14,7 +16,7 @@
 Only English documents with a text that is neither null nor blank and no code file are taken;
 those whose prose is empty have a null grade, as has every document when there are fewer
 than eight ratings. Raters' grades are averaged; null grades do not count. Repeated rows of
-a document count once each in the corpus; their words are counted together.
+a document count once each in the corpus; of their coverage ranks the smallest holds.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import LETTER, SPACE, classes, word_keys
-from lodestone.session import cut
+from lodestone.session import cut, drop, ship
 
 SHARE = 0.5
 PART_CHARS = 1 << 20
-BROADCAST_WORDS = 300_000
+HEAD_WORDS = 1 << 16
 RIDGE = 1e-6
 
 FEATURES = "doc_id bigint, n_words bigint, n_sentences bigint, log_sentence double, word_length double, words array<bigint>, counts array<int>"
@@ -137,6 +139,7 @@ def text_features(texts: list[str]) -> tuple[np.ndarray, ...]:
 
 def features(docs: DataFrame) -> DataFrame:
     """Words, sentences and distinct words of each document; see FEATURES. No shuffle."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,20 +176,52 @@ def word_ranks(parts: DataFrame) -> DataFrame:
     return totals.join(ranked.select("total", "rank"), "total").select("word", "rank")
 
 
+def covered(words: np.ndarray, counts: np.ndarray, bounds: np.ndarray, need: np.ndarray, head: np.ndarray, head_rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coverage rank of each document by the words of ``head`` (sorted), -1 where they don't suffice; how many words they cover; which words are others."""
+    n = len(bounds) - 1
+    owner = np.repeat(np.arange(n), np.diff(bounds))
+    place = np.minimum(np.searchsorted(head, words), len(head) - 1) if len(head) else np.zeros(len(words), np.int64)
+    known = head[place] == words if len(head) else np.zeros(len(words), bool)
+    of, rank, count = owner[known], head_rank[place[known]] if len(head) else np.zeros(0, np.int64), counts[known]
+    order = np.lexsort((rank, of))
+    of, rank, total = of[order], rank[order], np.concatenate([[0], np.cumsum(count[order])])
+    start = np.searchsorted(of, np.arange(n + 1))
+    so_far = total[1:] - total[start[of]]
+    enough = np.flatnonzero(so_far >= need[of])
+    out = np.full(n, -1, np.int64)
+    first = np.append(True, of[enough][1:] != of[enough][:-1]) if len(enough) else np.zeros(0, bool)
+    out[of[enough[first]]] = rank[enough[first]]
+    return out, total[start[1:]] - total[start[:-1]], ~known
+
+
 def coverage_ranks(parts: DataFrame, ranks: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, coverage_rank): smallest rank whose words make up ``share`` of the document's words.
 
-    The rank table is broadcast only if its counted size is at most BROADCAST_WORDS rows.
+    A rank is the number of words at least as frequent, so at most HEAD_WORDS words, of 16 bytes each, come to the driver and are sent on.
     """
-    ranks = cut(ranks)
-    if ranks.count() <= BROADCAST_WORDS:
-        ranks = F.broadcast(ranks)
-    pairs = parts.select("doc_id", "n_words", F.explode(F.arrays_zip("words", "counts")).alias("p")).select("doc_id", "n_words", F.col("p.words").alias("word"), F.col("p.counts").alias("n"))
-    by_doc = pairs.join(ranks, "word").groupBy("doc_id", "n_words").agg(F.array_sort(F.collect_list(F.struct("rank", "n"))).alias("all"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(None).cast("bigint").alias("rank"))
+    spark = parts.sparkSession
+    top = ranks.where(F.col("rank") <= HEAD_WORDS).toArrow().sort_by("word")
+    sent = spark.sparkContext.broadcast((top.column("word").to_numpy(), top.column("rank").to_numpy().astype(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, counts = (batch.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+            offsets = batch.column(2).offsets.to_numpy().astype(np.int64)
+            bounds = offsets - offsets[0]
+            rank, have, others = covered(words, counts, bounds, batch.column(1).to_numpy() * share, *sent.value)
+            others &= np.repeat(rank < 0, np.diff(bounds))
+            ends = pa.array(np.concatenate([[0], np.cumsum(others)])[bounds].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[others])) for x in (words, counts.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(have), pa.array(rank, mask=rank < 0), *lists], names=["doc_id", "n_words", "have", "coverage_rank", "words", "counts"])
+
+    settled = cut(parts.select("doc_id", "n_words", "words", "counts").mapInArrow(run, "doc_id bigint, n_words bigint, have bigint, coverage_rank bigint, words array<bigint>, counts array<int>"))
+    pairs = settled.where("coverage_rank IS NULL").select("doc_id", "n_words", "have", F.explode(F.arrays_zip("words", "counts")).alias("p")).select("doc_id", "n_words", "have", F.col("p.words").alias("word"), F.col("p.counts").alias("n"))
+    by_doc = pairs.hint("merge").join(ranks, "word").groupBy("doc_id", "n_words", "have").agg(F.array_sort(F.collect_list(F.struct("rank", "n"))).alias("all"))
+    zero = F.struct(F.col("have").alias("sum"), F.lit(None).cast("bigint").alias("rank"))
     need = F.col("n_words") * F.lit(float(share))
     step = lambda acc, x: F.when(acc["rank"].isNotNull(), acc).otherwise(F.struct((acc["sum"] + x["n"]).alias("sum"), F.when(acc["sum"] + x["n"] >= need, x["rank"]).alias("rank")))
-    return by_doc.select("doc_id", F.aggregate("all", zero, step)["rank"].alias("coverage_rank"))
+    late = by_doc.select("doc_id", F.aggregate("all", zero, step)["rank"].alias("coverage_rank"))
+    return settled.where("coverage_rank IS NOT NULL").select("doc_id", "coverage_rank").unionByName(late).groupBy("doc_id").agg(F.min("coverage_rank").alias("coverage_rank"))
 
 
 def fit(rows: DataFrame) -> list[float] | None:
@@ -206,7 +241,7 @@ def fit(rows: DataFrame) -> list[float] | None:
 def reading_levels(docs: DataFrame, labels: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, n_words, coverage_rank, log_sentence, word_length, grade) of English prose documents."""
     parts = cut(features(english_prose(docs)))
-    cover = coverage_ranks(parts, word_ranks(parts), share)
+    cover = coverage_ranks(parts, cut(word_ranks(parts)), share)
     measured = cut(parts.drop("words", "counts").join(cover, "doc_id", "left"))
     x = measured.withColumns({"x1": F.log1p("coverage_rank"), "x2": F.col("log_sentence"), "x3": F.col("word_length")})
     rated = labels.where("grade IS NOT NULL").groupBy("doc_id").agg(F.avg("grade").alias("grade"), F.count("*").cast("double").alias("weight"))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from lodestone.llm import reading_level as rl
 
@@ -32,7 +33,9 @@ def test_held_out_grades(spark):
     assert np.mean([(got[i] >= 3.5) == (grades[i] >= 4) for i in held]) > 0.9
 
 
-def test_coverage_rank_against_counting(spark):
+@pytest.mark.parametrize("head", [1 << 16, 3, 0])
+def test_coverage_rank_against_counting(spark, monkeypatch, head):
+    monkeypatch.setattr(rl, "HEAD_WORDS", head)
     pick = random.Random(7)
     vocabulary = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100)]
     weights = [1 / (i + 1) for i in range(100)]
