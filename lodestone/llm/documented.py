@@ -1,11 +1,13 @@
 """Functions paired with their documentation.
 
-A lexer turns every text into a few tokens: comment lines, annotations, function headers,
-literals at the start of a block, blank lines and runs of other code with their change of
-depth (braces, or indents in Python). The tokens are exploded into rows, and window SQL puts
-functions together: a running sum of changes gives the depth, gaps and islands join comment
-lines, lag and lead windows attach the comment before a header and the literal behind it.
-A function ends where the depth falls back to that of its header.
+A lexer turns every text into tokens with their offsets: comment lines, annotations, function
+headers, literals at the start of a block, blank lines, lines of code that change the depth
+(braces, or indents in Python) and runs of lines that don't. The tokens are exploded into rows,
+and window SQL puts functions together: a running sum of changes gives the depth, gaps and
+islands join comment lines, lag and lead windows attach the comment before a header and the
+literal behind it. Every token at which the depth falls stands for the levels it closes; the
+next one of a header's own level ends its function, whose code is cut out by offsets. A header
+that opens nothing is a function by itself.
 
 What is attached is then judged: text counts only if something is left beyond the function's
 name, labels, bare tags, notes of work to be done, references, notices on origin, licence or
@@ -25,8 +27,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.handwritten import MARKERS, STUB
+from lodestone.session import ship
 
-TOKENS = "unit_row bigint, id bigint, unit_name string, tokens array<struct<pos:int,kind:string,delta:int,name:string,text:string>>"
+TOKENS = "unit_row bigint, id bigint, unit_name string, tokens array<struct<pos:int,kind:string,delta:int,name:string,text:string,begin:int,end:int>>"
 
 COMMENT, NOTE, HEADER, LITERAL, BLANK, CODE = "c", "a", "h", "s", "b", "k"
 
@@ -42,6 +45,8 @@ FAMILY = {"python": "python", "rust": "rust", "go": "go", "javascript": "script"
 EXTENSION = {"py": "python", "pyi": "python", "rs": "rust", "go": "go", "js": "script", "jsx": "script", "mjs": "script", "ts": "script", "tsx": "script", "java": "java", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "c": "cpp", "h": "cpp", "hpp": "cpp"}
 STRINGS = re.compile(r'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|`[^`]*`')
 PY_LITERAL = re.compile(r"\s*[rRbBuUfF]{0,2}(\"\"\"|'''|\"|')")
+INDENT = re.compile(r"[ \t]*")
+LINE_END = re.compile(r"\r\n?|\n")
 MARKS = re.compile(r"^[ \t]*(?:/{2,}!?|/\*+!?|\*+/|\*+(?!\w)|#+!?)|\*+/[ \t]*$")
 
 
@@ -55,26 +60,36 @@ def lex(body: str, kind: str, unit_name: str | None) -> list[dict]:
     tokens: list[tuple] = []
     python = kind == "python"
     header = NAMED_HEADER[kind]
-    lines = body.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    n, i, run, fresh = len(lines), 0, 0, True
+    marks = [m.span() for m in LINE_END.finditer(body)]
+    starts = [0, *(e for _, e in marks)]
+    lines = [body[x:y] for x, y in zip(starts, [*(b for b, _ in marks), len(body)])]
+    n, i, fresh = len(lines), 0, True
+    starts.append(len(body))
     indents = [-1]
     in_code = False
 
-    def code(delta: int) -> None:
+    def add(kind_: str, first: int, last: int, delta: int = 0, name: str | None = None, text_: str | None = None) -> None:
+        """A token of the lines from ``first`` to before ``last``."""
         nonlocal in_code
-        if in_code:
-            tokens[-1] = (CODE, tokens[-1][1] + delta, None, None)
+        tokens.append((kind_, delta, name, text_, starts[first], starts[last] if last > first else starts[first]))
+        in_code = False
+
+    def code(delta: int, first: int, last: int) -> None:
+        nonlocal in_code
+        if in_code and not delta:
+            tokens[-1] = (*tokens[-1][:5], starts[last])
         else:
-            tokens.append((CODE, delta, None, None))
-        in_code = True
+            add(CODE, first, last, delta)
+            in_code = not delta
 
     while i < n:
         line = lines[i]
         text = line.lstrip()
+        here = i
         i += 1
         if not text:
             if not in_code:
-                tokens.append((BLANK, 0, None, None))
+                add(BLANK, here, i)
             continue
         mark = text[0]
         if mark == "/" and text[1:2] == "*" and not python:
@@ -83,18 +98,16 @@ def lex(body: str, kind: str, unit_name: str | None) -> list[dict]:
                 part.append(lines[i])
                 i += 1
             tail = part[-1].partition("*/")[2] if "*/" in part[-1] else ""
-            tokens += [(COMMENT, 0, None, x) for x in part]
-            in_code = False
+            for k, x in enumerate(part):
+                add(COMMENT, here + k, here + k + 1, text_=x)
             if tail.strip():
-                code(0)
+                code(0, i - 1, i)
             continue
         if (mark == "/" and text[1:2] == "/" and not python) or (mark == "#" and python):
-            tokens.append((COMMENT, 0, None, text))
-            in_code = False
+            add(COMMENT, here, i, text_=text)
             continue
         if (mark == "@" and not text.startswith("@interface")) or (mark == "#" and kind in ("rust", "cpp")) or text.startswith(("template<", "template <", "[[")):
-            tokens.append((NOTE, 0, None, None))
-            in_code = False
+            add(NOTE, here, i)
             continue
         if python:
             # change of indent before this line
@@ -104,27 +117,40 @@ def lex(body: str, kind: str, unit_name: str | None) -> list[dict]:
                 indents.pop()
                 delta -= 1
             if delta:
-                code(delta)
+                # comments and annotations that stand no deeper belong to what comes
+                k = len(tokens)
+                while k and tokens[k - 1][0] in (COMMENT, NOTE, BLANK) and (tokens[k - 1][0] == BLANK or INDENT.match(body, tokens[k - 1][4]).end() - tokens[k - 1][4] <= depth):
+                    k -= 1
+                at = tokens[k - 1][5] if k else 0
+                tokens.insert(k, (CODE, delta, None, None, at, at))
+                in_code = False
         found = None
         if fresh or mark in "adefpcgsuvlxotr~" or mark.isupper() or kind in ("script", "java", "cpp"):
             found = header.match(text)
         if found or fresh:
             name = next((g for g in found.groups() if g), None) if found else unit_name
-            head = text
+            head = [text]
             open_ = text.count("(") - text.count(")")
             while open_ > 0 and i < n:
-                head = lines[i]
-                open_ += head.count("(") - head.count(")")
+                head.append(lines[i])
+                open_ += head[-1].count("(") - head[-1].count(")")
                 i += 1
             if python:
                 indents.append(len(line) - len(text))
                 delta = 1
             else:
-                bare = STRINGS.sub("", text) + STRINGS.sub("", head if head is not text else "")
+                if "{" not in "".join(head) and not head[-1].rstrip().endswith((";", ",")):
+                    k = i  # the brace may stand on a line of its own
+                    while k < n and not lines[k].strip():
+                        k += 1
+                    if k < n and lines[k].lstrip().startswith("{"):
+                        head += lines[i : k + 1]
+                        i = k + 1
+                bare = "".join(STRINGS.sub("", x) for x in head)
                 delta = bare.count("{") - bare.count("}")
-            tokens.append((HEADER, delta, name, None))
-            in_code = fresh = False
-            if python and text.rstrip().endswith(":") or python and head.rstrip().endswith(":"):
+            add(HEADER, here, i, delta, name)
+            fresh = False
+            if python and head[-1].rstrip().endswith(":"):
                 j = i
                 while j < n and not lines[j].strip():
                     j += 1
@@ -139,29 +165,33 @@ def lex(body: str, kind: str, unit_name: str | None) -> list[dict]:
                         rest = lines[j]
                     part.append(rest.partition(quote)[0])
                     if not rest.partition(quote)[2].strip() or rest.partition(quote)[2].lstrip()[0] in "#;":
-                        tokens.append((LITERAL, 0, None, "\n".join(part)))
+                        add(LITERAL, i, j + 1, text_="\n".join(part))
                         i = j + 1
             continue
-        if python:
-            code(0)
-            continue
-        if "{" in text or "}" in text:
+        if not python and ("{" in text or "}" in text):
             bare = STRINGS.sub("", text) if '"' in text or "'" in text or "`" in text else text
-            code(bare.count("{") - bare.count("}"))
+            closing = len(bare) - len(bare.lstrip("}")) if bare[:1] == "}" else 0
+            rest = bare.count("{") - bare.count("}") + closing
+            if closing and rest > 0:  # as in "} else {": what it closes, then what it opens
+                code(-closing, here, i)
+                code(rest, here, i)
+            else:
+                code(rest - closing, here, i)
         else:
-            code(0)
-    return [{"pos": p, "kind": t[0], "delta": t[1], "name": t[2], "text": t[3]} for p, t in enumerate(tokens)]
+            code(0, here, i)
+    return [{"pos": p, "kind": t[0], "delta": t[1], "name": t[2], "text": t[3], "begin": t[4], "end": t[5]} for p, t in enumerate(tokens)]
 
 
 def lexed(units: DataFrame) -> DataFrame:
     """One row per unit with its tokens; see TOKENS."""
+    ship(units.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for body, language, path, name in zip(*(batch.column(c).to_pylist() for c in ("body", "language", "file_path", "name"))):
                 rows.append(lex(body, family(language, path, body), name))
-            kind = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("delta", pa.int32()), ("name", pa.string()), ("text", pa.string())]))
+            kind = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("delta", pa.int32()), ("name", pa.string()), ("text", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("unit_row"), batch.column("id"), batch.column("name"), pa.array(rows, kind)], names=["unit_row", "id", "unit_name", "tokens"])
 
     rows = units.where("body IS NOT NULL").select(F.monotonically_increasing_id().alias("unit_row"), F.col("id").cast("bigint"), "name", "language", "file_path", "body")
@@ -169,7 +199,7 @@ def lexed(units: DataFrame) -> DataFrame:
 
 
 def functions(units: DataFrame) -> DataFrame:
-    """(unit_row, id, pos, depth, last_pos, name, comment, literal): every function header in a text with what is attached.
+    """(unit_row, id, unit_name, number, name, comment, literal, begin, end): every function in a text, from 1, with what is attached and the offsets of its code.
 
     One shuffle, of the exploded tokens by text; every window runs on that partitioning.
     """
@@ -180,20 +210,27 @@ def functions(units: DataFrame) -> DataFrame:
     # comment lines whose places among the others differ by the same amount are one island
     islands = solid.withColumn("place", F.row_number().over(order)).withColumn("island", F.col("place") - F.row_number().over(Window.partitionBy("unit_row", "kind").orderBy("pos")))
     block = F.when(F.col("kind") == COMMENT, F.col("island")).otherwise(-F.col("place"))
+    first = lambda c: F.first(c).alias(c)
     joined = (
         islands.withColumn("block", block)
         .groupBy("unit_row", "block", "kind")
-        .agg(F.min("pos").alias("pos"), F.first("id").alias("id"), F.first("unit_name").alias("unit_name"), F.min("depth").alias("depth"), F.sum("delta").alias("delta"), F.first("name", True).alias("name"), F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: F.coalesce(x["text"], F.lit("")))).alias("text"))
+        .agg(F.min("pos").alias("pos"), first("id"), first("unit_name"), F.min("depth").alias("depth"), F.sum("delta").alias("delta"), F.first("name", True).alias("name"), F.min("begin").alias("begin"), F.max("end").alias("end"), F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: F.coalesce(x["text"], F.lit("")))).alias("text"))
     )
-    level = F.col("depth") + F.col("delta")
     around = joined.withColumns(
         {
-            "before": F.when(F.lag("kind").over(order) == COMMENT, F.lag("text").over(order)),
-            "behind": F.when(F.lead("kind").over(order) == LITERAL, F.lead("text").over(order)),
-            "level": level,
+            "comment": F.when(F.lag("kind").over(order) == COMMENT, F.lag("text").over(order)),
+            "literal": F.when(F.lead("kind").over(order) == LITERAL, F.lead("text").over(order)),
+            "last": F.max("end").over(Window.partitionBy("unit_row")),
         }
-    )
-    return around.where(F.col("kind") == HEADER).select("unit_row", "id", "unit_name", "pos", "depth", "name", F.col("before").alias("comment"), F.col("behind").alias("literal"))
+    ).drop("text")
+    # a header stands at its own level, a token at which the depth falls at every level that it closes
+    is_header = F.col("kind") == HEADER
+    levels = F.when(is_header, F.array("depth")).otherwise(F.sequence(F.col("depth") + F.col("delta"), F.col("depth") - 1))
+    placed = around.where(is_header | (F.col("delta") < 0)).withColumn("level", F.explode(levels))
+    behind = Window.partitionBy("unit_row", "level").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    closes = F.first(F.when(F.col("kind") == CODE, F.col("end")), True).over(behind)
+    ended = placed.withColumn("stop", F.when(F.col("delta") > 0, F.coalesce(closes, F.col("last"))).otherwise(F.col("end"))).where(is_header)
+    return ended.select("unit_row", "id", "unit_name", F.row_number().over(order).alias("number"), "name", "comment", "literal", "begin", F.col("stop").alias("end"))
 
 
 # --- what a text says -------------------------------------------------------------------------------------------
@@ -292,25 +329,31 @@ def says_something(text: str | None, name: str | None) -> bool:
 
 
 def documented(units: DataFrame) -> DataFrame:
-    """(id, name, source, description) of functions and methods with documentation that says something.
+    """(id, number, name, source, description, begin, end) of functions with documentation that says something.
 
-    The docstring field comes first, then the literal at the start of the body, then the comment before the header.
+    Number 1 is the unit itself, others are further functions in its body. Of a unit the docstring field comes first, then the literal at
+    the start of the body, then the comment before the header. ``begin`` and ``end`` are offsets in the body.
     """
     own = units.where(F.col("unit_type").isin("function", "method") & F.col("id").isNotNull())
-    first = functions(own).where(F.col("depth") <= 0).withColumn("at", F.row_number().over(Window.partitionBy("unit_row").orderBy("pos"))).where("at = 1")
-    texts = first.select("id", F.col("unit_name").alias("name"), F.lit(2).alias("source"), F.explode(F.array(F.struct(F.lit(2).alias("s"), F.col("literal").alias("t")), F.struct(F.lit(3).alias("s"), F.col("comment").alias("t")))).alias("x")).select("id", "name", F.col("x.s").alias("source"), F.col("x.t").alias("description"))
-    fields = own.select(F.col("id").cast("bigint"), "name", F.lit(1).alias("source"), F.col("docstring").alias("description"))
+    name = F.when(F.col("number") == 1, F.col("unit_name")).otherwise(F.col("name"))
+    source = lambda number, text: F.struct(F.lit(number).alias("s"), F.col(text).alias("t"))
+    texts = functions(own).select("id", "number", name.alias("name"), "begin", "end", F.explode(F.array(source(2, "literal"), source(3, "comment"))).alias("x")).select("id", "number", "name", F.col("x.s").alias("source"), F.col("x.t").alias("description"), "begin", "end")
+    fields = own.select(F.col("id").cast("bigint"), F.lit(1).alias("number"), "name", F.lit(1).alias("source"), F.col("docstring").alias("description"), F.lit(None).cast("int").alias("begin"), F.lit(None).cast("int").alias("end"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array([says_something(t, n) for t, n in zip(batch.column("description").to_pylist(), batch.column("name").to_pylist())], pa.bool_())
-            yield batch.filter(keep)
+            says = [says_something(t, n) for t, n in zip(batch.column("description").to_pylist(), batch.column("name").to_pylist())]
+            kept = [t if ok else None for t, ok in zip(batch.column("description").to_pylist(), says)]
+            yield batch.set_column(4, "description", pa.array(kept, pa.string()))
 
-    said = fields.unionByName(texts).where("description IS NOT NULL").mapInArrow(run, "id bigint, name string, source int, description string")
-    return said.groupBy("id").agg(F.min(F.struct("source", "description", "name")).alias("x")).select("id", "x.name", "x.source", "x.description")
+    wanted = fields.unionByName(texts).where("description IS NOT NULL OR number = 1 AND source = 2")  # the latter for its offsets
+    said = wanted.mapInArrow(run, "id bigint, number int, name string, source int, description string, begin int, end int")
+    best = F.min(F.when(F.col("description").isNotNull(), F.struct("source", "description", "name"))).alias("x")
+    return said.groupBy("id", "number").agg(best, F.max("begin").alias("begin"), F.max("end").alias("end")).where("x IS NOT NULL").select("id", "number", "x.name", "x.source", "x.description", "begin", "end")
 
 
 def documented_pairs(units: DataFrame) -> DataFrame:
-    """(id, name, full_signature, description, body): one pair of code and description per documented unit."""
+    """(id, number, name, full_signature, description, code): one pair of code and description for each documented function."""
     code = units.where("id IS NOT NULL").select(F.col("id").cast("bigint"), F.nullif("full_signature", F.lit("")).alias("full_signature"), "body").dropDuplicates(["id"])
-    return documented(units).join(code, "id").select("id", "name", "full_signature", "description", "body")
+    cut_out = F.rtrim(F.regexp_replace(F.substring("body", F.col("begin") + 1, F.col("end") - F.col("begin")), r"(\s*\n\s*(#[^\n]*)?)+$", ""))
+    return documented(units).join(code, "id").select("id", "number", "name", F.when(F.col("number") == 1, F.col("full_signature")).alias("full_signature"), "description", cut_out.alias("code"))
