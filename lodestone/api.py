@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import shutil
 import time
+import uuid
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -13,19 +16,26 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestone import config
 from lodestone.functions.text import embed_text, parse_file_line
-from lodestone.model import TABLES
+from lodestone.model import DEAD, GONE, OWNER, TABLES
 from lodestone.operators import changes, federated, fusion, graph, lexical, stats, vectors
 from lodestone.session import ship
 from lodestone.sources import parse, sinks, tree
 from lodestone.streaming import events, watch
 
 
+MOST_SEGMENTS = 16
+MOST_PATHS = 1000
+LOCK_WAIT_SECONDS = 60
+
+
 class CodeIndex:
-    """Tables of an index in versioned folders below ``root``; a commit switches all of them at once.
+    """An index as segments below ``root``; one file, ``metadata.json``, says which are live and is replaced as a whole.
 
-    ``root/v=<n>/<table>`` are Parquet, ``root/metadata.json`` names the live version. The
-    version before stays as the backup. Postings derive from units, so deleted units leave
-    no traces in the search.
+    A commit writes one segment ``root/seg=<n>-<id>`` with the rows of new and changed files and with
+    the ids (``dead``) and paths (``gone``) that it takes out of older segments, so that its cost
+    follows the changes, not the size of the index. Readers leave out what later segments took
+    out. More than ``MOST_SEGMENTS`` segments are put together into one. The state before stays as the
+    backup ``metadata.<n>.json``; segments of neither state are deleted.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -39,64 +49,134 @@ class CodeIndex:
         return f"{self.root}/metadata.json"
 
     def metadata(self) -> config.Metadata:
-        return config.Metadata.load(self.metadata_path)
-
-    def _live(self) -> int:
+        """The live state; one of another layout has no segments, so that the next run builds it anew."""
         try:
-            with open(f"{self.root}/CURRENT", encoding="ascii") as f:
-                return int(f.read())
-        except OSError:
-            return 0
+            return config.Metadata.load(self.metadata_path)
+        except (TypeError, ValueError):
+            return config.Metadata()
 
     def exists(self) -> bool:
-        return self._live() > 0
+        return bool(self.metadata().segments)
+
+    def _has(self, segment: str, name: str) -> bool:
+        return os.path.exists(f"{self.root}/{segment}/{name}/_SUCCESS")
+
+    def _parts(self, name: str, schema: str, segments: list[str]) -> DataFrame | None:
+        """Rows of a table in the given segments, with the number ``seg`` of theirs."""
+        rows = None
+        for number, segment in enumerate(segments):
+            if self._has(segment, name):
+                # with its schema, as a table without rows may have no files
+                part = self.spark.read.schema(schema).parquet(f"{self.root}/{segment}/{name}").withColumn("seg", F.lit(number))
+                rows = part if rows is None else rows.unionByName(part)
+        return rows
 
-    def table(self, name: str, version: int | None = None) -> DataFrame:
-        version = self._live() if version is None else version
-        if not version:
+    def table(self, name: str, segments: list[str] | None = None) -> DataFrame:
+        """Live rows of a table."""
+        segments = self.metadata().segments if segments is None else segments
+        if not segments:
             raise FileNotFoundError(f"no index below {self.root}")
-        return self._read(version, name)
-
-    def _read(self, version: int, name: str) -> DataFrame:
-        # with their schemas, as a table without rows may have no files
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/v={version}/{name}")
-
-    def _commit(self, units: DataFrame, files: DataFrame, records: DataFrame | None = None) -> None:
-        version = self._live() + 1
-        at = f"{self.root}/v={version}"
-        units.write.mode("overwrite").partitionBy("repo").parquet(f"{at}/units")
-        units = self._read(version, "units")
-        files.write.mode("overwrite").parquet(f"{at}/files")
-        graph.edges_of(units).write.mode("overwrite").parquet(f"{at}/edges")
-        lexical.write_postings(lexical.build_postings(units), f"{at}/postings")
-        lexical.field_stats(units).coalesce(1).write.mode("overwrite").parquet(f"{at}/field_stats")
-        if records is not None:
-            records.write.mode("overwrite").option("compression", "zstd").parquet(f"{at}/vectors")
-        elif version > 1 and os.path.exists(f"{self.root}/v={version - 1}/vectors"):
-            live = self.table("vectors").join(units.select(F.col("id").alias("unit_id")), "unit_id", "left_semi")
-            live.write.mode("overwrite").option("compression", "zstd").parquet(f"{at}/vectors")
-        totals = stats.metadata_totals(units, self._read(version, "files")).first()
+        rows = self._parts(name, TABLES[name], segments)
+        if rows is None:
+            return self.spark.createDataFrame([], TABLES[name])
+        if name == "totals" or len(segments) == 1:
+            return rows.drop("seg")
+        if name == "files":
+            dead, keys = self._parts("gone", GONE, segments), ["repo", "file_path"]
+            out = dead.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max("seg").alias("__until"))
+        else:
+            dead, keys = self._parts("dead", DEAD, segments), [OWNER[name]]
+            out = dead.groupBy(F.col("id").alias(f"__{keys[0]}")).agg(F.max("seg").alias("__until"))
+        on = F.col("seg") < F.col("__until")
+        for k in keys:
+            on = on & (F.col(k) == F.col(f"__{k}"))
+        return rows.join(out, on, "left_anti").drop("seg")
+
+    @staticmethod
+    def _checked(units: DataFrame) -> DataFrame:
+        return units.select("repo", "id", "file_path", "name", "body", "line_start", "line_end")
+
+    def _sums(self, units: DataFrame) -> tuple[int, int, int]:
+        row = changes.hash_sums(self._checked(units)).first()
+        return row["n_rows"], int(row["sum_a"]), int(row["sum_b"])
+
+    def _commit(self, units: DataFrame, files: DataFrame, gone: DataFrame, dead: DataFrame, records: DataFrame | None = None, whole: bool = False) -> None:
+        """Makes a segment of new rows live, without the units ``dead`` (rows of the live table) and the files ``gone``. ``whole`` starts anew."""
         meta = self.metadata()
         meta.migrate()
+        segment = f"seg={meta.commit + 1}-{uuid.uuid4().hex[:8]}"
+        at = f"{self.root}/{segment}"
+        units.sortWithinPartitions("file_path").write.partitionBy("repo").parquet(f"{at}/units")
+        new = self.spark.read.schema(TABLES["units"]).parquet(f"{at}/units")
+        files.write.parquet(f"{at}/files")
+        graph.edges_of(new).write.parquet(f"{at}/edges")
+        lexical.write_postings(lexical.build_postings(new), f"{at}/postings")
+        lost = None if whole else dead
+        if lost is not None:
+            lost.select("id").write.parquet(f"{at}/dead")
+        else:
+            self.spark.createDataFrame([], DEAD).write.parquet(f"{at}/dead")
+        gone.select("repo", "file_path").write.parquet(f"{at}/gone")
+        totals = lexical.field_totals(new)
+        if lost is not None:
+            totals = totals.unionByName(lexical.field_totals(lost).select("field", (-F.col("n_units")).alias("n_units"), (-F.col("n_terms")).alias("n_terms")))
+        totals.coalesce(1).write.parquet(f"{at}/totals")
+        if records is not None:
+            records.select("unit_id", "dim", "v_min", "v_max", "data").write.option("compression", "zstd").parquet(f"{at}/vectors")
+        added, taken = self._sums(new), (0, 0, 0) if lost is None else self._sums(lost)
+        before = (0, 0, 0) if whole else (meta.num_units, *meta.sums)
+        meta.num_units, *meta.sums = (b + a - t for b, a, t in zip(before, added, taken))
+        segments = [segment] if whole else [*meta.segments, segment]
+        meta.num_files = self.table("files", segments).count()
+        meta.checksum = self._checksum(meta.num_units, *meta.sums)
         now = int(time.time())
         meta.created_at, meta.last_updated = meta.created_at or now, now
-        meta.num_units, meta.num_files = totals["num_units"] or 0, totals["num_files"] or 0
-        meta.checksum = self.checksum(version)
-        config.write_whole(f"{self.root}/CURRENT", str(version))
+        backup = f"{self.root}/metadata.{meta.commit}.json"
+        if meta.commit:
+            config.Metadata.load(self.metadata_path).save(backup)
+        meta.commit, meta.segments = meta.commit + 1, segments
         meta.save(self.metadata_path)
-
-    def checksum(self, version: int | None = None) -> str:
-        units = self.table("units", version)
-        flat = units.select("repo", "id", "file_path", "name", "body", "line_start", "line_end")
-        return changes.table_checksum(flat).first()["checksum"]
-
-    def validate(self) -> None:
-        """A state that doesn't match its checksum is put back to the version before, and an error raised."""
-        if self.exists() and self.metadata().checksum != self.checksum():
-            live = self._live()
-            if live > 1:
-                config.write_whole(f"{self.root}/CURRENT", str(live - 1))
-            raise RuntimeError("the index does not match its checksum" + ("; the version before it was restored" if live > 1 else ""))
+        self._sweep()
+        if len(segments) > MOST_SEGMENTS:
+            self._merge()
+
+    @staticmethod
+    def _checksum(n: int, a: int, b: int) -> str:
+        return hashlib.sha256(f"{n}|{a}|{b}".encode()).hexdigest()
+
+    def _backup(self) -> config.Metadata | None:
+        path = f"{self.root}/metadata.{self.metadata().commit - 1}.json"
+        return config.Metadata.load(path) if os.path.exists(path) else None
+
+    def _sweep(self) -> None:
+        """Deletes what neither the live state nor the one before needs."""
+        backup = self._backup()
+        kept = set(self.metadata().segments) | set(backup.segments if backup else [])
+        for name in os.listdir(self.root):
+            if name.startswith("seg=") and name not in kept:
+                shutil.rmtree(f"{self.root}/{name}", ignore_errors=True)
+            elif name.startswith("metadata.") and name not in ("metadata.json", f"metadata.{self.metadata().commit - 1}.json"):
+                os.unlink(f"{self.root}/{name}")
+
+    def _merge(self) -> None:
+        """Puts all segments together into one."""
+        records = self.table("vectors")
+        none = self.spark.createDataFrame([], GONE)
+        self._commit(self.table("units"), self.table("files"), none, none, None if records.isEmpty() else records, whole=True)
+
+    def validate(self, whole: bool = False) -> None:
+        """A state that lacks a segment or, looked at as a ``whole``, doesn't match its checksum is put back to the one before, and an error raised."""
+        meta = self.metadata()
+        if not meta.segments:
+            return
+        sound = meta.checksum == self._checksum(meta.num_units, *meta.sums) and all(self._has(s, t) for s in meta.segments for t in ("units", "files", "edges", "postings", "totals", "dead", "gone"))
+        if sound and whole:
+            sound = meta.checksum == self._checksum(*self._sums(self.table("units")))
+        if not sound:
+            backup = self._backup()
+            if backup:
+                backup.save(self.metadata_path)
+            raise RuntimeError("the index does not match its checksum" + ("; the state before it was restored" if backup else ""))
 
     # --- building -----------------------------------------------------------------------------------------------
 
@@ -112,7 +192,14 @@ class CodeIndex:
         with config.Lock(f"{self.root}/lock"):
             return self._update(tree.read_paths(self.spark, path, repo, list(paths)), repo, now, list(paths))
 
-    def _update(self, listing: DataFrame, repo: str, now: int | None, paths: list[str] | None = None) -> dict[str, int]:
+    def _of_files(self, rows: DataFrame, files: DataFrame) -> DataFrame:
+        """Rows of some files. Few paths reach the scan as a filter, which prunes by the order of paths."""
+        few = files.select("repo", "file_path").distinct().limit(MOST_PATHS + 1).collect()
+        if len(few) <= MOST_PATHS:
+            rows = rows.where(F.col("repo").isin(sorted({r["repo"] for r in few})) & F.col("file_path").isin(sorted({r["file_path"] for r in few})))
+        return rows.join(files.select("repo", "file_path").distinct(), ["repo", "file_path"], "left_semi")
+
+    def _update(self, listing: DataFrame, repo: str, now: int | None, paths: list[str] | None = None, anew: bool = False) -> dict[str, int]:
         now = int(time.time()) if now is None else now
         listing = listing.cache()
         try:
@@ -121,28 +208,30 @@ class CodeIndex:
             own = files.where(F.col("repo") == repo)
             if paths is not None:
                 own = own.where(F.col("file_path").isin(paths))
-            classed = changes.classify(listing, own.where(~F.col("needs_reindex"))).cache()
+            known = own.where("false") if anew else own.where(~F.col("needs_reindex"))
+            classed = changes.classify(listing, known).cache()
             counts = {r["change"]: r["count"] for r in classed.groupBy("change").count().collect()}
             fresh = classed.where(F.col("change").isin("new", "changed")).select("repo", "file_path")
-            if has and not (counts.get("new") or counts.get("changed") or counts.get("deleted")):
+            if has and not anew and not (counts.get("new") or counts.get("changed") or counts.get("deleted")):
                 return {"indexed": 0, "skipped": counts.get("same", 0), "removed": 0, "new_units": 0}
-            units = parse.parse_units(listing.join(fresh, ["repo", "file_path"], "left_semi"))
-            leaving = classed.where("change <> 'same'").select("repo", "file_path")
-            state = listing.join(fresh, ["repo", "file_path"], "left_semi").select("repo", "file_path", "file_hash", F.lit(now).cast("bigint").alias("last_indexed"), F.lit(False).alias("needs_reindex"))
-            all_units = changes.replace_files(self.table("units").select(*units.columns), units, leaving) if has else units
-            self._commit(all_units, changes.replace_files(files, state, leaving))
-            new_units = self.table("units").join(fresh, ["repo", "file_path"], "left_semi").count()
+            new_files = listing.join(fresh, ["repo", "file_path"], "left_semi")
+            units = parse.parse_units(new_files)
+            leaving = own.select("repo", "file_path") if anew else classed.where("change <> 'same'").select("repo", "file_path")
+            state = new_files.select("repo", "file_path", "file_hash", F.lit(now).cast("bigint").alias("last_indexed"), F.lit(False).alias("needs_reindex"))
+            before = self.metadata().num_units
+            dead = self._of_files(self.table("units"), leaving).cache() if has else units.where("false")
+            lost = dead.count() if has else 0
+            self._commit(units, state, leaving, dead)
+            new_units = self.metadata().num_units - before + lost
             return {"indexed": counts.get("new", 0) + counts.get("changed", 0), "skipped": counts.get("same", 0), "removed": counts.get("deleted", 0), "new_units": new_units}
         finally:
             listing.unpersist()
 
     def rebuild(self, path: str, repo: str | None = None) -> dict[str, int]:
-        """Forgets what is known of the tree and takes it in again."""
+        """Forgets what is known of the tree and takes it in again, in one commit."""
         repo = repo or os.path.basename(os.path.abspath(path))
-        if self.exists():
-            with config.Lock(f"{self.root}/lock"):
-                self._commit(self.table("units").where(F.col("repo") != repo), self.table("files").where(F.col("repo") != repo))
-        return self.index(path, repo)
+        with config.Lock(f"{self.root}/lock"):
+            return self._update(tree.read_tree(self.spark, path, repo), repo, None, anew=True)
 
     def cleanup(self, path: str, repo: str) -> dict[str, int]:
         """Drops files that are no longer in the tree, with their units."""
@@ -150,15 +239,20 @@ class CodeIndex:
             listing = tree.read_tree(self.spark, path, repo).select("repo", "file_path")
             files = self.table("files")
             gone = changes.missing_files(files.where(F.col("repo") == repo), listing).select("repo", "file_path").cache()
-            n_files, n_units = gone.count(), self.table("units").join(gone, ["repo", "file_path"], "left_semi").count()
+            dead = self._of_files(self.table("units"), gone).cache()
+            n_files, n_units = gone.count(), dead.count()
             if n_files:
-                self._commit(self.table("units").join(gone, ["repo", "file_path"], "left_anti"), files.join(gone, ["repo", "file_path"], "left_anti"))
+                self._commit(dead.where("false"), files.where("false"), gone, dead)
             return {"removed_files": n_files, "removed_units": n_units}
 
     def optimize(self) -> None:
-        """Rewrites the tables compactly."""
+        """Puts all segments together into one, without what is dead."""
         with config.Lock(f"{self.root}/lock"):
-            self._commit(self.table("units"), self.table("files"))
+            self._merge()
+
+    def pending(self) -> DataFrame:
+        """Units without a vector, by id."""
+        return self.table("units").where(~F.col("has_embedding")).orderBy("id")
 
     def embed(self, model: Callable[[Sequence[str]], Sequence[Sequence[float]]], name: str) -> int:
         """Makes vectors for units without one by a user's function over batches of texts. Returns their number."""
@@ -167,15 +261,30 @@ class CodeIndex:
             return pd.Series([[float(x) for x in v] for v in model(list(texts))])
 
         with config.Lock(f"{self.root}/lock"):
-            units = self.table("units")
-            pending = units.where(~F.col("has_embedding"))
-            new = vectors.to_records(pending.select(F.col("id").alias("unit_id"), run(embed_text(F.col("name"), F.col("body"))).alias("vector"))).cache()
-            n = new.count()
-            old = self.table("vectors") if os.path.exists(f"{self.root}/v={self._live()}/vectors") else new.limit(0)
-            marked = units.withColumn("embedding_model", F.when(F.col("has_embedding"), F.col("embedding_model")).otherwise(name)).withColumn("has_embedding", F.lit(True))
-            self._commit(marked, self.table("files"), vectors.upsert(old, new))
+            pending = self.pending().cache()
+            n = pending.count()
+            if n:
+                new = vectors.to_records(pending.select(F.col("id").alias("unit_id"), run(embed_text(F.col("name"), F.col("body"))).alias("vector")))
+                marked = pending.withColumn("embedding_model", F.lit(name)).withColumn("has_embedding", F.lit(True))
+                none = self.spark.createDataFrame([], TABLES["files"])
+                self._commit(marked, none, none, pending, new)
             return n
 
+    # --- look-ups -----------------------------------------------------------------------------------------------
+
+    def unit(self, unit_id: int) -> DataFrame:
+        return self.table("units").where(F.col("id") == unit_id)
+
+    def units_of_file(self, repo: str, file_path: str) -> DataFrame:
+        return self.table("units").where((F.col("repo") == repo) & (F.col("file_path") == file_path)).orderBy("line_start", "id")
+
+    def with_bodies(self, results: DataFrame) -> DataFrame:
+        """Results with the bodies of their units; null for units that are gone."""
+        return federated.with_bodies(results, self.table("units"))
+
+    def field_stats(self) -> DataFrame:
+        return lexical.stats_of_totals(self.table("totals"))
+
     # --- searching ----------------------------------------------------------------------------------------------
 
     def search(self, query: str, limit: int = 10, only: lexical.SearchFilter | None = None, embed: Callable[[str], list[float]] | None = None, semantic: bool = False, path: str | None = None, auto_index: bool = False) -> DataFrame:
@@ -188,13 +297,13 @@ class CodeIndex:
                 raise ValueError("semantic search needs an embedding function")
             return fusion.semantic_only(units, self.table("vectors"), [float(x) for x in embed(query)], limit, only)
         records = self.table("vectors") if embed is not None else None
-        rows = fusion.hybrid(units, self.table("postings"), self.table("field_stats"), query, limit, only, records, embed)
+        rows = fusion.hybrid(units, self.table("postings"), self.field_stats(), query, limit, only, records, embed)
         if only is not None and only.modified_since is not None:
             rows = lexical.modified_since(rows, self.table("files"), only.modified_since)
         return rows
 
     def search_repos(self, query: str, repos: DataFrame, limit: int = 10, only: lexical.SearchFilter | None = None) -> DataFrame:
-        return federated.search_repos(self.table("units"), self.table("postings"), self.table("field_stats"), repos, query, limit, only)
+        return federated.search_repos(self.table("units"), self.table("postings"), self.field_stats(), repos, query, limit, only)
 
     def find_similar(self, repo: str, place: str, limit: int = 10) -> DataFrame:
         path, line = parse_file_line(place)
@@ -210,9 +319,9 @@ class CodeIndex:
         return stats.summary(self.table("units"), self.table("edges"), self.table("files"))
 
     def sizes(self) -> dict[str, int]:
-        """Bytes of each table of the live version."""
-        at = f"{self.root}/v={self._live()}"
-        return {t: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(f"{at}/{t}") for f in names) for t in TABLES if os.path.exists(f"{at}/{t}")}
+        """Bytes of each table of the live segments."""
+        at = [f"{self.root}/{s}" for s in self.metadata().segments]
+        return {t: sum(os.path.getsize(os.path.join(d, f)) for a in at for d, _, names in os.walk(f"{a}/{t}") for f in names) for t in TABLES if any(os.path.exists(f"{a}/{t}") for a in at)}
 
     def show(self, results: DataFrame, kind: str = "plain") -> list[str]:
         """Lines of a result for a terminal; a result is as small as its limit."""
@@ -224,23 +333,30 @@ class CodeIndex:
         """A streaming query that follows the tree's changes.
 
         A batch that asks for a full scan, as the first one and any after a change of git's
-        index, takes in the tree; others take in their paths. A batch that meets a lock is
-        not lost: the next change or full scan sees the same hashes.
+        index, takes in the tree, as does one with more than MOST_PATHS paths; others take in their
+        paths. A batch that meets a lock waits for it up to LOCK_WAIT_SECONDS; that and any other
+        failure ends the query, whose checkpoint then still has the batch to be done.
         """
         self.spark.dataSource.register(events.TreeEvents)
         changes_ = self.spark.readStream.format("tree_events").load(path)
 
         def apply(batch: DataFrame, _: int) -> None:
-            found = watch.coalesced(batch.withColumn("all", F.lit(1)), ["all"], "file_path", F.col("check_all")).first()
-            if found is None:
-                return
-            try:
-                if found["check_all"]:
-                    self.index(path, repo)
-                else:
-                    self.update_paths(path, repo, found["paths"])
-            except RuntimeError:
+            found = batch.select("check_all", F.when(~F.col("check_all"), F.col("file_path")).alias("file_path")).distinct().limit(MOST_PATHS + 1).collect()
+            paths = sorted({r["file_path"] for r in found if r["file_path"] is not None})
+            if not found:
                 return
+            end = time.time() + LOCK_WAIT_SECONDS
+            while True:
+                try:
+                    if len(found) > MOST_PATHS or any(r["check_all"] for r in found):
+                        self.index(path, repo)
+                    else:
+                        self.update_paths(path, repo, paths)
+                    return
+                except config.Locked:
+                    if time.time() > end:
+                        raise
+                    time.sleep(0.5)
 
         writer = changes_.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()

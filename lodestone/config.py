@@ -5,8 +5,10 @@ from __future__ import annotations
 import dataclasses
 import json
 import os
+import socket
 import tomllib
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 from lodestone.functions.text import parse_bool
 
@@ -150,12 +152,17 @@ class Registry:
 
 @dataclass
 class Metadata:
+    """All that makes a state of an index live, in one file: the segments it consists of and what they add up to."""
+
     version: int = VERSION
     created_at: int = 0
     last_updated: int = 0
     checksum: str = ""
     num_files: int = 0
     num_units: int = 0
+    commit: int = 0
+    segments: list[str] = field(default_factory=list)
+    sums: list[int] = field(default_factory=lambda: [0, 0])
 
     @classmethod
     def load(cls, path: str) -> Metadata:
@@ -177,33 +184,72 @@ class Metadata:
         return changed
 
 
-class Lock:
-    """Exclusive use of an index; fails at once if another holds it. The file names its holder."""
+class Locked(RuntimeError):
+    """Another process works on the index."""
 
-    def __init__(self, path: str) -> None:
-        self.path = path
 
-    def __enter__(self) -> Lock:
-        os.makedirs(os.path.dirname(self.path) or ".", exist_ok=True)
+class Lock:
+    """Use of an index, by one process that changes it or by any number of ``shared`` ones that must not see it change.
+
+    Fails at once if another holder is in the way. Each holder has a file that names its host and
+    process. What a dead process of this host left behind is removed; a holder on another host
+    counts as alive, as nothing can be known of it from here: remove its file by hand.
+    """
+
+    def __init__(self, path: str, shared: bool = False) -> None:
+        self.path, self.shared = path, shared
+        self.own = f"{path}.shared.{uuid.uuid4().hex}" if shared else path
+
+    def _create(self, path: str) -> bool:
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        draft = f"{path}.{uuid.uuid4().hex}.tmp"
+        with open(draft, "w", encoding="utf-8") as f:
+            f.write(f"{socket.gethostname()} {os.getpid()}")
         try:
-            handle = os.open(self.path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+            os.link(draft, path)  # whole, and only if there is none
+            return True
         except FileExistsError:
-            if self._holder_lives():
-                raise RuntimeError(f"{self.path}: another process works on this index") from None
-            os.unlink(self.path)
-            handle = os.open(self.path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-        os.write(handle, str(os.getpid()).encode())
-        os.close(handle)
-        return self
+            return False
+        finally:
+            os.unlink(draft)
 
-    def _holder_lives(self) -> bool:
+    def _lives(self, path: str) -> bool:
+        """Whether a holder is there; the file of one that is surely dead goes."""
         try:
-            with open(self.path) as f:
-                pid = int(f.read() or 0)
-            os.kill(pid, 0)
+            with open(path, encoding="utf-8") as f:
+                host, _, pid = f.read().partition(" ")
+            if host != socket.gethostname():
+                return True
+            os.kill(int(pid), 0)
+            return True
+        except FileNotFoundError:
+            return False
+        except PermissionError:
             return True
         except (OSError, ValueError):
+            try:
+                os.unlink(path)
+            except FileNotFoundError:
+                pass
             return False
 
+    def _readers(self) -> list[str]:
+        folder, name = os.path.split(self.path)
+        return [os.path.join(folder, f) for f in os.listdir(folder or ".") if f.startswith(f"{name}.shared.") and not f.endswith(".tmp")]
+
+    def __enter__(self) -> Lock:
+        if self.shared:
+            self._create(self.own)
+            if self._lives(self.path):
+                os.unlink(self.own)
+                raise Locked(f"{self.path}: another process changes this index")
+            return self
+        if not self._create(self.path) and (self._lives(self.path) or not self._create(self.path)):
+            raise Locked(f"{self.path}: another process works on this index")
+        if any(self._lives(r) for r in self._readers()):
+            os.unlink(self.path)
+            raise Locked(f"{self.path}: another process reads this index")
+        return self
+
     def __exit__(self, *_: object) -> None:
-        os.unlink(self.path)
+        os.unlink(self.own)

@@ -10,6 +10,13 @@ EDGES = "caller_id bigint, callee_name string, line_number int"
 FILES = "repo string, file_path string, file_hash string, last_indexed bigint, needs_reindex boolean"
 VECTORS = "unit_id bigint, dim int, v_min float, v_max float, data array<smallint>"
 POSTINGS = "term string, field string, id bigint, positions array<int>, field_length int"
-FIELD_STATS = "field string, n_units bigint, mean_length double"
+TOTALS = "field string, n_units bigint, n_terms bigint"
 
-TABLES = {"units": UNITS, "edges": EDGES, "files": FILES, "vectors": VECTORS, "postings": POSTINGS, "field_stats": FIELD_STATS}
+TABLES = {"units": UNITS, "edges": EDGES, "files": FILES, "vectors": VECTORS, "postings": POSTINGS, "totals": TOTALS}
+
+# What a segment takes out of those before it.
+GONE = "repo string, file_path string"
+DEAD = "id bigint"
+
+#: The column of each table by which rows of older segments are dead.
+OWNER = {"units": "id", "edges": "caller_id", "vectors": "unit_id", "postings": "id"}

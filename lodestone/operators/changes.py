@@ -52,10 +52,19 @@ def unit_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("change", change).where("change IS NOT NULL").select(*keys, "change")
 
 
+def hash_sums(table: DataFrame) -> DataFrame:
+    """(n_rows, sum_a, sum_b): sums of two hashes of each row, as text. They add up over parts of a table, in any order."""
+    names = [F.col(c) for c in table.columns]
+    total = lambda h: F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string")  # noqa: E731  no sum overflows
+    return table.agg(F.count("*").alias("n_rows"), total(F.xxhash64(*names)).alias("sum_a"), total(F.xxhash64(F.lit(1), *names)).alias("sum_b"))
+
+
 def table_checksum(table: DataFrame) -> DataFrame:
-    """(n_rows, checksum): content hash that no order of rows changes, made of sums of row hashes."""
-    row = F.xxhash64(*[F.col(c) for c in table.columns])
-    other = F.xxhash64(F.lit(1), *[F.col(c) for c in table.columns])
-    # halves as decimals, so that no sum overflows
-    total = [F.sum(h.cast("decimal(38,0)")).cast("string") for h in (row, other)]
-    return table.agg(F.count("*").alias("n_rows"), F.sha2(F.concat_ws("|", F.count("*").cast("string"), *total), 256).alias("checksum"))
+    """(n_rows, checksum): content hash that no order of rows changes."""
+    return hash_sums(table).select("n_rows", F.sha2(F.concat_ws("|", F.col("n_rows").cast("string"), "sum_a", "sum_b"), 256).alias("checksum"))
+
+
+def row_digest(table: DataFrame, columns: list[str]) -> DataFrame:
+    """(n_rows, digest): the same for comparison between engines: the sum of the first 15 hex digits of each row's MD5."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    return table.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))

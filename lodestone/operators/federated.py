@@ -66,6 +66,12 @@ def find_similar(units: DataFrame, records: DataFrame, repo: str, file_path: str
     return kept.select("repo", "id", F.round("similarity", 6).alias("similarity"), "name", "file_path")
 
 
+def with_bodies(results: DataFrame, units: DataFrame) -> DataFrame:
+    """Results (few, by their limit) with the body of each unit; null where the unit is gone."""
+    wanted = F.broadcast(results) if "rank" in results.columns else results
+    return wanted.join(units.select("id", "body"), "id", "left") if "body" not in results.columns else results
+
+
 def cached_vectors(units: DataFrame, files: DataFrame, records: DataFrame, hashes: DataFrame) -> DataFrame:
     """(file_hash, unit_id): vectors that exist for contents with the wanted hashes in any repository."""
     has = units.join(files.select("repo", "file_path", "file_hash"), ["repo", "file_path"]).join(hashes.select("file_hash").distinct(), "file_hash")

@@ -186,6 +186,16 @@ def field_stats(units: DataFrame) -> DataFrame:
     return field_terms(units).groupBy("field").agg(F.count("*").alias("n_units"), F.avg(F.size("terms")).alias("mean_length"))
 
 
+def field_totals(units: DataFrame) -> DataFrame:
+    """(field, n_units, n_terms): totals that add up over parts of the units."""
+    return field_terms(units).groupBy("field").agg(F.count("*").alias("n_units"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).cast("bigint").alias("n_terms"))
+
+
+def stats_of_totals(totals: DataFrame) -> DataFrame:
+    """Field statistics from totals of all parts."""
+    return totals.groupBy("field").agg(F.sum("n_units").alias("n_units"), (F.sum("n_terms") / F.sum("n_units")).alias("mean_length")).where("n_units > 0")
+
+
 def write_postings(postings: DataFrame, path: str, partitions: int | None = None) -> None:
     """Postings sorted by term, so that a query's terms prune row groups by their statistics."""
     by_term = postings.repartitionByRange(partitions, "term") if partitions else postings.repartitionByRange("term")

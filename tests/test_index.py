@@ -3,6 +3,8 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from lodestone import config
 from lodestone.api import CodeIndex
 from lodestone.operators import changes
@@ -146,7 +148,66 @@ def test_a_broken_state_is_put_back(spark, tmp_path):
     meta.save(index.metadata_path)
     with pytest.raises(RuntimeError, match="restored"):
         index.validate()
-    assert index._live() == 1
+    assert index.metadata().commit == 1 and index.table("units").count() == 1
+    plant(tmp_path / "repo", {"b.py": "def b():\n    return 1\n"})
+    index.index(str(tmp_path / "repo"), "repo")
+    index.validate(whole=True)
+    other = index.table("units").withColumn("body", F.lit("x")).cache()
+    other.count()
+    at = f"{index.root}/{index.metadata().segments[-1]}/units"
+    other.write.mode("overwrite").partitionBy("repo").parquet(at)
+    index.validate()
+    with pytest.raises(RuntimeError, match="restored"):
+        index.validate(whole=True)
+
+
+def test_a_commit_writes_what_changed(spark, tmp_path, monkeypatch):
+    """Segments hold changed files only; postings, totals and checksum stay those of an index built at once."""
+    from lodestone import api
+
+    plant(tmp_path / "repo", FILES)
+    index = CodeIndex(spark, str(tmp_path / "index"))
+    index.index(str(tmp_path / "repo"), "repo")
+    plant(tmp_path / "repo", {"pkg/__init__.py": "def seen_name():\n    return hidden_name()\n"})
+    assert index.index(str(tmp_path / "repo"), "repo")["new_units"] == 1
+    segments = index.metadata().segments
+    assert len(segments) == 2 and spark.read.parquet(f"{index.root}/{segments[1]}/units").count() == 1
+    os.remove(tmp_path / "repo" / "frontend/api.ts")
+    index.index(str(tmp_path / "repo"), "repo")
+    once = CodeIndex(spark, str(tmp_path / "once"))
+    once.index(str(tmp_path / "repo"), "repo")
+    for name in ("units", "edges", "postings"):
+        assert sorted(map(str, index.table(name).collect())) == sorted(map(str, once.table(name).collect())), name
+    same = lambda i: sorted((r["field"], r["n_units"], round(r["mean_length"], 9)) for r in i.field_stats().collect())
+    assert same(index) == same(once) and index.metadata().checksum == once.metadata().checksum and index.metadata().num_files == 3
+    assert index.search("hidden_name").count() == once.search("hidden_name").count() == 1
+    assert [r["name"] for r in index.units_of_file("repo", "pkg/__init__.py").collect()] == ["seen_name"]
+    first = index.pending().first()
+    assert index.unit(first["id"]).first()["name"] == first["name"] and first["id"] == min(r["id"] for r in index.table("units").collect())
+    assert index.with_bodies(index.search("seen_name")).first()["body"].startswith("def seen_name")
+    monkeypatch.setattr(api, "MOST_SEGMENTS", 2)
+    plant(tmp_path / "repo", {"n.py": "def n():\n    pass\n"})
+    index.index(str(tmp_path / "repo"), "repo")
+    assert len(index.metadata().segments) == 1 and index.table("units").count() == index.metadata().num_units
+    # segments that neither the live nor the state before needs are gone
+    assert sum(n.startswith("seg=") for n in os.listdir(index.root)) == 5
+
+
+def test_a_run_that_breaks_off_leaves_the_state(spark, tmp_path, monkeypatch):
+    plant(tmp_path / "repo", {"a.py": "def a():\n    return 1\n"})
+    index = CodeIndex(spark, str(tmp_path / "index"))
+    index.index(str(tmp_path / "repo"), "repo")
+    plant(tmp_path / "repo", {"a.py": "def b():\n    return 1\n"})
+    with monkeypatch.context() as m:
+        m.setattr(config.Metadata, "save", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            index.index(str(tmp_path / "repo"), "repo")
+    assert [r["name"] for r in index.table("units").collect()] == ["a"]
+    assert index.index(str(tmp_path / "repo"), "repo")["indexed"] == 1
+    assert [r["name"] for r in index.table("units").collect()] == ["b"]
+    # a layout that is not known is built anew
+    (tmp_path / "index" / "metadata.json").write_text('{"other": 1}')
+    assert not index.exists() and index.index(str(tmp_path / "repo"), "repo")["indexed"] == 1
 
 
 def test_watching_takes_in_changes(spark, tmp_path):
@@ -282,3 +343,15 @@ def test_config_registry_metadata_and_lock(tmp_path):
         pass
     with config.Lock(str(tmp_path / "lock")):
         pass
+    with config.Lock(str(tmp_path / "lock"), shared=True), config.Lock(str(tmp_path / "lock"), shared=True), pytest.raises(config.Locked), config.Lock(str(tmp_path / "lock")):
+        pass
+    with config.Lock(str(tmp_path / "lock")), pytest.raises(config.Locked), config.Lock(str(tmp_path / "lock"), shared=True):
+        pass
+    import socket
+
+    (tmp_path / "lock").write_text(f"{socket.gethostname()} 999999999")
+    with config.Lock(str(tmp_path / "lock")):  # of a dead process of this host
+        pass
+    (tmp_path / "lock").write_text("another-host 1")
+    with pytest.raises(config.Locked), config.Lock(str(tmp_path / "lock")):
+        pass
