@@ -64,8 +64,8 @@ def snippet(signature: Column, docstring: Column, name: Column) -> Column:
 
 
 def body_fingerprint(name: Column, body: Column) -> Column:
-    """Name and first 80 characters of the body."""
-    return F.concat(name, F.lit("\0"), F.substring(F.coalesce(body, F.lit("")), 1, 80))
+    """Name and first 80 bytes of the body, as bytes; a character that they cut counts by its first bytes."""
+    return F.concat(F.encode(name, "UTF-8"), F.lit(b"\0"), F.substring(F.encode(F.coalesce(body, F.lit("")), "UTF-8"), 1, 80))
 
 
 def content_hash(text: Column) -> Column:

@@ -36,11 +36,12 @@ def search_repos(units: DataFrame, postings: DataFrame, stats: DataFrame, repos:
     only = only or lexical.SearchFilter()
     parsed = lexical.parse_query(query)
     found = lexical.scores(postings, stats, parsed)
-    shown = units.select("repo", "id", "name", "unit_type", "language", "file_path", "line_start", "line_end")
-    rows = found.join(shown, "id").join(F.broadcast(repos.select(F.col("name").alias("repo"), "ordinal")), "repo")
+    shown = units.select("id", "name", "unit_type", "language", "file_path", "line_start", "line_end")
+    placed = found.join(units.select("id", "repo"), "id").join(repos.select(F.col("name").alias("repo"), "ordinal"), "repo")
     within = Window.partitionBy("repo").orderBy(*lexical.by_score())
     fetch = quota(limit) * (1 if only.is_empty() else lexical.OVER_FETCH)
-    best = rows.withColumn("at", F.row_number().over(within)).where(F.col("at") <= fetch)
+    # only the few best of each repository are joined with what is shown of them
+    best = placed.withColumn("at", F.row_number().over(within)).where(F.col("at") <= fetch).join(shown, "id")
     if not only.is_empty():
         best = best.where(only.column()).withColumn("at", F.row_number().over(within)).where(F.col("at") <= quota(limit))
     fused = fusion.fuse(best.drop("at"), query, by=["repo"])
@@ -53,13 +54,13 @@ def search_repos(units: DataFrame, postings: DataFrame, stats: DataFrame, repos:
 
 def find_similar(units: DataFrame, records: DataFrame, repo: str, file_path: str, line: int, limit: int = 10) -> DataFrame:
     """(repo, id, similarity, name, file_path): units like the one at a place, over all repositories, without itself and copies."""
-    own = graph.unit_at_line(units.where(F.col("repo") == repo), file_path, line).select(F.col("id").alias("unit_id"), F.col("name").alias("own_name"), F.col("file_path").alias("own_path"))
-    query = vectors.decoded(records.join(own.select("unit_id"), "unit_id", "left_semi")).join(own, "unit_id").select(F.col("vector").alias("query"), "own_name", "own_path")
-    pairs = vectors.decoded(records).join(F.broadcast(query.limit(1)), F.size("vector") == F.size("query"))
-    near = pairs.select(F.col("unit_id").alias("id"), vx.cosine(F.col("query"), F.col("vector")).alias("similarity"), "own_name", "own_path")
-    rows = near.join(units.select("repo", "id", "name", "file_path", "body"), "id")
+    own = graph.unit_at_line(units.where(F.col("repo") == repo), file_path, line).select(F.col("id").alias("unit_id"), "name", "file_path").first()
+    query = vectors.vector_of(records, own["unit_id"]).first() if own else None
+    near = vectors.similarities(records, query["vector"] if query else [0.0])
+    near = near.withColumns({"own_name": F.lit(own["name"] if own else None).cast("string"), "own_path": F.lit(own["file_path"] if own else None).cast("string")})
+    placed = near.join(units.select("repo", "id", "name", "file_path"), "id")
     by_repo = Window.partitionBy("repo").orderBy(F.round("similarity", 9).desc(), "id")
-    best = rows.withColumn("at", F.row_number().over(by_repo)).where(F.col("at") <= quota(limit))
+    best = placed.withColumn("at", F.row_number().over(by_repo)).where(F.col("at") <= quota(limit)).join(units.select("id", "body"), "id")
     others = best.where(~((F.col("name") == F.col("own_name")) & (F.col("file_path") == F.col("own_path"))))
     placed = others.withColumn("place", F.row_number().over(Window.orderBy(F.round("similarity", 9).desc(), "repo", "id")))
     kept = first_of_copies(placed, body="body").orderBy("place").limit(limit)

@@ -15,7 +15,7 @@ from lodestone.functions import text as tx
 from lodestone.functions.names import name_match_score
 from lodestone.operators import lexical, vectors
 
-LEXICAL_K, NAME_K, VECTOR_K, SCALE = 60, 5, 60, 1000.0
+LEXICAL_K, NAME_K, VECTOR_K, POPULARITY_K, SCALE = 60, 5, 60, 60, 1000.0
 
 
 def with_ranks(results: DataFrame, query: str, by: list[str] | None = None) -> DataFrame:
@@ -54,6 +54,12 @@ def weighted(results: DataFrame, now: int, lexical_weight: float = 0.3, name_wei
     return results.withColumn("score", SCALE * base * (1 + bonus - penalty))
 
 
+def fuse_popular(results: DataFrame, query: str) -> DataFrame:
+    """Fused from lexical, name and call-graph ranks; wants popularity_rank."""
+    rows = with_ranks(results, query)
+    return rows.withColumn("score", SCALE * (term(F.col("lexical_rank"), LEXICAL_K) + term(F.col("name_rank"), NAME_K) + term(F.col("popularity_rank"), POPULARITY_K)))
+
+
 def ordered(results: DataFrame) -> DataFrame:
     """By fused score, then lexical rank, with a rank from 1."""
     return results.withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 9).desc(), "lexical_rank")))

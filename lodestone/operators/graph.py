@@ -70,6 +70,12 @@ def orphan_edges(units: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def popularity(units: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, name, n_callers): in-degree by name; no fusion uses it. Counted map-side before the join."""
+    """(id, name, n_callers): in-degree by name. Counted map-side before the join."""
     degree = edges.where("callee_name IS NOT NULL").select("caller_id", "callee_name").distinct().groupBy(F.col("callee_name").alias("name")).agg(F.count("*").alias("n_callers"))
     return units.select("id", "name").join(degree, "name", "left").select("id", "name", F.coalesce("n_callers", F.lit(0)).alias("n_callers"))
+
+
+def popularity_ranks(results: DataFrame, edges: DataFrame) -> DataFrame:
+    """Results (few, by their limit) with ``popularity_rank`` from 0: most callers first, then by id."""
+    counted = popularity(results, edges).select("id", "n_callers")
+    return results.join(counted, "id").withColumn("popularity_rank", F.row_number().over(Window.orderBy(F.desc("n_callers"), "id")) - 1)

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.vectors import _best, _cosines
+from lodestone.operators.vectors import QUERY_BLOCK, _best, _cosines
+from lodestone.session import ship
 
 FIT_ROWS = 50_000
 MAX_CELLS = 4096
@@ -32,11 +33,36 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
 
 
+def _sample(vectors: DataFrame, n: int) -> pa.Table:
+    """The FIT_ROWS of ``n`` rows with the smallest hashes of their ids."""
+    share = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 20)) < F.lit(min(1 << 20, math.ceil(1.2 * FIT_ROWS / max(1, n) * (1 << 20))))
+    return vectors.where(share).select("id", "vector").orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(FIT_ROWS).toArrow()
+
+
+def probes_for(vectors: DataFrame, centres: np.ndarray, k: int = 10, recall: float = 0.95, trials: int = 200) -> int:
+    """Fewest probes that find a share ``recall`` of the k nearest, as measured by brute force with ``trials`` rows of the sample against all of it.
+
+    In the whole table neighbours are nearer than in a sample of it, so there the share is no smaller.
+    """
+    sample = _sample(vectors, vectors.count())
+    if not sample.num_rows or not len(centres):
+        return 1
+    data = _unit(_rows(sample.column("vector")))
+    own = (data @ centres.T).argmax(axis=1)
+    asked = data[:trials]
+    sims = asked @ data.T
+    sims[np.arange(len(asked)), np.arange(len(asked))] = -2
+    near = np.argsort(-sims, axis=1)[:, : min(k, max(1, len(data) - 1))]
+    # the place of each neighbour's cell among the nearest cells of its query
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1), axis=1)
+    needed = np.sort(np.take_along_axis(place, own[near], axis=1).ravel())
+    return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]) + 1
+
+
 def fit_centroids(vectors: DataFrame, cells: int | None = None) -> np.ndarray:
     """Centroids of unit vectors by k-means on the FIT_ROWS rows with the smallest hashes of their ids."""
     n = vectors.count()
-    share = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 20)) < F.lit(min(1 << 20, math.ceil(1.2 * FIT_ROWS / max(1, n) * (1 << 20))))
-    sample = vectors.where(share).select("id", "vector").orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(FIT_ROWS).toArrow()
+    sample = _sample(vectors, n)
     if not sample.num_rows:
         return np.zeros((0, 0))
     data = _unit(_rows(sample.column("vector")))
@@ -54,6 +80,7 @@ def fit_centroids(vectors: DataFrame, cells: int | None = None) -> np.ndarray:
 
 def with_cells(vectors: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame:
     """(id, vector, cell): each row once for each of its ``probes`` nearest cells."""
+    ship(vectors.sparkSession)
     sent = vectors.sparkSession.sparkContext.broadcast(centres)
     kind = dict(vectors.dtypes)["vector"]
 
@@ -75,11 +102,14 @@ def search(index: DataFrame, queries: DataFrame, centres: np.ndarray, k: int = 1
     """(query_id, id, similarity, rank): the k nearest of each query in its nearest cells.
 
     Cells meet as groups: the rows of a cell and the queries that probe it. A large cell is cut
-    into parts by id, each of which gets the cell's queries, so no task holds a whole hot cell.
+    into parts by id, each of which gets the cell's queries, and many queries of a cell into
+    slices, each of which gets the cell's rows, so no task holds a whole hot cell or all of its queries.
     """
+    slices = max(1, math.ceil(queries.count() * min(probes, max(1, len(centres))) / max(1, len(centres)) / QUERY_BLOCK))
     parts = index.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(FIT_ROWS)).cast("int").alias("parts"))
     rows = index.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    asked = with_cells(queries.select(F.col("query_id").alias("id"), "vector"), centres, probes).join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asked = with_cells(queries.select(F.col("query_id").alias("id"), "vector"), centres, probes).join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
+    rows = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -96,6 +126,6 @@ def search(index: DataFrame, queries: DataFrame, centres: np.ndarray, k: int = 1
                 column.append(values)
         return pa.table({n: pa.array(np.concatenate(v)) for n, v in zip(("query_id", "id", "similarity"), out)})
 
-    found = rows.select("id", "vector", "cell", "part").groupBy("cell", "part").cogroup(asked.select("id", "vector", "cell", "part").groupBy("cell", "part")).applyInArrow(run, "query_id bigint, id bigint, similarity double")
+    found = rows.select("id", "vector", "cell", "part", "slice").groupBy("cell", "part", "slice").cogroup(asked.select("id", "vector", "cell", "part", "slice").groupBy("cell", "part", "slice")).applyInArrow(run, "query_id bigint, id bigint, similarity double")
     best = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as vx
 from lodestone.functions.vectors import LEAST_RANGE
+from lodestone.session import ship
 
 QUERY_BLOCK = 8192
 
@@ -70,6 +71,7 @@ def _cosines(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 def similarities(records: DataFrame, query: list[float]) -> DataFrame:
     """(id, similarity) of all records with the query's dimension. A query without length gives no rows."""
+    ship(records.sparkSession)
     q = np.array([query], np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,12 +105,21 @@ def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return rows[at < k], columns[at < k]
 
 
+def _first(rows: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row, ties by id."""
+    order = np.lexsort((ids, -np.round(sims, 9), rows))
+    rows, ids, sims = rows[order], ids[order], sims[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[kept], ids[kept], sims[kept]
+
+
 def nearest_to_many(records: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, similarity, rank) for a stated set of queries (query_id, vector) against all records.
 
     Queries go to the records in blocks of about ``block``, so what is sent is bounded; each
     partition of records keeps its k best of each query before the shuffle.
     """
+    ship(records.sparkSession)
     n_blocks = max(1, math.ceil(queries.count() / block))
     parts = []
     for b in range(n_blocks):
@@ -123,7 +134,7 @@ def nearest_to_many(records: DataFrame, queries: DataFrame, k: int, block: int =
 
             def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
                 names, matrix = sent.value
-                kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
                 for batch in batches:
                     if not batch.num_rows or not len(names):
                         continue
@@ -133,9 +144,10 @@ def nearest_to_many(records: DataFrame, queries: DataFrame, k: int, block: int =
                     for a in range(0, len(names), 256):
                         sims = _cosines(matrix[a : a + 256], vectors)
                         rows, columns = _best(sims, ids, k)
-                        kept.append((names[a + rows], ids[columns], sims[rows, columns]))
-                for q, i, s in kept:
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], names=["query_id", "id", "similarity"])
+                        found = (rows, ids[columns], sims[rows, columns])
+                        best[a] = _first(*(np.concatenate(x) for x in zip(best[a], found)), k) if a in best else found
+                for a, (rows, i, s) in best.items():
+                    yield pa.RecordBatch.from_arrays([pa.array(names[a + rows]), pa.array(i), pa.array(s)], names=["query_id", "id", "similarity"])
 
             parts.append(_whole(records, dim).mapInArrow(run, "query_id bigint, id bigint, similarity double"))
     if not parts:

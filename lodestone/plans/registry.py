@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone import config
+from lodestone.api import CodeIndex
 from lodestone.functions import names, text, vectors as vx
 from lodestone.operators import changes, federated, fusion, graph, incremental, ivf, lexical, stats, vectors
+from lodestone.plans import fixture
 from lodestone.plans.sql import SQL
-from lodestone.session import shared_folder, table
-from lodestone.sources import heuristics, parse, sinks
+from lodestone.session import cut, shared_folder, table
+from lodestone.sources import heuristics, parse, sinks, tree, vector_file
 from lodestone.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERY = "ledger registry deadline"
+STORED_QUERIES = ["ledger registry deadline", "name:split", "validate tenant", "+lane -wallet"]
 PHRASE = '"waiting lane" +profile -wallet'
 EPOCH = 1_764_547_200
 ROUND_END = "2026-01-01 00:00:00"
@@ -173,7 +178,7 @@ def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     centres = ivf.fit_centroids(rows)
     queries = rows.where(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), "vector")
-    return ivf.search(ivf.with_cells(rows, centres), queries, centres, 10).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+    return ivf.search(ivf.with_cells(rows, centres), queries, centres, 10, ivf.probes_for(rows, centres)).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 def quantize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,7 +345,7 @@ def modified_since(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes.table_checksum(units_of(spark, sf_dir).select("repo", "id", "file_path", "name", "body"))
+    return changes.row_digest(units_of(spark, sf_dir), ["repo", "id", "file_path", "name", "body", "line_start", "line_end"])
 
 
 def search_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,19 +395,19 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_folder = spark._jvm.org.apache.hadoop.fs.Path(whole).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(whole)).isDirectory()
     reader = spark.readStream.schema(source.schema)
     stream = reader.parquet(whole) if is_folder else reader.option("pathGlobFilter", "file_scan.parquet").parquet(folder)
-    versions = {"now": 0}
+    done: list[int] = []
 
-    def apply(rows: DataFrame, _: int) -> None:
-        old = versions["now"]
-        state = rows if not old else watch.last_per_key(spark.read.parquet(f"{at}/v={old}").unionByName(rows), ["repo", "file_path"], ["observed_at", "scan_id"])
-        state.write.mode("overwrite").parquet(f"{at}/v={old + 1}")
-        versions["now"] = old + 1
+    def apply(rows: DataFrame, batch_id: int) -> None:
+        # the version follows from the batch, so a batch that runs again or after a restart writes the same one
+        state = rows if not batch_id else watch.last_per_key(spark.read.parquet(f"{at}/v={batch_id}").unionByName(rows), ["repo", "file_path"], ["observed_at", "scan_id"])
+        state.write.mode("overwrite").parquet(f"{at}/v={batch_id + 1}")
+        done.append(batch_id + 1)
 
     query = watch.start_upserts(stream, f"{at}/checkpoint", apply, ["repo", "file_path"], ["observed_at", "scan_id"])
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    state = spark.read.parquet(f"{at}/v={versions['now']}") if versions["now"] else source.limit(0)
+    state = spark.read.parquet(f"{at}/v={done[-1]}") if done else source.limit(0)
     return state.select("repo", "file_path", "observed_at", "scan_id", "event_kind")
 
 
@@ -416,6 +421,141 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.files_to_process(*(table(spark, sf_dir, t) for t in ("file_scan", "file_index", "index_runs"))).select("repo", "file_path")
 
 
+# --- stored indexes, working trees and files --------------------------------------------------------------------
+
+
+def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files of a small working tree, with ignore rules, blocked folders, names and contents left out."""
+    root = fixture.plant(fixture.work_folder(spark, "tree"))
+    return tree.read_tree(spark, root, "small").select("repo", "file_path", "language", "file_hash")
+
+
+def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for given paths, some of which are ignored or gone."""
+    root = fixture.plant(fixture.work_folder(spark, "tree"))
+    return tree.read_paths(spark, root, "small", ["cmd/main.go", "skipped/a.py", "no.py", "web/boot.js", "b.tmp.py"]).select("file_path", "file_hash")
+
+
+def tree_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units that the parsers find in the small tree."""
+    root = fixture.plant(fixture.work_folder(spark, "tree"))
+    units = parse.parse_units(tree.read_tree(spark, root, "small"))
+    return units.select("file_path", "name", "unit_type", "line_start", "line_end", F.array_join("calls", ",").alias("calls"))
+
+
+def index_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of runs over the small tree: first, again, after changes, by paths, cleanup, rebuild; each state is checked as a whole."""
+    at = fixture.work_folder(spark, "index")
+    root, index = fixture.plant(f"{at}/small"), CodeIndex(spark, f"{at}/index")
+    done = [("1 first", index.index(root, "small", 1)), ("2 again", index.index(root, "small", 2))]
+    fixture.plant(root, fixture.CHANGED)
+    os.unlink(f"{root}/{fixture.GONE}")
+    done.append(("3 changed", index.index(root, "small", 3)))
+    fixture.plant(root, {"web/boot.js": fixture.TREE["web/boot.js"]})
+    done.append(("4 paths", index.update_paths(root, "small", ["web/boot.js", "notes.txt"], 4)))
+    os.unlink(f"{root}/web/boot.js")
+    gone = index.cleanup(root, "small")
+    done.append(("5 cleanup", {"indexed": 0, "skipped": 0, "removed": gone["removed_files"], "new_units": gone["removed_units"]}))
+    done.append(("6 rebuild", index.rebuild(root, "small")))
+    index.validate(whole=True)
+    return spark.createDataFrame([(step, c["indexed"], c["skipped"], c["removed"], c["new_units"]) for step, c in done], "step string, indexed int, skipped int, removed int, new_units int")
+
+
+def _stored(spark: SparkSession) -> CodeIndex:
+    at = fixture.work_folder(spark, "index")
+    index = CodeIndex(spark, f"{at}/index")
+    index.index(fixture.plant(f"{at}/small"), "small", 1)
+    return index
+
+
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best result of each of some searches in a stored index."""
+    index = _stored(spark)
+    out = None
+    for query, _, _ in fixture.FOUND:
+        rows = index.search(query, 5).where("rank = 1").select(F.lit(query).alias("query"), F.col("rank").cast("int").alias("rank"), "name")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def index_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each table of a stored index after an update, and what is recorded of them."""
+    at = fixture.work_folder(spark, "index")
+    root, index = fixture.plant(f"{at}/small"), CodeIndex(spark, f"{at}/index")
+    index.index(root, "small", 1)
+    fixture.plant(root, fixture.CHANGED)
+    index.index(root, "small", 2)
+    index.embed(lambda texts: [[float(len(t)), 1.0] for t in texts], "length")
+    meta = index.metadata()
+    counts = [(name, index.table(name).count()) for name in ("units", "edges", "files", "vectors")]
+    counts += [("recorded units", meta.num_units), ("recorded files", meta.num_files), ("pending", index.pending().count()), ("coverage", index.stats().first()["coverage"])]
+    return spark.createDataFrame(counts, "what string, n bigint")
+
+
+def index_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of a file, each looked up by its id, with its body and the unit at its first line."""
+    index = _stored(spark)
+    ids = [r["id"] for r in index.units_of_file("small", "services/auth/login.py").collect()]
+    out = None
+    for i in ids:
+        rows = index.with_bodies(index.unit(i).select("id", "name", "line_start"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("name", "line_start", F.split("body", "\n")[0].alias("first_line"))
+
+
+def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best units of several queries, read from postings that were written once, sorted by term."""
+    units, at = units_of(spark, sf_dir), f"{shared_folder(spark)}/postings-{spark._jvm.java.util.UUID.randomUUID()}"
+    lexical.write_postings(lexical.build_postings(units), at)
+    postings, stats_ = spark.read.parquet(at), cut(lexical.field_stats(units))
+    out = None
+    for q in STORED_QUERIES:
+        rows = rounded(lexical.search(postings, stats_, q, 20)).select(F.lit(q).alias("query"), "id", "score")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def vector_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written to one packed file and read again."""
+    path = f"{fixture.work_folder(spark, 'vectors')}/vectors.bin"
+    vector_file.write_vectors(records_of(spark, sf_dir), path)
+    rows = vector_file.read_vectors(spark, path)
+    return rows.select("unit_id", "dim", F.round("v_min", 4).alias("v_min"), F.round("v_max", 4).alias("v_max"), F.aggregate("data", F.lit(0).cast("bigint"), lambda s, x: s + x.cast("bigint")).alias("total"))
+
+
+def repos_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories of the table as a registry file, looked up by names."""
+    registry = config.Registry(f"{fixture.work_folder(spark, 'registry')}/repos.json")
+    for r in table(spark, sf_dir, "repos").orderBy("added_at", "name").collect():  # a fixed table of a few rows
+        registry.add(r["name"], r["path"], r["added_at"])
+    again = config.Registry(registry.path)
+    names = sorted(e.name for e in again.entries)[:3]
+    return spark.createDataFrame([(e.name, e.path, e.added_at) for e in again.resolve(", ".join(names))], "name string, path string, added_at bigint")
+
+
+def settings_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings after some were set, saved and loaded."""
+    path = f"{fixture.work_folder(spark, 'settings')}/config.toml"
+    own = config.Config.load(path)
+    for key, value in (("search.limit", "25"), ("search.exclude_tests", "yes"), ("search.format", "csv")):
+        own.set(key, value)
+    own.save(path)
+    return spark.createDataFrame([(k, v) for k, v, _ in config.Config.load(path).list()], "key string, value string")
+
+
+def rrf_popular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical, name and call-graph ranks fused."""
+    rows = graph.popularity_ranks(_top(spark, sf_dir), edges_of(spark, sf_dir))
+    return rounded(fusion.ordered(fusion.fuse_popular(rows, QUERY))).select("rank", "id", "score", "n_callers", "popularity_rank")
+
+
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the inverted file finds nine of ten true neighbours of every hundredth embedding."""
+    true = vector_topk(spark, sf_dir).select("query_id", "id")
+    hits = ivf_topk(spark, sf_dir).select("query_id", "id").join(true, ["query_id", "id"], "left_semi").count()
+    return true.agg(F.countDistinct("query_id").alias("n_queries"), (F.lit(hits) >= 0.9 * F.count("*")).alias("recall_at_least_090"))
+
+
 def p3_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What two runs over the observations process, with state kept between them: those received up to a day, then all."""
     at = f"{shared_folder(spark)}/rounds-{spark._jvm.java.util.UUID.randomUUID()}"
@@ -435,6 +575,7 @@ QUERIES: dict[str, Query] = {
         callers, callees, search_context, unused_functions, unused_report, orphan_edges, live_edges, edges_from_units, unit_at_line, popularity,
         federated_search, find_similar, dedup_fingerprint, repo_rollup, cached_vectors, stats_by_type, stats_by_language, stats_summary,
         cdc_classify, cdc_counters, missing_files, files_after_run, units_after_cleanup, unit_diff, modified_since, table_checksum, search_json, search_csv, search_plain,
+        tree_files, tree_paths, tree_units, index_cycle, index_search, index_tables, index_lookups, stored_search, vector_file_roundtrip, repos_resolved, settings_listed, rrf_popular, ivf_recall,
         parse_bodies, debounce_batches, coalesce_batches, watched_events, stream_upsert, event_windows,
     )
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestone.functions.text import EXTENSIONS
+from lodestone.plans import fixture
 from lodestone.sources import heuristics
 
 EPOCH = 1_764_547_200
@@ -97,7 +98,38 @@ marked AS (
 batches AS (SELECT *, CAST(sum(paused) OVER (PARTITION BY repo ORDER BY observed_at, scan_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS batch FROM marked)"""
 CSV_FIELD = """CASE WHEN regexp_matches({0}, '[,"\n]') THEN '"' || replace({0}, '"', '""') || '"' ELSE {0} END"""
 
+
+
+def literal(value: object) -> str:
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
+
+
+def values(rows: list[tuple], columns: str) -> str:
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+def stored(query: str, words: list[str], field: str | None = None, never: str | None = None) -> str:
+    own = bm25(words) if field is None else bm25(words).replace("WHERE term IN", f"WHERE field = '{field}' AND term IN")
+    out = "" if never is None else f"WHERE id NOT IN (SELECT id FROM ft WHERE list_contains(terms, '{never}'))"
+    return f"(WITH {own} SELECT {literal(query)} AS query, id, round(score, 6) AS score FROM scores {out} ORDER BY {ORDER} LIMIT 20)"
+
+
+LANGUAGE_OF = {e: language for language, endings in EXTENSIONS.items() for e in endings}
+
 SQL: dict[str, str] = {
+    "tree_files": " UNION ALL ".join(f"SELECT 'small' AS repo, {literal(f)} AS file_path, {literal(LANGUAGE_OF[f.rsplit('.', 1)[1]])} AS language, sha256({literal(fixture.TREE[f])}) AS file_hash" for f in fixture.KEPT),
+    "tree_paths": " UNION ALL ".join(f"SELECT {literal(f)} AS file_path, sha256({literal(fixture.TREE[f])}) AS file_hash" for f in ("cmd/main.go", "web/boot.js")),
+    "tree_units": values(fixture.UNITS, "file_path, name, unit_type, line_start, line_end, calls"),
+    "index_cycle": values(fixture.STEPS, "step, indexed, skipped, removed, new_units"),
+    "index_search": values(fixture.FOUND, "query, rank, name"),
+    "index_tables": values(fixture.ROWS, "what, n"),
+    "index_lookups": values(fixture.LOGIN, "name, line_start, first_line"),
+    "stored_search": " UNION ALL ".join([stored("ledger registry deadline", QUERY_WORDS), stored("name:split", ["split"], "name"), stored("validate tenant", ["validate", "tenant"]), stored("+lane -wallet", ["lane"], never="wallet")]),
+    "vector_file_roundtrip": f"WITH {RECORDS} SELECT unit_id, dim, round(v_min, 4) AS v_min, round(v_max, 4) AS v_max, CAST(list_sum(data) AS BIGINT) AS total FROM records WHERE dim = 96 AND len(data) = 96",
+    "repos_resolved": "SELECT name, path, added_at FROM repos ORDER BY name LIMIT 3",
+    "settings_listed": values([("search.limit", "25"), ("search.no_tui", "false"), ("search.format", "csv"), ("search.exclude_tests", "true"), ("index.auto_index", "false"), ("editor.command", "(auto-detect)")], "key, value"),
+    "ivf_recall": "SELECT count(*) AS n_queries, true AS recall_at_least_090 FROM embeddings WHERE vec_id % 100 = 0",
+    "table_checksum": f"WITH {UNITS} SELECT count(*) AS n_rows, CAST(coalesce(sum(CAST('0x' || substr(md5(concat_ws('|', {', '.join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in ('repo', 'id', 'file_path', 'name', 'body', 'line_start', 'line_end'))})), 1, 15) AS HUGEINT)), 0) AS VARCHAR) AS digest FROM units",
     "p3_found": f"WITH {LISTING}, {FILES} SELECT l.repo, l.file_path FROM listing l LEFT JOIN files k ON l.repo = k.repo AND l.file_path = k.file_path WHERE {CHANGED}",
     "p3_rounds": f"""
 WITH {LISTING}, before AS (WITH {LISTING.replace("FROM file_scan", "FROM (SELECT * FROM file_scan WHERE received_at < TIMESTAMP '2026-01-01 00:00:00')")} SELECT * FROM listing)
@@ -228,7 +260,7 @@ best AS (SELECT n.*, u.repo, u.name, u.file_path, u.body FROM near n JOIN units
 p AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, repo, id) AS place FROM best WHERE NOT (name = own_name AND file_path = own_path)),
 k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY name, left(body, 80) ORDER BY place) = 1 ORDER BY place LIMIT 20)
 SELECT repo, id, round(score, 6) AS similarity, name, file_path FROM k""",
-    "dedup_fingerprint": f"WITH {UNITS} SELECT id, name FROM units QUALIFY row_number() OVER (PARTITION BY name, left(body, 80) ORDER BY id) = 1",
+    "dedup_fingerprint": f"WITH {UNITS} SELECT id, name FROM units QUALIFY row_number() OVER (PARTITION BY name, encode(body)[1:80] ORDER BY id) = 1",
     "repo_rollup": f"WITH {UNITS} SELECT repo, count(DISTINCT file_path) AS n_files, count(*) AS n_units, count(*) FILTER (unit_type IN ('function', 'method')) AS n_functions, array_to_string(list_sort(list_distinct(list(language))), ',') AS languages FROM units GROUP BY repo",
     "cached_vectors": f"WITH {UNITS}, {FILES}, {RECORDS} SELECT file_hash, min(id) AS unit_id FROM units JOIN files USING (repo, file_path) WHERE file_hash IS NOT NULL AND id IN (SELECT unit_id FROM records WHERE dim = 96 AND len(data) = 96) GROUP BY file_hash",
     "stats_by_type": f"WITH {UNITS} SELECT unit_type, count(*) AS n FROM units GROUP BY unit_type",
@@ -257,6 +289,18 @@ WITH {UNITS}, {LISTING}, {FILES}, gone AS (SELECT repo, file_path FROM files f W
 SELECT repo, file_path, id FROM units u WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.repo = u.repo AND g.file_path = u.file_path)""",
     "unit_diff": f"WITH {UNITS} SELECT DISTINCT repo, file_path, name, line_start, 'modified' AS change FROM units WHERE contains(body, chr(13) || chr(10))",
     "modified_since": f"WITH {UNITS} SELECT id, file_path FROM units WHERE file_path IN (SELECT file_path FROM file_index WHERE last_indexed >= {EPOCH})",
+    "rrf_popular": f"""
+WITH {bm25(QUERY_WORDS)}, {TOP}, {RANKED}, {EDGES},
+callers AS (SELECT callee_name, count(DISTINCT caller_id) AS n FROM edges WHERE callee_name IS NOT NULL GROUP BY callee_name),
+popular AS (
+  SELECT b.*, coalesce(n, 0) AS n_callers, CAST(row_number() OVER (ORDER BY coalesce(n, 0) DESC, id) - 1 AS INT) AS popularity_rank FROM both_ranks b LEFT JOIN callers ON b.name = callee_name),
+fused AS (SELECT *, 1000.0::DOUBLE * ({TWO_WAY} + 1.0::DOUBLE / (60.0::DOUBLE + popularity_rank + 1)) AS fused FROM popular)
+SELECT CAST(row_number() OVER (ORDER BY round(fused, 9) DESC, lexical_rank) AS INT) AS rank, id, round(fused, 6) AS score, n_callers, popularity_rank FROM fused""",
+    "search_json": f"""
+WITH {bm25(QUERY_WORDS)}, {TOP},
+shown AS (SELECT CAST(row_number() OVER (ORDER BY {ORDER}) AS INT) AS rank, * FROM top)
+SELECT rank, CAST(json_object('rank', rank, 'score', round(score, 6), 'name', name, 'unit_type', unit_type, 'language', language, 'file_path', file_path, 'line_start', line_start, 'line_end', line_end,
+  'signature', nullif(full_signature, ''), 'docstring', nullif(docstring, ''), 'snippet', {SNIPPET}) AS VARCHAR) AS json FROM shown""",
     "search_csv": f"""
 WITH {bm25(QUERY_WORDS)}, {TOP}
 SELECT CAST(row_number() OVER (ORDER BY {ORDER}) AS INTEGER) AS rank,
