@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.session import ship
+
 TOKENIZER_DIR = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k"
 CACHE_WORDS = 400_000
@@ -139,6 +141,9 @@ class Encoder:
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.by_rank = merged
         self.no_rank = len(pairs)
+        self.bytes_of = np.zeros(self.width, np.int64)
+        for symbol, i in vocab.items():
+            self.bytes_of[i] = len(symbol)  # each character stands for a byte
         self._reset()
 
     def _reset(self) -> None:
@@ -313,6 +318,7 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def encode_column(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer_dir: str = TOKENIZER_DIR, name: str = TOKENIZER) -> DataFrame:
     """(key, ids array<int>) of every row; an empty list for null and for empty text. No shuffle."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_dir, name)
@@ -329,6 +335,7 @@ def encode_column(docs: DataFrame, key: str = "doc_id", text: str = "text", toke
 
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer_dir: str = TOKENIZER_DIR, name: str = TOKENIZER) -> DataFrame:
     """(key, n_tokens bigint) of every row; 0 for null and for empty text. No shuffle."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_dir, name)
@@ -341,6 +348,21 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", token
     return docs.select(key, text).mapInArrow(run, schema)
 
 
+def decoded_sizes(encoded: DataFrame, key: str = "doc_id", tokenizer_dir: str = TOKENIZER_DIR, name: str = TOKENIZER) -> DataFrame:
+    """(key, n_bytes bigint): bytes that the ids of each row stand for. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(tokenizer_dir, name)
+        for batch in batches:
+            ids = batch.column(1)
+            total = np.concatenate([[0], np.cumsum(own.bytes_of[ids.flatten().to_numpy()])])
+            ends = ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total[ends[1:]] - total[ends[:-1]])], names=[key, "n_bytes"])
+
+    schema = T.StructType([T.StructField(key, encoded.schema[key].dataType), T.StructField("n_bytes", T.LongType())])
+    return encoded.select(key, "ids").mapInArrow(run, schema)
+
+
 def corpus_token_stats(encoded: DataFrame) -> DataFrame:
     """(n_docs, n_empty, n_tokens, longest) over an encoded corpus."""
     n = F.size("ids").cast("bigint")

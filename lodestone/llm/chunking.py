@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.session import ship
+
 LIMIT = 4000
 OVERLAP = 200
 GRAIN = 40
@@ -119,8 +121,9 @@ def split_oversized(units: DataFrame, key: str = "id", text: str = "body", limit
     """(key, piece, begin, n_chars, text) for every distinct row with more than ``limit`` characters.
 
     The size filter runs before any Python; only texts to be split reach it. Pieces of rows
-    repeated as a whole come once.
+    repeated as a whole come once; for that the oversized texts, and no others, are shuffled.
     """
+    ship(units.sparkSession)
     long = units.select(F.col(key), F.col(text)).where(F.length(text) > limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
