@@ -36,12 +36,13 @@ OWN_GENERATORS = ["tools", "scripts", "script", "bin", "hack", "devtools"]
 # Endings of names that tools give, with the languages they are used in.
 GENERATED_NAMES = r"(?i:[._]generated\.\w+$|\.(gen|pb|g|moc|auto|designer)\.\w+$|[.-]min\.(js|mjs|cjs|css)$|\.(bundle|chunk|packed)\.(js|mjs|cjs)$|^moc_\w+\.cpp$|^zz_generated\b)|_pb\.(js|ts|d\.ts)$|_pb2(_grpc)?\.pyi?$|(Grpc|OuterClass)\.java$|_(gen|string|enumer|easyjson)\.go$|\.d\.ts$"
 
-# What the comment at the top of a generated or vendored file says.
-MARKERS = re.compile(
-    r"(?i)code generated by|@generated\b|auto[- ]?generated (file|by|from|code)|<auto-?generated|(this )?file (was|is) (auto(matically)?[- ])?generated|^\W*generated (by|from|with)\b|do not (edit|modify)|don't edit|machine[- ]made|machine[- ]generated|hand edits|"
-    r"automatisch (erzeugt|generiert)|nicht (bearbeiten|(hier )?ändern)|fichier (produit|généré)|ne pas (modifier|éditer)|no (editar|modificar)|generado (por|automáticamente)|"
-    r"vendored (from|copy)|imported snapshot of|copied verbatim from|third[- ]party:|fremdbibliothek|upstream changes are not|bundled copy of|produced (automatically|by \w+) (v?\d|from)|changes will be lost|taken (unchanged|verbatim) from|patches go to the|rewrites this file"
-)
+# What the comment at the top of a file says of its making: that something made it, that it must not be changed or that changes
+# get lost, or where it was taken from. The words are fixed values; how they stand together is what counts.
+MADE = r"@generated\b|\bauto-?generated\b(?!\s+(?:method|constructor|catch|function)\b)|\bmachine[- ](?:made|generated)\b|(?:^\W*|\b(?:code|file|was|is|fichier|automatically|automatisch)\s+)(?:generated|produced|emitted|transpiled|erzeugt|generiert|généré|produit|generado)\s+(?:by|from|with|using|automatically|aus|par|por|de|desde)\b|<auto-?generated|\b(?:generado|erzeugt|généré) autom"
+KEPT_OUT = r"\b(?:do not|don't) (?:edit|modify)\b|\bnicht (?:hier )?(?:bearbeiten|ändern)\b|\bne pas (?:modifier|éditer)\b|\bno (?:editar|modificar)\b"
+LOST = r"\b(?:changes|edits|modifications|patches)\s+(?:\w+\s+){0,2}(?:lost|vanish|overwritten|discarded)\b|\bchanges are not applied\b|\bpatches go to the\b|\b(?:re|over)writes this file\b"
+TAKEN = r"^\W*(?:vendored|imported|copied|bundled|mirrored|taken)\s+(?:\w+\s+){0,2}(?:from|of|copy)\b|\bbundled copy of\b|\bthird[- ]party:|\bfremdbibliothek\b"
+MARKERS = re.compile(f"(?i){MADE}|{KEPT_OUT}|{LOST}|{TAKEN}")
 STUB = re.compile(r"(?i)auto-?generated (method|constructor|catch|function) (stub|block)")
 
 #: Layout thresholds. line: characters of a minified line; mean: mean line length of such a body; white: most white

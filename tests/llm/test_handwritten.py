@@ -45,3 +45,10 @@ def test_table(spark):
     got = {(r["repo"], r["file_path"]) for r in hw.not_handwritten(index, units).collect()}
     assert got == {("r", "vendor/a.py"), (None, "vendor/a.py"), ("r", "src/c.py")}
     assert hw.not_handwritten(index.where("false"), units.where("false")).count() == 0
+
+
+def test_markers_by_the_way_words_stand_together():
+    for text in ("# emitted by schemac 2.1", "// This file is transpiled from a.ts", "/* auto-generated */", "// local edits get overwritten", "# Mirrored unchanged from the upstream project", "// This module was generated with idlgen"):
+        assert hw.marked(text + "\nx = 1\n"), text
+    for text in ("# Generates the code of all clients", "// Reports edits that a user made", "# Imports prices from the vendor's feed", "// Auto-generated method stub", "# The generated report is kept", "// Never loses changes"):
+        assert not hw.marked(text + "\nx = 1\n"), text
