@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lodestone import config
 from lodestone.functions.text import embed_text, parse_file_line
 from lodestone.model import DEAD, GONE, OWNER, TABLES
+from lodestone.models import load_model
 from lodestone.operators import changes, federated, fusion, graph, lexical, stats, vectors
 from lodestone.session import ship
 from lodestone.sources import parse, sinks, tree
@@ -254,6 +255,11 @@ class CodeIndex:
         """Units without a vector, by id."""
         return self.table("units").where(~F.col("has_embedding")).orderBy("id")
 
+    def embed_with(self, name: str) -> int:
+        """Makes vectors for units without one by the model of a name."""
+        model = load_model(name)
+        return self.embed(model.embed_batch, model.name)
+
     def embed(self, model: Callable[[Sequence[str]], Sequence[Sequence[float]]], name: str) -> int:
         """Makes vectors for units without one by a user's function over batches of texts. Returns their number."""
         @F.pandas_udf("array<float>")
@@ -329,7 +335,7 @@ class CodeIndex:
         lines = [r[1] for r in rows.orderBy("rank").collect()]
         return [sinks.csv_header(results), *lines] if kind == "csv" else lines
 
-    def watch(self, path: str, repo: str, checkpoint: str, seconds: int | None = watch.POLL_SECONDS) -> StreamingQuery:
+    def watch(self, path: str, repo: str, checkpoint: str, seconds: int | None = watch.POLL_SECONDS, source: str = "auto") -> StreamingQuery:
         """A streaming query that follows the tree's changes.
 
         A batch that asks for a full scan, as the first one and any after a change of git's
@@ -338,7 +344,7 @@ class CodeIndex:
         failure ends the query, whose checkpoint then still has the batch to be done.
         """
         self.spark.dataSource.register(events.TreeEvents)
-        changes_ = self.spark.readStream.format("tree_events").load(path)
+        changes_ = self.spark.readStream.format("tree_events").option("source", source).load(path)
 
         def apply(batch: DataFrame, _: int) -> None:
             found = batch.select("check_all", F.when(~F.col("check_all"), F.col("file_path")).alias("file_path")).distinct().limit(MOST_PATHS + 1).collect()

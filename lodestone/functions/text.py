@@ -161,6 +161,11 @@ def days_before(now_seconds: int, days: int) -> int:
     return now_seconds - days * 86400
 
 
+def similarity_percent(similarity: Column) -> Column:
+    """A similarity as whole percent, ``97%``; below zero counts as none."""
+    return F.concat(F.floor(F.greatest(similarity, F.lit(0.0)) * 100 + F.lit(1e-9)).cast("string"), F.lit("%"))
+
+
 def parse_bool(text: str) -> bool:
     low = text.lower()
     if low in ("true", "yes", "1", "on"):

@@ -260,6 +260,51 @@ def search(postings: DataFrame, stats: DataFrame, query: str, limit: int = 10) -
     return scores(postings, stats, parse_query(query)).orderBy(*by_score()).limit(limit)
 
 
+def _is_plain(tree: tuple) -> bool:
+    """Whether a query is a list of alternatives and no more."""
+    return tree[0] == "any" or tree[0] == "all" and len(tree[1]) == 1 and not tree[2] and not tree[3] and tree[1][0][0] == "any" and all(c[0] == "leaf" for c in tree[1][0][1])
+
+
+def search_many(postings: DataFrame, stats: DataFrame, queries: dict[str, str], limit: int = 10) -> DataFrame:
+    """(query, id, score, rank) of the best ``limit`` units of each named query, in one pass over the postings of all of their terms.
+
+    Queries that are more than alternatives are scored one by one. What comes to the driver and is sent are four rows a term and query.
+    """
+    spark = postings.sparkSession
+    parsed = {name: parse_query(q) for name, q in queries.items()}
+    plain = {name: q for name, q in parsed.items() if q.clauses and _is_plain(q.tree)}
+    out = postings.select(F.lit("").alias("query"), "id", F.lit(0.0).alias("score")).where("false")
+    wanted = sorted({t for q in plain.values() for t in q.terms})
+    if wanted:
+        rows = postings.where(F.col("term").isin(wanted))
+        of_field = {r["field"]: (r["n_units"], r["mean_length"] or 0.0) for r in stats.collect()}
+        df = {(r["field"], r["term"]): r["df"] for r in rows.groupBy("field", "term").agg(F.count("*").alias("df")).collect()}
+        idf = {key: math.log(1 + (of_field[key[0]][0] - n + 0.5) / (n + 0.5)) for key, n in df.items()}
+        placed = []
+        for name, q in plain.items():
+            for i, c in enumerate(q.clauses):
+                for f in FIELDS if c.field is None else [c.field]:
+                    if all((f, t) in idf for t in c.terms):
+                        weight = FIELDS[f][1] * sum(idf[(f, t)] for t in c.terms)
+                        placed += [(name, i, n, t, len(c.terms), f, weight, float(of_field[f][1])) for n, t in enumerate(c.terms)]
+        if placed:
+            own = spark.createDataFrame(placed, "query string, clause int, at int, term string, n_terms int, field string, weight double, mean double")
+            found = rows.join(F.broadcast(own), ["term", "field"])
+            keys = ["query", "clause", "id", "field", "field_length", "weight", "mean"]
+            hits = found.where("n_terms = 1").select(*keys, F.size("positions").alias("tf"))
+            if any(len(c.terms) > 1 for q in plain.values() for c in q.clauses):
+                begins = found.where("n_terms > 1").select(*keys, "n_terms", "at", F.explode("positions").alias("position"))
+                whole = begins.groupBy(*keys, "n_terms", (F.col("position") - F.col("at")).alias("begin")).agg(F.countDistinct("at").alias("there")).where("there = n_terms")
+                hits = hits.unionByName(whole.groupBy(*keys).agg(F.count("*").cast("int").alias("tf")))
+            length = F.when(F.col("mean") > 0, F.col("field_length") / F.col("mean")).otherwise(0.0)
+            part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length))
+            out = hits.groupBy("query", "id").agg(F.sum(part).alias("score"))
+    for name, q in parsed.items():
+        if name not in plain:
+            out = out.unionByName(scores(postings, stats, q).select(F.lit(name).alias("query"), "id", "score"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*by_score()))).where(F.col("rank") <= limit)
+
+
 # --- filters ----------------------------------------------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone import config
 from lodestone.api import CodeIndex
 from lodestone.functions import names, text, vectors as vx
-from lodestone.operators import changes, federated, fusion, graph, incremental, ivf, lexical, stats, vectors
+from lodestone.operators import changes, federated, fusion, graph, incremental, ivf, lexical, stats, vector_copies, vectors
 from lodestone.plans import fixture
 from lodestone.plans.sql import SQL
 from lodestone.session import cut, shared_folder, table
@@ -515,6 +515,14 @@ def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def stored_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same queries in one pass."""
+    units, at = units_of(spark, sf_dir), f"{shared_folder(spark)}/postings-{spark._jvm.java.util.UUID.randomUUID()}"
+    lexical.write_postings(lexical.build_postings(units), at)
+    found = lexical.search_many(spark.read.parquet(at), lexical.field_stats(units), {q: q for q in STORED_QUERIES}, 20)
+    return rounded(found).select("query", "id", "score")
+
+
 def vector_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records written to one packed file and read again."""
     path = f"{fixture.work_folder(spark, 'vectors')}/vectors.bin"
@@ -549,6 +557,16 @@ def rrf_popular(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fusion.ordered(fusion.fuse_popular(rows, QUERY))).select("rank", "id", "score", "n_callers", "popularity_rank")
 
 
+def near_copy_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors at a cosine of 0.99 or more to one with a smaller id."""
+    return vector_copies.near_copies(records_of(spark, sf_dir), 96)
+
+
+def similar_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar units as a view of the context shows them."""
+    return find_similar(spark, sf_dir).select("id", text.similarity_percent(F.col("similarity")).alias("percent"))
+
+
 def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the inverted file finds nine of ten true neighbours of every hundredth embedding."""
     true = vector_topk(spark, sf_dir).select("query_id", "id")
@@ -575,7 +593,7 @@ QUERIES: dict[str, Query] = {
         callers, callees, search_context, unused_functions, unused_report, orphan_edges, live_edges, edges_from_units, unit_at_line, popularity,
         federated_search, find_similar, dedup_fingerprint, repo_rollup, cached_vectors, stats_by_type, stats_by_language, stats_summary,
         cdc_classify, cdc_counters, missing_files, files_after_run, units_after_cleanup, unit_diff, modified_since, table_checksum, search_json, search_csv, search_plain,
-        tree_files, tree_paths, tree_units, index_cycle, index_search, index_tables, index_lookups, stored_search, vector_file_roundtrip, repos_resolved, settings_listed, rrf_popular, ivf_recall,
+        tree_files, tree_paths, tree_units, index_cycle, index_search, index_tables, index_lookups, stored_search, stored_search_many, vector_file_roundtrip, repos_resolved, settings_listed, rrf_popular, near_copy_vectors, similar_percent, ivf_recall,
         parse_bodies, debounce_batches, coalesce_batches, watched_events, stream_upsert, event_windows,
     )
 }

@@ -317,3 +317,8 @@ SELECT DISTINCT scan_id, file_path FROM plain WHERE len([s FOR s IN string_split
     "stream_upsert": "SELECT repo, file_path, observed_at, scan_id, event_kind FROM file_scan QUALIFY row_number() OVER (PARTITION BY repo, file_path ORDER BY observed_at DESC, scan_id DESC, event_kind DESC) = 1",
     "event_windows": "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
+SQL["stored_search_many"] = SQL["stored_search"]
+SQL["near_copy_vectors"] = f"""
+WITH {RECORDS}, lengths AS (SELECT id, v, sqrt({dot('v', 'v')}) AS length FROM usable)
+SELECT b.id AS unit_id, min(a.id) AS copy_of FROM lengths a JOIN lengths b ON a.id < b.id AND a.length > 0 AND b.length > 0 AND round(list_inner_product(a.v, b.v) / (a.length * b.length), 6) >= 0.99 GROUP BY b.id"""
+SQL["similar_percent"] = f"SELECT id, CAST(CAST(floor(greatest(similarity, 0) * 100 + 1e-9) AS BIGINT) AS VARCHAR) || '%' AS percent FROM ({SQL['find_similar']})"

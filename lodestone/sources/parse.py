@@ -146,19 +146,38 @@ def closing(code: str, at: int) -> int:
     return len(code)
 
 
+def _before_name(code: str, at: int) -> tuple[bool, str, str]:
+    """Of the name at ``at``: whether a dot stands before it, the name before that dot, and the word before the whole path."""
+    end = at
+    while end and code[end - 1].isspace():
+        end -= 1
+    dotted = code[end - 1 : end] == "."
+    begin = end = end - 1 if dotted else at
+    while dotted and begin and (code[begin - 1].isalnum() or code[begin - 1] in "_$"):
+        begin -= 1
+    owner = code[begin:end]
+    while begin and (code[begin - 1].isalnum() or code[begin - 1] in "_.$"):
+        begin -= 1
+    end = begin
+    while end and code[end - 1].isspace():
+        end -= 1
+    begin = end
+    while begin and code[begin - 1].isalpha():
+        begin -= 1
+    return dotted, owner, code[begin:end]
+
+
 def _calls(code: str, members: bool = True, objects: bool = False) -> list[str]:
     """Names called in a body, without macros and object creation; ``objects`` takes the owner of a member's call instead."""
     found = set()
     for m in CALL.finditer(code):
-        name, before = m.group(1), code[max(0, m.start() - 80) : m.start()].rstrip()
-        if name in WORDS or re.search(r"(?:\bnew\s+[\w.$]*|\bnew|\bfn|\bfunc|\bfunction)$", before):
+        name = m.group(1)
+        dotted, owner, word = _before_name(code, m.start())
+        if name in WORDS or word == "new" or not dotted and word in ("fn", "func", "function"):
             continue
-        dotted = before.endswith(".")
         if dotted and not members:
             continue
-        if dotted and objects and (owner := re.search(r"([A-Za-z_$][\w$]*)\s*\.\s*$", code[: m.start()])):
-            name = owner.group(1)
-        found.add(name)
+        found.add(owner if dotted and objects and owner else name)
     return sorted(found)
 
 

@@ -85,12 +85,20 @@ class IgnoreRules:
         return out
 
 
+def users_ignore_file() -> str:
+    """Git's ignore file of the user, which holds for all trees."""
+    return os.path.join(os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config"), "git", "ignore")
+
+
 def rules_of(folder: str, root: str) -> list[IgnoreRules]:
-    names = heuristics.IGNORE_FILES + ((".git/info/exclude",) if folder == root else ())
+    """Rules of the ignore files of a folder; at the root also those of the user and of the clone, which any other rule outdoes."""
+    names = [os.path.join(folder, name) for name in heuristics.IGNORE_FILES]
+    if folder == root:
+        names = [users_ignore_file(), os.path.join(folder, ".git/info/exclude"), *names]
     out = []
     for name in names:
         try:
-            with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
+            with open(name, encoding="utf-8", errors="replace") as f:
                 out.append(IgnoreRules(folder, f.read()))
         except OSError:
             continue

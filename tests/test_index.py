@@ -9,7 +9,8 @@ from lodestone import config
 from lodestone.api import CodeIndex
 from lodestone.operators import changes
 from lodestone.sources import parse, sinks, tree, vector_file
-from lodestone.streaming import watch
+from lodestone.streaming import events, watch
+from lodestone.streaming.daemon import Daemon
 
 FILES = {
     "services/auth/login.py": '''
@@ -355,3 +356,52 @@ def test_config_registry_metadata_and_lock(tmp_path):
     (tmp_path / "lock").write_text("another-host 1")
     with pytest.raises(config.Locked), config.Lock(str(tmp_path / "lock")):
         pass
+
+
+def test_sources_of_events_and_hooks(tmp_path):
+    plant(tmp_path, {"a.py": "x = 1\n"})
+    with pytest.raises(ValueError):
+        events.TreeEventReader(str(tmp_path), "other")
+    with pytest.raises(FileNotFoundError):
+        events.TreeEventReader(str(tmp_path), "git")
+    (tmp_path / ".git").mkdir()
+    mine = tmp_path / ".git" / "hooks" / "post-commit"
+    mine.parent.mkdir()
+    mine.write_text("#!/bin/sh\nmake check\n")
+    assert len(events.install_hooks(str(tmp_path))) == len(events.install_hooks(str(tmp_path))) == 4
+    assert mine.read_text().count("lodestone-changed") == 1 and os.access(mine, os.X_OK)
+    reader = events.TreeEventReader(str(tmp_path), "git")
+    rows, at = reader.read(reader.initialOffset())
+    assert list(rows) == [(None, True)]
+    plant(tmp_path, {"b.py": "y = 1\n"})
+    rows, at = reader.read(at)
+    assert list(rows) == []
+    (tmp_path / ".git" / events.MARK).write_text("")
+    assert list(reader.read(at)[0]) == [(None, True)]
+    events.remove_hooks(str(tmp_path))
+    assert mine.read_text() == "#!/bin/sh\nmake check\n" and len(list(mine.parent.iterdir())) == 1
+
+
+def test_the_users_ignore_file(spark, tmp_path, monkeypatch):
+    plant(tmp_path, {"conf/git/ignore": "*.old.py\nkept.old.py\n", "repo/a.py": "x\n", "repo/b.old.py": "x\n", "repo/kept.old.py": "x\n", "repo/.gitignore": "!kept.old.py\n"})
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "conf"))
+    root = str(tmp_path / "repo")
+    folders, files, _ = tree.entries(root, root, [])
+    assert [os.path.basename(f) for f in files] == ["a.py", "kept.old.py"] and not folders
+
+
+def test_daemon(spark, tmp_path):
+    plant(tmp_path / "repo", {"a.py": "def a():\n    return 1\n"})
+    daemon = Daemon(CodeIndex(spark, str(tmp_path / "index")))
+    os.makedirs(tmp_path / "index")
+    assert daemon.status() == "stopped" and not daemon.stop()
+    (tmp_path / "index" / "daemon.json").write_text(json.dumps({"host": __import__("socket").gethostname(), "pid": 999999999, "started_at": 1, "path": "x", "repo": "r", "query": "q"}))
+    assert daemon.status() == "stale"
+    state = daemon.start(str(tmp_path / "repo"), "repo", 1)
+    try:
+        assert daemon.status() == "running" and daemon.state() == state
+        with pytest.raises(RuntimeError):
+            daemon.start(str(tmp_path / "repo"), "repo")
+    finally:
+        assert daemon.stop()
+    assert daemon.status() == "stopped"

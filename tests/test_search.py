@@ -142,3 +142,37 @@ def test_similar_units_leave_out_the_unit_itself(spark):
     records = vectors.to_records(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.9, 0.1]), (4, [0.0, 1.0])], "unit_id long, vector array<double>"))
     got = federated.find_similar(units, records, "r", "x.py", 3).collect()
     assert [r["name"] for r in got] == ["b", "c"]
+
+
+def test_models_by_name(spark):
+    import pickle
+
+    import numpy as np
+
+    from lodestone import models
+
+    own = models.load_model("tokens-32")
+    a, b, c, d = np.array(own.embed_batch(["load the user record", "load the user table", "spin fast motors", ""]))
+    assert own.dimension == len(a) == 32 and abs(np.linalg.norm(a) - 1) < 1e-9 and a @ b > a @ c and not d.any()
+    assert np.allclose(pickle.loads(pickle.dumps(own)).embed_batch(["load the user record"])[0], a)
+    models.register_model("mine", lambda: own)
+    assert models.load_model("mine") is own
+    with pytest.raises(KeyError):
+        models.load_model("other")
+
+
+def test_near_copies_with_hot_buckets(spark, monkeypatch):
+    import numpy as np
+
+    from lodestone.operators import vector_copies
+
+    monkeypatch.setattr(vector_copies, "CELL", 16)
+    pick = np.random.default_rng(3)
+    base = pick.integers(0, 256, (60, 8))
+    rows = [np.clip(base[i % 60 if i < 120 else 0] + (pick.integers(-2, 3, 8) if i >= 60 else 0), 0, 255) for i in range(240)] + [base[5], base[5], np.zeros(8, int)]
+    table = spark.createDataFrame([(i, 8, 0.0, 1.0, [int(x) for x in r]) for i, r in enumerate(rows)], "unit_id long, dim int, v_min float, v_max float, data array<smallint>")
+    got = {r["unit_id"]: r["copy_of"] for r in vector_copies.near_copies(table, 8).collect()}
+    v = np.array(rows, float)[:-1]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    sims = np.round(v @ v.T, 6)
+    assert got == {i: int(np.flatnonzero(sims[i, :i] >= 0.99)[0]) for i in range(len(v)) if (sims[i, :i] >= 0.99).any()}
