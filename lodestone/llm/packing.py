@@ -91,18 +91,25 @@ def pack_group(keys: np.ndarray, copies: np.ndarray, sizes: np.ndarray, group: i
 def pack(sizes: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, n_items: int | None = None) -> DataFrame:
     """(doc_id, n_tokens) to containers; see PACKED for the columns.
 
-    One shuffle of (key, size) rows. ``n_items`` saves the count that sets the number of groups.
+    One shuffle of (key, size) rows, and one of counted keys. ``n_items`` saves the count that sets the number of groups. A key with more
+    than half a group of rows is spread over slices of it; there are at most 2 n / ``group_items`` such keys, which come to the driver and are sent.
     """
     n_groups = max(1, math.ceil((sizes.count() if n_items is None else n_items) / group_items))
     rows = sizes.select(F.col("doc_id").cast("bigint"), F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).cast("bigint").alias("n_tokens")).where("doc_id IS NOT NULL")
-    grouped = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(n_groups)).cast("bigint"))
+    hot = rows.groupBy("doc_id").agg(F.ceil(F.count("*") * 2 / F.lit(group_items)).cast("bigint").alias("slices")).where("slices > 1").toArrow()
+    if hot.num_rows:
+        rows = rows.withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(sizes.sparkSession.createDataFrame(hot)), "doc_id", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+        rows = rows.withColumn("slice", F.pmod(F.xxhash64("row"), F.col("slices"))).drop("row")
+    else:
+        rows = rows.withColumns({"slices": F.lit(1).cast("bigint"), "slice": F.lit(0).cast("bigint")})
+    grouped = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.when(F.col("slice") > 0, F.col("slice")), F.lit(17)), F.lit(n_groups)).cast("bigint"))
 
     def run(group: tuple, table: pa.Table) -> pa.Table:
-        keys, own = table.column("doc_id").to_numpy(), table.column("n_tokens").to_numpy()
-        order = np.lexsort((own, keys))
-        keys, own = keys[order], own[order]
-        fresh = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        copies = np.arange(len(keys)) - np.repeat(fresh, np.diff(np.append(fresh, len(keys))))
+        keys, own, slice_, slices = (table.column(c).to_numpy() for c in ("doc_id", "n_tokens", "slice", "slices"))
+        order = np.lexsort((own, slice_, keys))
+        keys, own, slice_, slices = keys[order], own[order], slice_[order], slices[order]
+        fresh = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (slice_[1:] != slice_[:-1])))
+        copies = (np.arange(len(keys)) - np.repeat(fresh, np.diff(np.append(fresh, len(keys))))) * slices + slice_
         return pa.table(pack_group(keys, copies, own, group[0].as_py(), capacity))
 
     return grouped.groupBy("grp").applyInArrow(run, PACKED)

@@ -73,3 +73,13 @@ def test_a_rerun_is_equal(spark):
     sizes = spark.createDataFrame([(i, (i * 7919) % 900) for i in range(500)], "doc_id long, n_tokens long")
     one, two = (sorted(map(tuple, packing.pack(sizes.repartition(n), group_items=100).collect())) for n in (3, 5))
     assert one == two
+
+
+def test_a_hot_key_is_spread_over_groups(spark):
+    rows = [(1, i % 7 + 1) for i in range(3000)] + [(i, 5) for i in range(2, 3002)]
+    sizes = spark.createDataFrame(rows, "doc_id long, n_tokens long").repartition(5).checkpoint()
+    got = packing.pack(sizes, 100, 500).toPandas()
+    assert len(got) == len(rows) and got.n_tokens.sum() == sum(n for _, n in rows)
+    assert not got.duplicated(["doc_id", "copy", "piece"]).any() and got.groupby("container").n_tokens.sum().max() <= 100
+    hot = got[got.doc_id == 1]
+    assert (hot.container // (1 << 32)).nunique() >= 5 and hot.groupby(hot.container // (1 << 32)).size().max() < 1500

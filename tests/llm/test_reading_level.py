@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -75,3 +76,21 @@ def test_odd_rows(spark):
     got = {r["doc_id"]: r["grade"] for r in rl.reading_levels(docs(spark, rows), none).collect()}
     assert got == {7: None, 8: None}
     assert rl.reading_levels(docs(spark, []), none).count() == 0
+
+
+def test_held_out_grades(spark):
+    """Grades of labelled documents that took no part in a fit, in five folds: F1 of the grades 4 and 5."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("test tables are not here")
+    labels = spark.read.parquet(f"{folder}/reading_labels.parquet")
+    rows = rl.reading_levels(spark.read.parquet(f"{folder}/documents.parquet"), labels).toPandas()
+    mean = labels.where("grade IS NOT NULL").toPandas().groupby("doc_id").grade.mean()
+    rows = rows[rows.doc_id.isin(mean.index)].dropna(subset=["coverage_rank", "log_sentence", "word_length"])
+    x = np.column_stack([np.ones(len(rows)), np.log1p(rows.coverage_rank), rows.log_sentence, rows.word_length])
+    y, fold, found = mean[rows.doc_id].to_numpy(), np.arange(len(rows)) % 5, np.zeros(len(rows))
+    for f in range(5):
+        k = np.linalg.lstsq(x[fold != f], y[fold != f], rcond=None)[0]
+        found[fold == f] = x[fold == f] @ k
+    both = ((found >= 3.5) & (y >= 3.5)).sum()
+    assert 2 * both / ((found >= 3.5).sum() + (y >= 3.5).sum()) >= 0.85
