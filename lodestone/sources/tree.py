@@ -149,15 +149,16 @@ def chain(folder: str, root: str) -> list[IgnoreRules]:
 
 
 class TreeReader(DataSourceReader):
-    DEPTH = 2
+    FOLDERS = 256
 
     def __init__(self, root: str, with_content: bool) -> None:
         self.root, self.with_content = os.path.abspath(root), with_content
 
     def partitions(self) -> list[InputPartition]:
+        # the driver looks into folders level by level until there are enough to share out
         out: list[InputPartition] = []
         level = [self.root]
-        for _ in range(self.DEPTH):
+        while level and len(level) < self.FOLDERS:
             below = []
             for folder in level:
                 out.append(Part(folder, False))
