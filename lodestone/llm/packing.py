@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import TOKENIZER, TOKENIZER_DIR, token_counts
-from lodestone.session import cut
+from lodestone.session import cut, ship
 
 CAPACITY = 2048
 GROUP_ITEMS = 20_000
@@ -94,6 +94,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_IT
     One shuffle of (key, size) rows, and one of counted keys. ``n_items`` saves the count that sets the number of groups. A key with more
     than half a group of rows is spread over slices of it; there are at most 2 n / ``group_items`` such keys, which come to the driver and are sent.
     """
+    ship(sizes.sparkSession)
     n_groups = max(1, math.ceil((sizes.count() if n_items is None else n_items) / group_items))
     rows = sizes.select(F.col("doc_id").cast("bigint"), F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).cast("bigint").alias("n_tokens")).where("doc_id IS NOT NULL")
     hot = rows.groupBy("doc_id").agg(F.ceil(F.count("*") * 2 / F.lit(group_items)).cast("bigint").alias("slices")).where("slices > 1").toArrow()
