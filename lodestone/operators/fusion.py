@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.functions.names import name_match_score
 from lodestone.operators import lexical, vectors
+from lodestone.session import ship
 
 LEXICAL_K, NAME_K, VECTOR_K, POPULARITY_K, SCALE = 60, 5, 60, 60, 1000.0
 
 
 def with_ranks(results: DataFrame, query: str, by: list[str] | None = None) -> DataFrame:
     """Adds lexical_rank, name_score and name_rank, within each group of ``by`` columns."""
+    ship(results.sparkSession)
     group = Window.partitionBy(*[F.col(c) for c in by]) if by else Window.partitionBy(F.lit(0))
     first = results.withColumn("lexical_rank", F.row_number().over(group.orderBy(*lexical.by_score())) - 1)
     named = first.withColumn("name_score", name_match_score(F.lit(query), F.col("name")))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.sources.heuristics import MAX_LINES
+from lodestone.session import ship
 
 
 @dataclass
@@ -385,6 +386,7 @@ UNITS = (
 
 def parse_units(files: DataFrame) -> DataFrame:
     """(repo, file_path, language, text) to the units table, with ids that a rerun repeats."""
+    ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("repo", pa.string()), ("file_path", pa.string()), ("language", pa.string()), ("ordinal", pa.int32()), ("unit_type", pa.string()), ("name", pa.string()), ("full_signature", pa.string()), ("docstring", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32()), ("body", pa.string()), ("calls", pa.list_(pa.string()))])
