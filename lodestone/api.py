@@ -260,14 +260,17 @@ class CodeIndex:
         model = load_model(name)
         return self.embed(model.embed_batch, model.name)
 
-    def embed(self, model: Callable[[Sequence[str]], Sequence[Sequence[float]]], name: str) -> int:
-        """Makes vectors for units without one by a user's function over batches of texts. Returns their number."""
+    def embed(self, model: Callable[[Sequence[str]], Sequence[Sequence[float]]], name: str, only: DataFrame | None = None) -> int:
+        """Makes vectors for units without one, of all or of those with ids in ``only``, by a user's function over batches of texts. Returns their number."""
         @F.pandas_udf("array<float>")
         def run(texts: pd.Series) -> pd.Series:
             return pd.Series([[float(x) for x in v] for v in model(list(texts))])
 
         with config.Lock(f"{self.root}/lock"):
-            pending = self.pending().cache()
+            pending = self.pending()
+            if only is not None:
+                pending = pending.join(only.select("id").distinct(), "id", "left_semi").select(*pending.columns)
+            pending = pending.cache()
             n = pending.count()
             if n:
                 new = vectors.to_records(pending.select(F.col("id").alias("unit_id"), run(embed_text(F.col("name"), F.col("body"))).alias("vector")))
@@ -308,6 +311,14 @@ class CodeIndex:
             rows = lexical.modified_since(rows, self.table("files"), only.modified_since)
         return rows
 
+    def search_lazily(self, query: str, model: str, limit: int = 10, only: lexical.SearchFilter | None = None) -> DataFrame:
+        """Ranked results with vectors that are made when they are first needed: those of the best units by words that have none yet are
+        made by the model of a name and kept; then words, names and vectors are fused."""
+        own = load_model(model)
+        best = lexical.search(self.table("postings"), self.field_stats(), query, limit * lexical.OVER_FETCH)
+        self.embed(own.embed_batch, own.name, best)
+        return self.search(query, limit, only, embed=lambda text: own.embed_batch([text])[0])
+
     def search_repos(self, query: str, repos: DataFrame, limit: int = 10, only: lexical.SearchFilter | None = None) -> DataFrame:
         return federated.search_repos(self.table("units"), self.table("postings"), self.field_stats(), repos, query, limit, only)
 

@@ -69,8 +69,10 @@ def find_similar(units: DataFrame, records: DataFrame, repo: str, file_path: str
 
 def with_bodies(results: DataFrame, units: DataFrame) -> DataFrame:
     """Results (few, by their limit) with the body of each unit; null where the unit is gone."""
-    wanted = F.broadcast(results) if "rank" in results.columns else results
-    return wanted.join(units.select("id", "body"), "id", "left") if "body" not in results.columns else results
+    if "body" in results.columns:
+        return results
+    bodies = units.select("id", "body").join(F.broadcast(results.select("id").distinct()), "id")
+    return results.join(bodies, "id", "left")
 
 
 def cached_vectors(units: DataFrame, files: DataFrame, records: DataFrame, hashes: DataFrame) -> DataFrame:

@@ -405,3 +405,16 @@ def test_daemon(spark, tmp_path):
     finally:
         assert daemon.stop()
     assert daemon.status() == "stopped"
+
+
+def test_vectors_are_made_when_they_are_needed(spark, tmp_path):
+    plant(tmp_path / "repo", FILES)
+    index = CodeIndex(spark, str(tmp_path / "index"))
+    index.index(str(tmp_path / "repo"), "repo")
+    assert index.search_lazily("charge_card", "tokens-16", 2).orderBy("rank").first()["name"] == "charge_card"
+    some = index.table("vectors").count()
+    assert 0 < some < 12 and index.pending().count() == 12 - some
+    index.search_lazily("charge_card", "tokens-16", 2)
+    assert index.table("vectors").count() == some
+    assert index.embed_with("tokens-16") == 12 - some and index.pending().count() == 0
+    assert {r["embedding_model"] for r in index.table("units").collect()} == {"tokens-16"}
