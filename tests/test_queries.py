@@ -41,11 +41,11 @@ def test_same_rows(spark, small, second, name):
 
 
 def test_parse_bodies_finds_the_units_again(spark, small):
-    """Nearly every function of the table is found when its body is parsed as a file; a method is no whole file in most languages."""
+    """Nearly every function of the table is found when its body is parsed as a file; a method, as all of Java's are, is no whole file."""
     found = {(r["language"], r["unit_type"]): r["n_units"] for r in QUERIES["parse_bodies"](spark, small).collect()}
     known = spark.read.parquet(f"{small}/code_units.parquet").dropDuplicates(["id"]).where("unit_type = 'function'").groupBy("language").count().collect()
     for r in known:
-        if r["language"] != "unknown":
+        if r["language"] not in ("unknown", "java"):
             assert found.get((r["language"], "function"), 0) + found.get((r["language"], "method"), 0) >= 0.9 * r["count"], r["language"]
 
 
