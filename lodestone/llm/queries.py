@@ -36,7 +36,7 @@ def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of units of which one is among the five most similar of the other, at 0.80 or more."""
-    return neighbours.similar_pairs(neighbours.nearest(table(spark, sf_dir, "vectors"), table(spark, sf_dir, "code_units").select("id")))
+    return neighbours.similar_pairs(neighbours.nearest(table(spark, sf_dir, "vectors"), table(spark, sf_dir, "code_units").select("id"), least=0.80), 0.80)
 
 
 def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

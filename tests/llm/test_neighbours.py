@@ -120,3 +120,32 @@ def test_halos_give_all_places_of_a_prefix(spark, monkeypatch):
         near.append({r["unit_id"]: [x["other"] for x in r["near"]] for r in found.collect()})
     same = sum(near[0][i] == near[1][i] for i in ids)
     assert same >= 0.99 * len(ids)
+
+
+def test_more_trees_settle_what_would_be_compared_with_all(spark, monkeypatch):
+    """Vectors whose fifth neighbour is far, but which have near ones, need no comparison with all others."""
+    data = clusters(3000, 6)
+    data[::2] = np.random.default_rng(7).integers(0, 256, data[::2].shape)
+    ids = [int(i) for i in np.random.default_rng(8).permutation(9000)[: len(data)]]
+    for name, value in (("LEAF", 64), ("LEAST_ASKED", 30)):
+        monkeypatch.setattr(nb, name, value, raising=False)
+    in_blocks, among_all = [], nb.among_all
+    monkeypatch.setattr(nb, "among_all", lambda queries, *rest: in_blocks.append(queries.count()) or among_all(queries, *rest))
+    keys = spark.createDataFrame([(i,) for i in ids], "id long")
+    vectors = table(spark, [record(i, d) for i, d in zip(ids, data)])
+    found = {tuple(r) for r in nb.similar_pairs(nb.nearest(vectors, keys, budget=20, least=0.8)).collect()}
+    v = -1 + data / 255 * 2
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    true = {(min(i, o), max(i, o)) for a, (i, others) in enumerate(brute(ids, v).items()) for o in others if np.round(v[a] @ v[ids.index(o)], 6) >= 0.8}
+    assert len(found & true) >= 0.99 * len(true) > 3000 and len(found - true) <= 0.01 * len(true)
+    assert in_blocks[0] < 0.05 * len(ids)
+
+
+def test_leaves_hold_all_places_once():
+    words = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 1000)
+    words[:300] = words[0]
+    parts = list(nb.leaves(words, 0, 50))
+    assert sorted(np.concatenate([p for p, _ in parts]).tolist()) == list(range(1000))
+    for places, depth in parts:
+        assert len(set((words[places].view(np.uint64) >> np.uint64(64 - depth)).tolist())) == 1
+        assert len(places) <= 50 or depth == nb.BITS
