@@ -8,7 +8,7 @@ hash, so two of them together are a sketch of the union of both sets; pairs are
 the level of the larger set.
 
 Inverted lists of retained values generate the pairs. Each sketch is ordered from rare to hot
-values, as a table of at most ``HOT_VALUES`` hot ones tells, and only its beginning is listed:
+values, as counts of all values in ``BUCKETS`` buckets tell, and only its beginning is listed:
 a set of n values has at most 0.25 n values that a larger partner at 0.60 lacks and at most
 0.40 n that a smaller one lacks, so one more value must meet. A text enters the lists of its
 first 0.25 n + 1 values to be found by larger texts and those of its first 0.40 n + 1 values
@@ -44,8 +44,8 @@ from lodestone.session import cut, drop, ship
 MIN_CHARS = 200
 RUN = 3
 SKETCH = 256
-HOT_VALUES = 1 << 16
-HOT_IN_PART = 3
+BUCKETS = 1 << 22
+BUCKETS_IN_ROW = 1 << 14
 PART_VALUES = 1 << 20
 CELL = 1000
 DEVIATIONS = 4.9
@@ -98,34 +98,50 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def hot_values(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Up to HOT_VALUES values with the most texts, sorted, and about how many texts have them.
+def hot_values(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """About how many texts have the values of each of BUCKETS buckets, and the median of these counts.
 
-    Counted are values that HOT_IN_PART texts of one part (about PART_VALUES values) share; the
-    order of values need not be exact, only the same for all texts.
+    Rare values that fall into one bucket add up to nearly the same everywhere, so that hot ones
+    stand out at any size; the order of values need not be exact, only the same for all texts.
     """
     ship(texts.sparkSession)
 
-    def counted_in(parts: list[np.ndarray]) -> pa.RecordBatch:
-        value, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
-        hot = count >= HOT_IN_PART
-        return pa.RecordBatch.from_arrays([pa.array(value[hot].view(np.int64)), pa.array(count[hot].astype(np.int64))], names=["value", "n"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.uint32)
         parts, size = [], 0
+
+        def add() -> None:
+            counts[:] += np.bincount(np.concatenate([np.zeros(0, np.int64), *parts]), minlength=BUCKETS).astype(np.uint32)
+
         for batch in batches:
             bodies = batch.column(0).cast(pa.binary()).to_pylist()
             for a, b in _parts([len(x) for x in bodies]):
-                parts.append(shingle_sets(bodies[a:b])[0])
+                parts.append(_bucket(shingle_sets(bodies[a:b])[0]))
                 size += len(parts[-1])
                 if size >= PART_VALUES:
-                    yield counted_in(parts)
+                    add()
                     parts, size = [], 0
-        yield counted_in(parts)
+        add()
+        rows = np.minimum(counts, 0xFFFF).astype("<u2").reshape(-1, BUCKETS_IN_ROW)
+        for i in np.flatnonzero(rows.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([rows[i].tobytes()], pa.binary())], names=["part", "n"])
+
+    def total(rows: pa.Table) -> pa.Table:
+        n = np.zeros(BUCKETS_IN_ROW, np.int64)
+        for x in rows.column("n"):
+            n += np.frombuffer(x.as_py(), "<u2")
+        return pa.table({"part": rows.column("part").slice(0, 1), "n": pa.array([np.minimum(n, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
+
+    counted = cut(texts.select("body").mapInArrow(run, "part int, n binary").groupBy("part").applyInArrow(total, "part int, n binary"))
+    counts = np.zeros((BUCKETS // BUCKETS_IN_ROW, BUCKETS_IN_ROW), np.uint32)
+    for part, n in counted.collect():
+        counts[part] = np.frombuffer(n, "<u4")
+    drop(counted)
+    return counts.reshape(-1), int(np.median(counts))
 
-    counted = texts.select("body").mapInArrow(run, "value bigint, n bigint").groupBy("value").agg(F.sum("n").alias("n"))
-    table = counted.orderBy(F.desc("n"), "value").limit(HOT_VALUES).toArrow().sort_by("value")
-    return table.column("value").to_numpy().astype(np.int64).view(np.uint64), table.column("n").to_numpy().astype(np.int64)
+
+def _bucket(values: np.ndarray) -> np.ndarray:
+    return (values & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def level_of(n: np.ndarray) -> np.ndarray:
@@ -133,7 +149,7 @@ def level_of(n: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(np.maximum(n, 1) / SKETCH)).clip(0).astype(np.int64)
 
 
-def listed(values: np.ndarray, bounds: np.ndarray, hot: np.ndarray, hot_count: np.ndarray) -> tuple[np.ndarray, ...]:
+def listed(values: np.ndarray, bounds: np.ndarray, counts: np.ndarray, usual: int) -> tuple[np.ndarray, ...]:
     """Sketches of texts as one row each text and level: text, sample size, number of values listed to be found, whether it looks for
     others; then keys and numbers of cells of the listed values in order, as flat arrays with offsets."""
     p, q = THRESHOLD
@@ -151,10 +167,7 @@ def listed(values: np.ndarray, bounds: np.ndarray, hot: np.ndarray, hot_count: n
     inside = values[at] < (np.uint64(1 << 63) >> level[row_of].astype(np.uint64))
     row_of, value = row_of[inside], values[at[inside]]
     size = np.bincount(row_of, minlength=len(text))
-    weight = np.zeros(len(value), np.int64)
-    if len(hot):
-        place = np.minimum(np.searchsorted(hot, value), len(hot) - 1)
-        weight = np.where(hot[place] == value, hot_count[place], 0)
+    weight = counts[_bucket(value)].astype(np.int64)
     order = np.lexsort((value, weight, row_of))
     value, weight = value[order], weight[order]
     start = np.cumsum(size) - size
@@ -167,9 +180,9 @@ def listed(values: np.ndarray, bounds: np.ndarray, hot: np.ndarray, hot_count: n
     looking = np.minimum(size, size * (q - p) // q + np.floor(spread * (p * (q - p)) ** 0.5 / q).astype(np.int64) + extra + 1)
     kept = rank < np.repeat(np.where(looks, looking, found), size)
     key = mixed(value + np.repeat(level, size).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    cells = np.maximum(1, -(-weight // CELL)).astype(np.int32)
-    counts = np.add.reduceat(kept, start) if len(start) and len(kept) else np.zeros(len(text), np.int64)
-    return text, size, found, looks, key[kept], cells[kept], np.concatenate([[0], np.cumsum(counts)])
+    cells = np.maximum(1, -((usual - weight) // CELL)).astype(np.int32)
+    many = np.add.reduceat(kept, start) if len(start) and len(kept) else np.zeros(len(text), np.int64)
+    return text, size, found, looks, key[kept], cells[kept], np.concatenate([[0], np.cumsum(many)])
 
 
 def set_keys(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,13 +199,13 @@ def set_keys(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 ROWS = "id bigint, set_a bigint, set_b bigint, n bigint, s int, n_found int, looks boolean, keys array<bigint>, cells array<int>"
 
 
-def sketches(texts: DataFrame, hot: np.ndarray, hot_count: np.ndarray) -> DataFrame:
+def sketches(texts: DataFrame, counts: np.ndarray, usual: int) -> DataFrame:
     """Listed parts of the sketches of all texts, see ROWS: one row for each text and level. No shuffle.
 
-    The table of hot values has at most HOT_VALUES rows of 16 bytes.
+    The counts of BUCKETS buckets are 4 bytes each.
     """
     ship(texts.sparkSession)
-    sent = texts.sparkSession.sparkContext.broadcast((hot, hot_count))
+    sent = texts.sparkSession.sparkContext.broadcast((counts, usual))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -331,11 +344,11 @@ def class_members(sets: DataFrame) -> DataFrame:
 def near_duplicate_classes(texts: DataFrame, key: str = "id", text: str = "body", min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """Links (rep_a, rep_b, common, either) between different classes and members (id, rep) of all classes."""
     long = texts.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("body")).where((F.length(text) >= min_chars) & F.col(key).isNotNull())
-    short = cut(short_sketches(long))
-    members = cut(class_members(short))
     lists = cut(value_lists(sketches(long, *hot_values(long))))
     met = cut(candidate_pairs(lists))
     drop(lists)
+    short = cut(short_sketches(long))
+    members = cut(class_members(short))
     pairs = cut(estimated_pairs(met, short).distinct())
     drop(met, short)
     wanted = cut(pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct())

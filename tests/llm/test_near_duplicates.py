@@ -112,3 +112,18 @@ def test_hot_lists_in_cells(spark, monkeypatch):
     monkeypatch.setattr(nd, "CELL", 7)
     rows = headed(60, 0.85, 120)
     assert found(spark, rows)[0] == brute(rows)
+
+
+def test_headers_of_many_families_make_no_pairs(spark):
+    """Half of a text shared by six texts each, in so many families that shared values number 137,200."""
+    pick = random.Random(11)
+    rows = []
+    for family in range(1400):
+        header = " ".join(f"f{family}h{i}" for i in range(100))
+        rows += [(len(rows) + i + 1, header + " " + " ".join(f"u{pick.randrange(10**9)}" for _ in range(100))) for i in range(6)]
+    copy = rows[7][1].split(" ")
+    copy[-3:] = ["x1", "x2", "x3"]
+    units = spark.createDataFrame([*rows, (20_000, " ".join(copy))], "id long, body string")
+    pairs = {(r["rep_a"], r["rep_b"]) for r in nd.candidate_pairs(nd.value_lists(nd.sketches(units, *nd.hot_values(units)))).collect()}
+    assert (8, 20_000) in pairs or (20_000, 8) in pairs
+    assert len(pairs) < 100
